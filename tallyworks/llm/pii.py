@@ -107,6 +107,11 @@ def running_sum(values: Column, block: int = 128) -> Column:
     return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(begins, lambda b: sums(b["part"], b["start"]))))
 
 
+def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns`` as a generator's output, so they are worked out once a row wherever they are used after."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, out: str = "pii") -> DataFrame:
     """``docs`` with ``out``: array of (kind, start, end, score, base), by kind as listed, then start.
 
@@ -117,15 +122,15 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, o
     """
     names = docs.columns
     df = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns({f"__m_{k.name}": F.regexp_extract_all("__text", F.lit(k.pattern), F.lit(0)) for k in kinds})
-    df = df.withColumns({f"__g_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.split("__text", k.pattern, -1)) for k in kinds})
-    df = df.withColumns({
-        f"__e_{k.name}": F.when(
-            F.size(f"__m_{k.name}") > 0,
-            running_sum(F.transform(f"__m_{k.name}", lambda m, i, g=F.col(f"__g_{k.name}"): (F.length(m) + F.length(F.get(g, i))).cast("long"))),
-        )
-        for k in kinds
-    })
+    df = _settled(df, {f"__m_{k.name}": F.regexp_extract_all("__text", F.lit(k.pattern), F.lit(0)) for k in kinds})
+    df = _settled(df, {f"__g_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.split("__text", k.pattern, -1)) for k in kinds})
+
+    def ends(k: Kind) -> Column:
+        gaps = F.col(f"__g_{k.name}")
+        widths = F.transform(f"__m_{k.name}", lambda m, i: (F.length(m) + F.length(F.get(gaps, i))).cast("long"))
+        return F.when(F.size(f"__m_{k.name}") > 0, running_sum(widths))
+
+    df = _settled(df, {f"__e_{k.name}": ends(k) for k in kinds})
 
     def spans(k: Kind) -> Column:
         m, g, e = (F.col(f"__{c}_{k.name}") for c in "mge")
@@ -148,28 +153,34 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, o
 
 def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by its kind in brackets; overlapping spans become one."""
-    df = find(docs, text, kinds, out="__pii").withColumn(
-        "__pii", F.array_sort(F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    )
-
+    df = find(docs, text, kinds, out="__pii")
+    ordered = F.array_sort(F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    df = _settled(df, {"__ordered": ordered}).drop("__pii")
+    one = "struct<start:bigint,end:bigint,kind:string,before:bigint>"
+    none = F.array().cast(f"array<{one}>")
+    zero = F.lit(0).cast("bigint")
+
+    # Done spans and the one that is still growing; each knows where the one before it ends.
     def merge(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        apart = (F.size(acc) == 0) | (s["start"] >= last["end"])
-        return F.when(apart, F.concat(acc, F.array(s))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined)))
+        now = acc["now"]
+        apart = now.isNull() | (s["start"] >= now["end"])
+        fresh = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.coalesce(now["end"], zero).alias("before"))
+        grown = F.struct(now["start"].alias("start"), F.greatest(now["end"], s["end"]).alias("end"), now["kind"].alias("kind"), now["before"].alias("before"))
+        done = F.when(apart & now.isNotNull(), F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(apart, fresh).otherwise(grown).alias("now"))
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-    df = df.withColumn("__merged", F.when(F.size("__pii") > 0, F.aggregate("__pii", none, merge)).otherwise(none))
-    spans, data = F.col("__merged"), F.col(f"`{text}`")
+    begin = F.struct(none.alias("done"), F.lit(None).cast(one).alias("now"))
+    merged = F.aggregate("__ordered", begin, merge, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    df = _settled(df, {"__merged": F.when(F.size("__ordered") > 0, merged).otherwise(none)}).drop("__ordered")
+    data = F.col(f"`{text}`")
 
-    def piece(s: Column, i: Column) -> Column:
-        begin = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
-        return F.concat(F.substr(data, (begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    def piece(s: Column) -> Column:
+        return F.concat(F.substr(data, (s["before"] + 1).cast("int"), (s["start"] - s["before"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
 
-    tail = F.substr(data, (F.get(spans, F.size(spans) - 1)["end"] + 1).cast("int"))
-    changed = F.concat(F.array_join(F.transform(spans, piece), ""), tail)
-    clean = F.when(F.size(spans) > 0, changed).otherwise(data)
-    return df.withColumn(text, clean).drop("__pii", "__merged").select(*(F.col(f"`{n}`") for n in docs.columns))
+    tail = F.substr(data, (F.try_element_at("__merged", F.lit(-1))["end"] + 1).cast("int"))
+    changed = F.concat(F.array_join(F.transform("__merged", piece), ""), tail)
+    clean = F.when(F.size("__merged") > 0, changed).otherwise(data)
+    return df.withColumn(text, clean).drop("__merged").select(*(F.col(f"`{n}`") for n in docs.columns))
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
@@ -178,9 +189,10 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
     df = find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.transform("pii", lambda s: s["kind"])
     return df.select(
         "doc_id",
-        *(F.size(F.filter("pii", lambda s, n=name: s["kind"] == n)).cast("long").alias(f"n_{name}") for name in BASE),
+        *((F.size(kinds) - F.size(F.array_remove(kinds, name))).cast("long").alias(f"n_{name}") for name in BASE),
         F.sha2(written(base), 256).alias("base_sha256"),
         written(F.col("pii")).alias("spans"),
         F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0)).alias("max_score"),

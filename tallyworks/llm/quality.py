@@ -78,9 +78,11 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "exclamations": permille(F.col("__n_marks"), F.col("word_chars")),
         "capitals": permille(F.col("__n_capitals"), F.col("word_chars")),
     }
-    df = df.withColumns({f"rule_{r}": figures[r] for r in RULES})
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("__text", "__words", "__hashes", "__lines", "__placed", "__twice", "__n_lines", "__n_marks", "__n_capitals")
+    own = [F.col(n).alias(n) for n in FIGURES if n.startswith(("n_", "word"))]
+    row = F.struct(*own, failed.alias("base_failed"), *(figures[r].alias(f"rule_{r}") for r in RULES))
+    # As a generator's output the figures are worked out once: a filter on them is not pushed into their making.
+    return df.select(*(F.col(f"`{n}`") for n in docs.columns if n not in FIGURES), F.inline(F.array(row)))
 
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"rule_{r}" for r in RULES))
