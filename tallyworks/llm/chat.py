@@ -97,20 +97,20 @@ def op1_preferences(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS at
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
   FROM conversations WHERE conv_id IS NOT NULL
 ), l AS (
-  SELECT conv_id, max(at) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id
+  SELECT conv_id, max(pos) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id
 ), r AS (
   SELECT t.*, l.last, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,
-         lag(text, 1, '') OVER (PARTITION BY t.conv_id ORDER BY at) AS previous
+         lag(text, 1, '') OVER (PARTITION BY t.conv_id ORDER BY pos) AS previous
   FROM t JOIN l ON t.conv_id = l.conv_id
 ), c AS (
   SELECT conv_id, text, previous, shown, last,
          '<|assistant|>' || chr(10) || previous || '<|end|>' || chr(10) AS echoed
-  FROM r WHERE at = last
+  FROM r WHERE pos = last
 ), p AS (
-  SELECT conv_id, string_agg(shown, '' ORDER BY at) AS prompt FROM r WHERE at < last GROUP BY conv_id
+  SELECT conv_id, string_agg(shown, '' ORDER BY pos) AS prompt FROM r WHERE pos < last GROUP BY conv_id
 )
 SELECT c.conv_id,
        CAST(CASE WHEN c.text = c.previous THEN c.last ELSE c.last - 1 END AS BIGINT) AS n_prompt_turns,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP1_SQL, op1_preferences
-from .decontamination import op5_decontamination
+from .decontamination import OP5_SQL, op5_decontamination
 from .licenses import op6_licenses
 from .packing import op3_packing
 from .pii import op2_pii
@@ -15,7 +15,7 @@ from .quality import op4_quality
 from .rollups import op7_rollups
 from .sharding import op8_sharding
 from .simhash import op9_simhash
-from .substrings import op10_substrings
+from .substrings import OP10_SQL, op10_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preferences": OP1_SQL}
+    return {"op1_preferences": OP1_SQL, "op5_decontamination": OP5_SQL, "op10_substrings": OP10_SQL}

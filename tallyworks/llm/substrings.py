@@ -264,3 +264,25 @@ def op10_substrings(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
     return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p
+), m AS (
+  SELECT s, min(doc_id) AS owner FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1
+), h AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM (SELECT g.doc_id, g.i FROM g JOIN m ON g.s = m.s WHERE m.owner < g.doc_id)
+), v AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d
+), k AS (
+  SELECT v.doc_id, count(h.j) AS n_removed, string_agg(CASE WHEN h.j IS NULL THEN v.word END, ' ' ORDER BY v.j) AS kept
+  FROM v LEFT JOIN h ON v.doc_id = h.doc_id AND v.j = h.j GROUP BY v.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
