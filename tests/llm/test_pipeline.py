@@ -14,7 +14,7 @@ def test_stages_and_run(spark, sf_dir):
             want = {d: t for d, t in want.items() if not test_quality.brute(t)[-1]}
         elif k == 1:
             ids = list(want)
-            low = test_simhash.brute_components(ids, [test_simhash.brute_fp(want[d]) for d in ids], 2)
+            low = test_simhash.brute_components(ids, [test_simhash.brute_fp(want[d]) for d in ids], corpus_pipeline.RADIUS)
             want = {d: want[d] for d in sorted(set(low))}
         elif k == 2:
             want = {d: t for d, t in want.items() if not test_decontamination.brute(t, items)[-1]}
