@@ -81,6 +81,12 @@ def summarize(scored: DataFrame, *by: str) -> DataFrame:
     return sums
 
 
+def evaluate(df: DataFrame, system_prompt: str, **generation) -> tuple[dict, DataFrame, DataFrame]:
+    """(protocol, one-row summary, scored rows) of (question, reference, generated_text) rows; there must be some."""
+    scored = score(require_rows(df))
+    return protocol(system_prompt, **generation), summarize(scored), scored
+
+
 def require_rows(df: DataFrame, what: str = "predictions") -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"there are no {what}")

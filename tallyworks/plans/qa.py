@@ -59,10 +59,16 @@ def _case(templates: dict[int, str], div: str, other: str = "''") -> str:
     return "CASE k " + " ".join(f"WHEN {k} THEN {_sql(t, div)}" for k, t in templates.items()) + f" ELSE {other} END"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores: row-local exact work is worth dealing out a small file."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_id, a, b, c, k, question, answer, reference of every order."""
     n = F.col("o_orderkey")
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(n.alias("example_id"), (n % 47 + 3).alias("a"), (n % 13 + 2).alias("b"), (n % 7 + 1).alias("c"), (n % 16).alias("k"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")).select(n.alias("example_id"), (n % 47 + 3).alias("a"), (n % 13 + 2).alias("b"), (n % 7 + 1).alias("c"), (n % 16).alias("k"))
     return rows.select(
         "*",
         F.expr(f"{_sql(QUESTION, 'DIV')} || {_case(MORE, 'DIV')}").alias("question"),

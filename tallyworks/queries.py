@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scan
-from .operators import audit, evaluation, examples, features, objective, splits
+from .operators import audit, evaluation, examples, features, objective, splits, tokenization
 from .plans import recipes
 from .plans.qa import QA_SQL, derive
 
@@ -127,6 +127,18 @@ def _scored(spark, sf_dir):
     return evaluation.score(derive(spark, sf_dir).select("example_id", "k", F.col("answer").alias("generated_text"), "reference"))
 
 
+@query(
+    QA_SQL
+    + """SELECT example_id, CASE WHEN k IN (0, 1, 2, 9) THEN CAST(t AS VARCHAR) WHEN k = 4 THEN CAST(a + c AS VARCHAR) WHEN k = 5 THEN CAST(a % b AS VARCHAR) WHEN k = 6 THEN '0' WHEN k = 7 THEN CAST(a AS VARCHAR) || '/7'
+  WHEN k = 10 THEN CAST(a AS VARCHAR) || ',0' || lpad(CAST(b AS VARCHAR), 2, '0') WHEN k = 11 THEN CAST(t + 1 AS VARCHAR) WHEN k = 12 THEN CAST(a AS VARCHAR) || '/4' WHEN k = 13 THEN '-' || CAST(a + 10 - c AS VARCHAR) WHEN k = 15 THEN CAST(a // b AS VARCHAR) END AS marked,
+  CASE WHEN k = 3 THEN CAST(p AS VARCHAR) WHEN k = 8 THEN CAST(a + b AS VARCHAR) END AS standalone FROM base"""
+)
+def answer_texts(spark, sf_dir):
+    """Marked and last standalone numbers as they are written, by native scans."""
+    rows = derive(spark, sf_dir)
+    return rows.select("example_id", scan.marked_text(F.col("answer")).alias("marked"), F.when(F.col("k").isin(3, 8), scan.last_standalone(F.col("answer"))).alias("standalone"))
+
+
 @query(_PREDICTED + "SELECT example_id, round(err, 9) AS error FROM errors")
 def final_answer_errors(spark, sf_dir):
     return _scored(spark, sf_dir).select("example_id", F.round("final_answer_error", 9).alias("error"))
@@ -434,3 +446,14 @@ def recipe_plans(spark, sf_dir):
 def training_rows(spark, sf_dir):
     rows = examples.training_examples(derive(spark, sf_dir).select("example_id", "question", "answer"), "Solve step by step.")
     return rows.select("example_id", F.to_json("prompt").alias("prompt"), F.to_json("completion").alias("completion"))
+
+
+@query(
+    QA_SQL
+    + """SELECT example_id, CAST(length(question) + 49 + length(answer) + 12 + 11 AS BIGINT) AS tokens, CAST(length(answer) + 12 AS BIGINT) AS learned FROM qa WHERE k NOT IN (0, 4)"""
+)
+def tokenized_rows(spark, sf_dir):
+    """Rendered characters of chat examples, and how many of them count as labels."""
+    rows = derive(spark, sf_dir).where(~F.col("k").isin(0, 4)).select("example_id", "question", "answer")
+    tokens = tokenization.tokenize(examples.training_examples(rows, "Solve step by step."))
+    return tokens.select("example_id", F.size("input_ids").cast("long").alias("tokens"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("learned"))

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.functions import scan
-from tallyworks.operators import audit, evaluation, examples, features, objective, splits
+from tallyworks.operators import audit, evaluation, examples, features, objective, splits, tokenization
 from tallyworks.plans import recipes
-from tallyworks.sources import frozen
+from tallyworks.sources import frozen, tracking
 from tallyworks.streaming import scoring
 
 
@@ -141,3 +141,28 @@ def test_training_rows_and_prompt(spark, tmp_path):
     assert frozen.prompt(str(tmp_path / "p"))[0] == "hi" and frozen.positive("3") == 3
     with pytest.raises(ValueError):
         frozen.positive("inf", float)
+
+
+def test_tokenized_examples(spark):
+    df = spark.createDataFrame([("train", "q", "A <<1+1=2>>\n#### 2"), ("test", "", "")], "split string, question string, answer string")
+    chat = examples.training_examples(df.where("split = 'train'"), "s").unionByName(df.where("split = 'test'"), allowMissingColumns=True)
+    r = tokenization.prepare(chat).first()
+    head = "<system>s</system><user>q</user><assistant>"
+    assert r.answer_start == len(head) and r.labels[: len(head)] == [-100] * len(head) and r.labels[len(head)] == len(head) and r.attention_mask == [1] * len(r.input_ids)
+    with pytest.raises(Exception, match="no token"):
+        tokenization.prepare(chat, longest=5).collect()
+    import public_tokenizers
+
+    ids = tokenization.prepare(chat, tokenization.from_file(public_tokenizers.path("byte_bpe_50k.json"))).first()
+    assert ids.labels[-1] == ids.input_ids[-1] != -100 and ids.offsets[-1].end == len(head) + len("A <<1+1=2>>\n#### 2</assistant>")
+
+
+def test_tracking(spark):
+    seen = []
+    tracker = type("T", (), {"log": lambda self, m, step: seen.append((step, m))})()
+    df = spark.createDataFrame([(1.5, True, float("inf"))], "x double, b boolean, y double")
+    tracking.for_each_batch(tracker, lambda d: d)(df, 7)
+    assert seen == [(7, {"x": 1.5})]
+    clock = iter([0.0, 2.0]).__next__
+    assert tracking.Progress(10, clock).add(4) == {"completed_percent": 40.0, "examples_per_second": 2.0, "eta_seconds": 3.0}
+    assert evaluation.evaluate(spark.createDataFrame([("q", "1", "1")], "question string, reference string, generated_text string"), "p")[1].first().correct_final_answers == 1
