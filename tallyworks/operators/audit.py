@@ -114,7 +114,7 @@ def unresolved_reasons(rows: DataFrame) -> DataFrame:
     nodes = rows.select(F.explode("steps").alias("s")).select(F.explode("s.nodes").alias("x")).where("x.kind = 'unresolved'")
     of = lambda kind: F.size(F.filter("x.candidates", lambda c: c["kind"] == kind))
     own, earlier = of("problem_number"), of("previous_result")
-    why = F.when((own > 0) & (earlier > 0), "mixed").when(own > 1, "multiple_problem_numbers").when(earlier > 1, "multiple_previous_results").otherwise("other")
+    why = F.when((own > 0) & (earlier > 0), "problem_and_previous_step").when(own > 1, "multiple_problem_occurrences").when(earlier > 1, "multiple_previous_steps").otherwise("multiple_candidates")
     return _counted(nodes.select(why.alias("reason"), F.size("x.candidates").cast("long").alias("candidates")), "reason", "candidates")
 
 

@@ -22,7 +22,7 @@ def protocol(system_prompt: str, max_new_tokens: int = 768, do_sample: bool = Fa
             "fraction_normalization": {"internal": "exact_fraction", "repeating_decimal_places": exact.SHOWN_PLACES},
             "numeric_comparison": {"mode": "exact_or_decimal_rounding_or_truncation", "minimum_decimal_places": 1},
             "final_answer_error": {"mode": "symmetric_relative_error", "minimum": 0.0, "maximum": float(exact.WORST_ERROR), "missing_prediction": float(exact.WORST_ERROR)},
-            "supported_operators": ["+", "-", "*", "/", "//"], "step_aggregation": "mean_per_response",
+            "supported_operators": ["+", "-", "*", "/", "//"], "step_aggregation": "macro_per_example",
         },
         "generation": {"do_sample": do_sample, "num_beams": num_beams, "max_new_tokens": max_new_tokens},
     }

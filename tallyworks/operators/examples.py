@@ -16,7 +16,7 @@ OPERANDS = f"array<struct<kind:string,ref:int,value:string,candidates:{CANDIDATE
 ACTIONS = f"array<struct<operator:string,supervised:string,mask:array<boolean>,operands:{OPERANDS}>>"
 STEPS = (
     "array<struct<index:int,raw:string,start:int,end:int,expression:string,expression_start:int,expression_end:int,claimed_text:string,claimed_start:int,claimed_end:int,"
-    "claimed:string,target:string,shown:string,valid:boolean,error:string,is_final:boolean,root:string,target_scale:double,dependencies:array<int>,unresolved:int,"
+    "claimed:string,target:string,target_value:double,shown:string,valid:boolean,error:string,is_final:boolean,root:string,target_scale:double,dependencies:array<int>,unresolved:int,"
     f"nodes:{NODES},actions:{ACTIONS},graph_result:string,graph_error:string,program_result:string,program_error:string>>"
 )
 ISSUES = "array<struct<code:string,step:int>>"

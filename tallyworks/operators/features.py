@@ -50,36 +50,41 @@ def context_starts(text: Column, spans: Column) -> Column:
         line = F.when(F.instr(before, "\n") > 0, F.length(before) - F.instr(F.reverse(before), "\n") + 1).otherwise(0)
         begin = F.greatest(line, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)))
         between = F.substr(text, begin + 1, s["start"] - begin)
-        return (begin + F.length(between) - F.length(F.regexp_replace(between, r"^[ \t]+", ""))).cast("int")
+        return (begin + F.length(between) - F.length(F.regexp_replace(between, r"^(?U)[\s\x1c-\x1f]+", ""))).cast("int")
 
     return F.transform(spans, one)
 
 
-def step_features(df: DataFrame, answer: str = "answer", offsets: str = "offsets", steps: str = "steps") -> DataFrame:
-    """Adds positions, targets, scales and mask of every step; a step that can't be seen or placed is masked."""
+def step_features(df: DataFrame, answer: str = "answer", offsets: str = "offsets", steps: str = "steps", answer_start: str | None = None) -> DataFrame:
+    """Adds positions, targets, scales and mask of every step; a step that can't be seen, placed or held in a double is masked.
+
+    Offsets count from the start of the tokenized text, in which the answer begins at ``answer_start`` (none: 0).
+    """
+    shift = F.col(answer_start) if answer_start else F.lit(0)
     spans = F.transform(steps, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     df = df.withColumn("__spans", spans).withColumn("__contexts", context_starts(F.col(answer), F.col("__spans")))
-    df = df.withColumn("__places", F.transform("__contexts", lambda c: causal_position(F.col(offsets), c)))
-    numeric = lambda t: F.try_divide(F.split(t, "/")[0].try_cast("double"), F.coalesce(F.get(F.split(t, "/"), F.lit(1)).try_cast("double"), F.lit(1.0)))
+    df = df.withColumn("__places", F.transform("__contexts", lambda c: causal_position(F.col(offsets), c + shift)))
+    seen = lambda i: visible(F.col(offsets), F.struct((F.get("__spans", i)["start"] + shift).alias("start"), (F.get("__spans", i)["end"] + shift).alias("end")))
     return df.withColumns({
         "step_positions": F.transform("__places", lambda p: F.coalesce(p, F.lit(0))),
-        "step_targets": F.transform(steps, lambda s: F.coalesce(numeric(s["target"]), F.lit(0.0))),
+        "step_targets": F.transform(steps, lambda s: F.coalesce(s["target_value"], F.lit(0.0))),
         "step_target_scales": F.transform(steps, lambda s: F.coalesce(s["target_scale"], F.lit(1.0))),
-        "step_mask": F.transform(steps, lambda s, i: s["valid"] & F.get("__places", i).isNotNull() & visible(F.col(offsets), F.get("__spans", i))),
+        "step_mask": F.transform(steps, lambda s, i: s["valid"] & s["target_value"].isNotNull() & F.get("__places", i).isNotNull() & seen(i)),
         "postfix_program": F.to_json(F.struct(F.transform(steps, lambda s: F.struct(s["index"].alias("index"), s["valid"].alias("valid"), s["actions"].alias("actions"))).alias("steps"))),
     }).drop("__spans", "__contexts", "__places")
 
 
-def build(df: DataFrame, requested: list[str], weight: float = 2.0) -> DataFrame:
+def build(df: DataFrame, requested: list[str], weight: float = 2.0, answer_start: str | None = None) -> DataFrame:
     """Only the requested features, of rows with offsets, labels, answer and steps."""
     known = {"token_loss_weights", *STEP_FEATURES, "postfix_program"}
     if unknown := sorted(set(requested) - known):
         raise ValueError(f"unknown features: {unknown}")
     if not requested:
         return df
-    out = step_features(df) if set(requested) - {"token_loss_weights"} else df
+    out = step_features(df, answer_start=answer_start) if set(requested) - {"token_loss_weights"} else df
     if "token_loss_weights" in requested:
-        spans = F.transform("steps", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        shift = F.col(answer_start) if answer_start else F.lit(0)
+        spans = F.transform("steps", lambda s: F.struct((s["start"] + shift).alias("start"), (s["end"] + shift).alias("end")))
         out = out.withColumn("token_loss_weights", token_weights(F.col("offsets"), F.col("labels"), spans, weight))
     return out.select(*df.columns, *requested)
 

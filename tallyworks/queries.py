@@ -234,7 +234,7 @@ def step_edges(spark, sf_dir):
     return rows.select("example_id", F.col("s.index").alias("step"), F.explode("s.dependencies").alias("dependency"))
 
 
-@query(_OPS + "SELECT CASE WHEN own > 0 AND earlier > 0 THEN 'mixed' ELSE 'multiple_problem_numbers' END AS reason, CAST(own + earlier AS BIGINT) AS candidates, count(*) AS n FROM kinds WHERE kind = 'unresolved' GROUP BY 1, 2")
+@query(_OPS + "SELECT CASE WHEN own > 0 AND earlier > 0 THEN 'problem_and_previous_step' ELSE 'multiple_problem_occurrences' END AS reason, CAST(own + earlier AS BIGINT) AS candidates, count(*) AS n FROM kinds WHERE kind = 'unresolved' GROUP BY 1, 2")
 def unresolved_reasons(spark, sf_dir):
     return audit.unresolved_reasons(_audited(spark, sf_dir))
 
