@@ -9,6 +9,7 @@ in the same way, so partitions don't cost half-empty bins.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -25,11 +26,28 @@ CAPACITY = 4096
 OPEN_BINS = 1024
 #: Left-over bins that one task of the second packing takes.
 LEFT_PER_TASK = 200_000
-#: Distinct words and word parts whose ids a worker keeps.
-KEPT_WORDS, KEPT_PARTS = 400_000, 200_000
+#: Distinct words and word parts whose ids a worker keeps (some 200 bytes each).
+KEPT_WORDS, KEPT_PARTS = 800_000, 500_000
 #: Words that the quick way takes: printable ASCII, and the Latin letters that NFC leaves alone and that lower-case one by one.
-QUICK = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+QUICK = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
+
+class Parts(dict):
+    """Packed ids of word parts, made as they are asked for."""
+
+    def __init__(self, tokenize) -> None:
+        self.tokenize = tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: printable bytes stand for themselves,
+        rest = [b for b in range(256) if b not in plain]  # the others for characters from 256 on
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= KEPT_PARTS:
+            self.clear()
+        ids = [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]
+        out = self[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
 
 class WordTokenizer:
@@ -40,27 +58,17 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: printable bytes stand for themselves,
-        rest = [b for b in range(256) if b not in plain]  # the others for characters from 256 on
-        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.part = Parts(self.tokenizer.model.tokenize).__getitem__
 
     def word(self, w: bytes) -> bytes:
         text = w.decode("utf-8", "replace")
-        if not QUICK.fullmatch(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        if QUICK(text):
+            out = b"".join(map(self.part, PARTS(text.lower())))
         else:
-            ids = []
-            for p in PARTS.findall(text.lower()):
-                got = self.parts.get(p)
-                if got is None:
-                    if len(self.parts) >= KEPT_PARTS:
-                        self.parts.clear()
-                    got = self.parts[p] = [t.id for t in self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet))]
-                ids += got
+            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) >= KEPT_WORDS:
             self.words.clear()
-        out = self.words[w] = np.array(ids, "<u4").tobytes()
+        self.words[w] = out
         return out
 
     def encode(self, text: bytes | None) -> bytes:
