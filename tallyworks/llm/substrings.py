@@ -1,9 +1,11 @@
 """Repeated passages across documents: confirmed by shuffled window hashes, located by sharded automata.
 
-1. Every document's windows of ``WINDOW`` words are hashed (64 bits) with numpy. A map task sorts its hashes
-   and sends them, delta coded and compressed, to hash buckets: one row for each task and bucket.
-2. A bucket finds the windows that occur in two or more documents and, for each, the smallest id. For every
-   later document with such a window it notes (document, window, smallest id), sent to the document's shard.
+1. Every document's windows of ``WINDOW`` words are hashed (64 bits) with numpy. Of the documents that it has
+   gathered, a map task notes (document, window, a smaller id that has it) for all but the smallest id of
+   each window, and sends only the smallest ids, delta coded and compressed, to hash buckets. So however
+   many documents share a window, its bucket gets one id from each gathering.
+2. A bucket finds the windows with two or more ids left and notes the same for all but the smallest. Notes
+   go to the document's shard; any smaller id will do as a passage's owner.
 3. A shard turns its notes into passages (longest runs of noted windows with one owner), compiles them into
    an Aho-Corasick automaton over word numbers, and streams all its documents through it. What a passage
    covers is removed if its owner is smaller than the document.
@@ -72,29 +74,53 @@ def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
     return [np.cumsum(cols[0], dtype=np.uint64), *(c.view(np.int64) for c in cols[1:])]
 
 
-def _spread(hashes: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, blob of hash and id) by the high bits of the hash; repeats within a document once."""
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, start, end) of each run of equal, ascending keys."""
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+        if b > a:
+            yield int(keys[a]), int(a), int(b)
+
+
+def _least(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, their smallest ids, notes): notes are columns (document, window, owner) of all other ids."""
     order = np.lexsort((ids, hashes))
     hashes, ids = hashes[order], ids[order]
     new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])
+    new[1:] = (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])  # repeats within a document count once
     hashes, ids = hashes[new], ids[new]
-    at = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    cuts = np.flatnonzero(np.diff(at)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
-        if b > a:
-            yield int(at[a]), _pack(hashes[a:b], ids[a:b])
+    first = np.ones(len(hashes), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    owner = ids[first][np.cumsum(first) - 1]
+    later = ids != owner
+    return hashes[first], ids[first], np.stack([ids[later], hashes[later].view(np.int64), owner[later]])
+
+
+def _notes(columns: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
+    """(shard, blob) of notes."""
+    d, h, o = columns
+    to = shard_of(d, shards)
+    order = np.lexsort((h.view(np.uint64), to))
+    d, h, o, to = d[order], h[order], o[order], to[order]
+    return [(s, _pack(h[a:b].view(np.uint64), d[a:b], o[a:b])) for s, a, b in _runs(to)]
+
+
+def _rows(rows: list[tuple[int, bytes]], name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=[name, "blob"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Smallest ids to bucket 0 and up, by the high bits of the hash; notes to -1 - shard."""
     hashes: list[np.ndarray] = []
     ids: list[np.ndarray] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
-        rows = list(_spread(np.concatenate(hashes), np.concatenate(ids), buckets))
+        h, d, notes = _least(np.concatenate(hashes), np.concatenate(ids))
         hashes.clear(), ids.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+        at = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        rows = [(k, _pack(h[a:b], d[a:b])) for k, a, b in _runs(at)]
+        return _rows([*rows, *((-1 - s, blob) for s, blob in _notes(notes, buckets))], "bucket")
 
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
@@ -116,41 +142,37 @@ def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Buckets, each in one run of rows: notes (document, window, owner) of all but the owners, to the documents' shards."""
-    held: dict[int, list[bytes]] = {}
-    notes: list[np.ndarray] = []
+    """Notes of all but the owners in each bucket, which is one run of rows; notes made before go on as they are."""
+    bucket, blobs, notes = -1, [], []
 
-    def confirm(blobs: list[bytes]) -> None:
+    def confirm() -> None:
         both = [_unpack(b, 2) for b in blobs]
-        h, d = (np.concatenate([x[k] for x in both]) for k in (0, 1))
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        owner = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-        later = d != owner
-        if later.any():
-            notes.append(np.stack([d[later], h[later].view(np.int64), owner[later]]))
+        found = _least(*(np.concatenate([x[k] for x in both]) for k in (0, 1)))[2]
+        if found.shape[1]:
+            notes.append(found)
+        blobs.clear()
 
     def send() -> pa.RecordBatch:
-        d, h, o = np.concatenate(notes, axis=1)
+        rows = _notes(np.concatenate(notes, axis=1), shards)
         notes.clear()
-        to = shard_of(d, shards)
-        order = np.lexsort((h.view(np.uint64), to))
-        d, h, o, to = d[order], h[order], o[order], to[order]
-        cuts = np.flatnonzero(np.diff(to)) + 1
-        rows = [(int(to[a]), _pack(h[a:b].view(np.uint64), d[a:b], o[a:b])) for a, b in zip([0, *cuts], [*cuts, len(to)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
+        return _rows(rows, "shard")
 
     for b in batches:
-        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if held and bucket not in held:
-                confirm(held.popitem()[1])
+        before = []
+        for at, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if at < 0:
+                before.append((-1 - at, blob))
+                continue
+            if blobs and at != bucket:
+                confirm()
                 if sum(n.shape[1] for n in notes) >= GATHER:
                     yield send()
-            held.setdefault(bucket, []).append(blob)
-    if held:
-        confirm(held.popitem()[1])
+            bucket = at
+            blobs.append(blob)
+        if before:
+            yield _rows(before, "shard")
+    if blobs:
+        confirm()
     if notes:
         yield send()
 
