@@ -1,0 +1,176 @@
+"""Near copies by the similarity of their shingles: MinHash bands propose, the whole shingle sets confirm.
+
+Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked. Each text gets
+``BANDS`` hashes of ``ROWS`` minima each; a pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS
+(0.9999 at 0.8), and nothing is linked that the sets don't confirm. Equal texts are put together first. Buckets
+beyond ``TILE_BYTES`` of sets are dealt out as pairs of blocks, so no task gets an unbounded group, and each tile
+returns a spanning forest of its links, never all pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpoint
+from .simhash import connected_components
+
+#: Words of a shingle, and the similarity from which texts are copies of each other.
+WIDTH, SIMILARITY = 5, 0.8
+BANDS, ROWS = 24, 5
+#: Bytes of shingle sets of one block of a tile; a tile holds two blocks at most.
+TILE_BYTES = 4 << 20
+#: Shingles mixed at once for the minima.
+CHUNK = 4096
+#: Words whose hashes a task remembers.
+REMEMBERED = 1 << 18
+
+_RNG = np.random.default_rng(8)
+_FACTORS = _RNG.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TURNS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIPS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
+def shingles(ws: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``WIDTH``-word shingles; fewer words make one shingle of all of them."""
+    import xxhash
+
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in set(ws).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w)
+    h, n = np.array([known[w] for w in ws], np.uint64), min(WIDTH, len(ws))
+    out = np.full(max(0, len(h) - n + 1) if n else 0, n, np.uint64)
+    for k in range(n):
+        out += h[k : len(h) - n + 1 + k] * _FACTORS[k]
+    return np.unique(_mixed(out))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """``BANDS`` hashes, each of ``ROWS`` minima of the shingles and of its own number; none without shingles."""
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(found), CHUNK):
+        low = np.minimum(low, ((found[at : at + CHUNK] ^ _FLIPS[:, None]) * _TURNS[:, None]).min(1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + low[r::ROWS])
+    return out
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, bands, shingles) of ``docs`` (doc_id, text); ``key`` tells lower-cased words apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        known: dict[bytes, int] = {}
+        for b in batches:
+            keys, sizes, signs, sets = [], [], [], []
+            for text in b.column(1).cast(pa.binary()).to_pylist():
+                ws = (text or b"").lower().split()  # bytes: lower-cases A-Z, splits at \x20 and \x09-\x0D
+                found = shingles(ws, known)
+                keys.append(xxhash.xxh128_digest(b" ".join(ws)))
+                sizes.append(len(found))
+                signs.append(bands(found).view(np.int64))
+                sets.append(found.tobytes())
+            columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "key", "n", "bands", "shingles"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n long, bands array<bigint>, shingles binary")
+
+
+def _alike(one: np.ndarray, sets: list[np.ndarray], of: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Those numbers in ``of`` whose sets have ``SIMILARITY`` with ``one``."""
+    if not len(of):
+        return of
+    every = np.concatenate([sets[k] for k in of])
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    begins = np.concatenate([[0], np.cumsum(sizes[of])[:-1]])
+    both = np.add.reduceat((one[at] == every).astype(np.int64), begins)
+    return of[both >= SIMILARITY * (len(one) + sizes[of] - both)]
+
+
+def forest(sets: list[np.ndarray], blocks: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest (number, root number) of the similar pairs, between the two blocks or within the only one."""
+    sizes, label = np.array([len(s) for s in sets]), np.arange(len(sets))
+    two = len(np.unique(blocks)) > 1
+    for k in range(len(sets)):
+        fits = (np.minimum(sizes, sizes[k]) >= SIMILARITY * np.maximum(sizes, sizes[k])) & (np.arange(len(sets)) < k)
+        if two:
+            fits &= blocks != blocks[k]
+        # One of each group first: what that links needs no further look.
+        for only_first in (True, False):
+            open_ = np.flatnonzero(fits & (label != label[k]))
+            if only_first:
+                open_ = open_[np.unique(label[open_], return_index=True)[1]]
+            roots = np.unique(np.append(label[_alike(sets[k], sets, open_, sizes)], label[k]))
+            label[np.isin(label, roots)] = roots[0]
+    return [(int(k), int(label[k])) for k in np.flatnonzero(label != np.arange(len(label)))]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Links of each run of equal (bucket, i, j), which may go over several batches."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for (_, i, j), run in groupby(rows, key=lambda r: r[:3]):
+        tile = list(run)
+        blocks = np.array([r[3] for r in tile])
+        if i != j and len(set(blocks.tolist())) < 2:
+            continue
+        found = forest([np.frombuffer(r[5], np.uint64) for r in tile], blocks)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([tile[p[k]][4] for p in found], kind) for k in (0, 1)], names=["a", "b"])
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Edges (a, b) between the ids of ``distinct`` (rep, n, bands, shingles) that span every group of similar texts."""
+    rows = distinct.select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
+    rows = rows.join(shared, "bucket").withColumn("parts", F.ceil(F.col("total") * 8 / TILE_BYTES))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
+    tiles = rows.join(distinct.select("rep", "shingles"), "rep").select("bucket", "i", "j", "block", "rep", "shingles")
+    tiles = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    kind = distinct.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is not None:
+            yield from _tiles((b for part in ([first], batches) for b in part), first.column(4).type)
+
+    return tiles.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs`` with an id; component_id is the smallest id of its copies.
+
+    Null and blank texts are equal texts. Copies of copies count as copies.
+    """
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = checkpoint(sketches(rows))
+    equal = rows.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    distinct = rows.join(equal.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
+    roots = connected_components(links(distinct))
+    least = equal.join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("component_id"))
+    return rows.select("doc_id", "key").join(least, "key").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of copies, the one with the smallest id.
+
+    Needs an id that no two different rows share; rows with a null id stay.
+    """
+    gone = near_copies(docs, **options).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
