@@ -41,8 +41,13 @@ NOTICES = (
     Notice("cc-by-sa", "creative commons attribution sharealike", 3),
     Notice("cc-by", "licensed under a creative commons attribution", 3),
     Notice("gpl", "under the terms of the gnu general public license", 4),
+    Notice("gpl", "licensed under the gnu general public license", 4),
+    Notice("gpl", "released under the gnu general public license", 4),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
     Notice("mpl-2", "subject to the terms of the mozilla public license", 4),
+    Notice("mpl-2", "licensed under the mozilla public license", 4),
+    Notice("mit", "licensed under the mit license", 2),
+    Notice("bsd", "licensed under the bsd license", 2),
     Notice("proprietary", "all rights reserved", 1),
 )
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices string"

@@ -57,3 +57,26 @@ def test_documents_and_empty(spark, sf_dir):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(texts[r.doc_id])
     got = L.scan(frame(spark, documents()))
     assert got.count() == len(documents()) and L.scan(frame(spark, [])).count() == 0
+
+
+LINES = {
+    "This work is licensed under the GNU General Public License, version 3.": "gpl",
+    "Released under the GNU General Public License.": "gpl",
+    "This file is licenced under the GNU General Public Licence": "gpl",
+    "Licensed under the Mozilla Public License, version 2.0": "mpl-2",
+    "Licenced under the MIT Licence": "mit",
+    "Licensed under the BSD license": "bsd",
+    "The general public was not licensed under the rules": "",
+}
+
+
+def test_lines_that_name_a_license():
+    scanner = L.Scanner()
+    assert {t: scanner.row(t.encode())[5] for t in LINES} == LINES
+
+
+def test_license_lines_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    line = r"(?i)licensed under the gnu general public license"
+    rows = L.scan(docs.select("doc_id", "text").where(docs.text.rlike(line))).collect()
+    assert rows and all("gpl" in r.labels.split(",") and r.score == 1 for r in rows)
