@@ -457,3 +457,57 @@ def tokenized_rows(spark, sf_dir):
     rows = derive(spark, sf_dir).where(~F.col("k").isin(0, 4)).select("example_id", "question", "answer")
     tokens = tokenization.tokenize(examples.training_examples(rows, "Solve step by step."))
     return tokens.select("example_id", F.size("input_ids").cast("long").alias("tokens"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("learned"))
+
+
+# The same over all variants and all annotations; the queries above with id subsets keep their SQL.
+_L = lambda x: f"length(CAST({x} AS VARCHAR))"
+_WHOLE = "((200 * a + 7) // 14) // 100"
+_SPANS = (
+    QA_SQL
+    + f""", firsts AS (
+  SELECT example_id, k, a, b, c, p, t, CASE WHEN k IN (0, 1, 2, 3, 11) THEN 6 ELSE 0 END AS "start", CASE k
+    WHEN 1 THEN 6 + {_L("a")} + {_L("b")} + {_L("p + 1")} WHEN 2 THEN 5 + {_L("a")} + {_L("b")} WHEN 3 THEN 4 + {_L("a")} + {_L("b")} + {_L("p")}
+    WHEN 4 THEN 5 + 2 * {_L("a")} WHEN 5 THEN 6 + {_L("a")} + {_L("b")} + {_L("a % b")} WHEN 6 THEN 8 + {_L("a")} WHEN 7 THEN 10 + {_L("a")} + {_L(_WHOLE)}
+    WHEN 8 THEN 6 + {_L("a")} + {_L("b")} + {_L("a + b")} WHEN 10 THEN 14 + 2 * {_L("a")} + {_L("b")} WHEN 12 THEN 9 + 2 * {_L("a")}
+    WHEN 13 THEN 7 + {_L("c")} + {_L("a + 10")} + {_L("a + 10 - c")} WHEN 15 THEN 7 + {_L("a")} + {_L("b")} + {_L("a // b")} ELSE 6 + {_L("a")} + {_L("b")} + {_L("p")} END AS width
+  FROM base WHERE k NOT IN (9, 14)
+), spans AS (
+  SELECT example_id, k, 0 AS step, "start", width, 0 AS context FROM firsts
+  UNION ALL
+  SELECT example_id, k, 1, "start" + width + CASE k WHEN 0 THEN 13 + {_L("p")} WHEN 4 THEN 6 + {_L("a")} ELSE 7 END, CASE k WHEN 4 THEN 6 + {_L("a")} + {_L("c")} + {_L("a + c")} ELSE 6 + {_L("p")} + {_L("c")} + {_L("t")} END,
+    "start" + width + CASE k WHEN 0 THEN 8 + {_L("p")} WHEN 4 THEN 0 ELSE 2 END FROM firsts WHERE k IN (0, 4, 11)
+)
+"""
+)
+# Analysed answers lose the identity of variant 4 and the repeated values of variant 0.
+_CANON = f"""CASE k WHEN 0 THEN length(answer) - {_L("p")} - {_L("t")} WHEN 4 THEN length(answer) - {_L("a")} - 5 - {_L("a")} ELSE length(answer) END"""
+
+
+@query(_SPANS + 'SELECT example_id, CAST(step AS INT) AS "index", "start", "start" + width AS "end" FROM spans')
+def all_step_spans(spark, sf_dir):
+    return scan.annotations(derive(spark, sf_dir), "answer", "example_id").select("example_id", "index", "start", "end")
+
+
+@query(SQL["answer_texts"].replace("CASE WHEN k = 3", "CASE WHEN k IN (0, 1, 2, 9) THEN CAST(t AS VARCHAR) WHEN k = 4 THEN CAST(a + c AS VARCHAR) WHEN k = 5 THEN CAST(a % b AS VARCHAR) WHEN k = 6 THEN '0' WHEN k = 7 THEN CAST(a AS VARCHAR) || '/7' WHEN k = 10 THEN CAST(a AS VARCHAR) || ',0' || lpad(CAST(b AS VARCHAR), 2, '0') WHEN k = 11 THEN CAST(t + 1 AS VARCHAR) WHEN k = 12 THEN CAST(a AS VARCHAR) || '/4' WHEN k = 13 THEN '-' || CAST(a + 10 - c AS VARCHAR) WHEN k = 15 THEN CAST(a // b AS VARCHAR) WHEN k = 3"))
+def all_answer_texts(spark, sf_dir):
+    return derive(spark, sf_dir).select("example_id", scan.marked_text(F.col("answer")).alias("marked"), scan.last_standalone(F.col("answer")).alias("standalone"))
+
+
+@query(_SPANS + ", l AS (SELECT example_id, sum(width) AS inside FROM spans GROUP BY example_id) SELECT qa.example_id, CAST(length(answer) + 2.5 * coalesce(inside, 0) AS DOUBLE) AS weight FROM qa LEFT JOIN l ON qa.example_id = l.example_id")
+def all_token_weights(spark, sf_dir):
+    rows = features.build(_tokens(spark, sf_dir), ["token_loss_weights"], 3.5)
+    return rows.select("example_id", objective._sum(F.col("token_loss_weights")).alias("weight"))
+
+
+@query(_SPANS + """SELECT example_id, CAST(step AS INT) AS step, greatest(context - 1, 0) AS x, CASE WHEN step = 1 THEN 1 ELSE 0 END AS placed, true AS seen FROM spans""")
+def all_causal_positions(spark, sf_dir):
+    rows = features.step_features(_tokens(spark, sf_dir))
+    seen = F.transform("steps", lambda s: features.visible(F.col("offsets"), F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    steps = F.arrays_zip(F.col("step_positions").alias("x"), F.col("step_mask").alias("placed"), seen.alias("seen"))
+    return rows.select("example_id", F.posexplode(steps).alias("step", "z")).select("example_id", "step", "z.x", F.col("z.placed").cast("int").alias("placed"), "z.seen")
+
+
+@query(QA_SQL + f", l AS (SELECT example_id, length(question) AS q, {_CANON} AS len FROM qa) SELECT example_id, CAST(q + 49 + len + 12 + 11 AS BIGINT) AS tokens, CAST(len + 12 AS BIGINT) AS learned FROM l")
+def all_tokenized_rows(spark, sf_dir):
+    tokens = tokenization.tokenize(examples.training_examples(derive(spark, sf_dir).select("example_id", "question", "answer"), "Solve step by step."))
+    return tokens.select("example_id", F.size("input_ids").cast("long").alias("tokens"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("learned"))
