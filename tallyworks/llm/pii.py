@@ -133,18 +133,23 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, o
     df = _settled(df, {f"__e_{k.name}": ends(k) for k in kinds})
 
     def spans(k: Kind) -> Column:
-        m, g, e = (F.col(f"__{c}_{k.name}") for c in "mge")
+        m, e = (F.col(f"__{c}_{k.name}") for c in "me")
 
-        def one(x: Column, i: Column) -> Column:
-            near = F.concat_ws("\n", F.substring(F.get(g, i), -BEFORE, BEFORE), F.substring(F.get(g, i + 1), 1, AFTER))
+        def place(x: Column, i: Column) -> Column:
+            return F.struct((F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"), k.confirm(x).alias("ok"))
+
+        def one(s: Column) -> Column:
+            start, end = s["start"].cast("int"), s["end"].cast("int")
+            low = F.greatest(start - BEFORE, F.lit(0))
+            near = F.concat_ws("\n", F.substr("__text", low + 1, start - low), F.substr("__text", end + 1, F.lit(AFTER)))
             score = F.round(F.lit(k.score) + F.when(near.rlike(f"(?i)(?:{k.context})"), BOOST).otherwise(0.0), 2)
             return F.struct(
-                F.lit(k.name).alias("kind"), (F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"),
-                F.least(F.lit(1.0), score).alias("score"), F.lit(k.base).alias("base"), k.confirm(x).alias("ok"),
+                F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
+                F.least(F.lit(1.0), score).alias("score"), F.lit(k.base).alias("base"),
             )
 
-        found = F.filter(F.transform(m, one), lambda s: s["ok"] & (s["base"] | (s["score"] >= THRESHOLD)))
-        kept = F.transform(found, lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "score", "base"))))
+        confirmed = F.transform(F.filter(F.transform(m, place), lambda s: s["ok"]), one)
+        kept = F.filter(confirmed, lambda s: s["base"] | (s["score"] >= THRESHOLD))
         none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double,base:boolean>>")
         return F.when(F.size(m) > 0, kept).otherwise(none)
 

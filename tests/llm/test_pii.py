@@ -82,3 +82,18 @@ def test_native_plan_and_empty(spark):
     df = pii.redact(frame(spark, documents()))
     assert not re.search("Python|Arrow|Exchange", df._jdf.queryExecution().executedPlan().toString())
     assert df.columns == frame(spark, []).columns and pii.redact(frame(spark, [])).count() == 0
+
+
+HEX = "9233A8ECF7C5014BD2E6"
+NEAR = [
+    (f"tokens: {(HEX.lower() * 2)[:32]}, {(HEX.lower() * 2)[8:]}", ["secret"] * 2, "tokens: [SECRET], [SECRET]"),
+    ("SSN 123-45-6789, 223-45-6789", ["ssn"] * 2, "SSN [SSN], [SSN]"),
+    ("123-45-6789, 223-45-6789 𝒳 ssn", ["ssn"] * 2, "[SSN], [SSN] 𝒳 ssn"),
+    ("ssn " + "." * 44 + "123-45-6789 " + "." * 60 + "223-45-6789", ["ssn"], "ssn " + "." * 44 + "[SSN] " + "." * 60 + "223-45-6789"),
+]
+
+
+def test_neighbours_do_not_hide_context(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(NEAR)], "doc_id long, text string")
+    assert [[s.kind for s in r.pii] for r in pii.find(df).orderBy("doc_id").collect()] == [kinds for _, kinds, _ in NEAR]
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == [clean for *_, clean in NEAR]
