@@ -82,7 +82,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.7, r"phone|\btel\b|call|mobile|fax|telefon", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban, 0.8, r"iban|bank|account|konto|cuenta|compte"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(True), 0.4, r"\bssn\b|social security"),
-    Kind("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])", lambda m: m.rlike("[a-f]") & m.rlike("[0-9]"), 0.4, r"token|secret|passw|api|\bkey\b"),
+    Kind("secret", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])", lambda m: m.rlike("[A-Fa-f]") & m.rlike("[0-9]"), 0.4, r"token|secret|passw|api|\bkey\b"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 

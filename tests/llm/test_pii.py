@@ -97,3 +97,9 @@ def test_neighbours_do_not_hide_context(spark):
     df = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(NEAR)], "doc_id long, text string")
     assert [[s.kind for s in r.pii] for r in pii.find(df).orderBy("doc_id").collect()] == [kinds for _, kinds, _ in NEAR]
     assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == [clean for *_, clean in NEAR]
+
+
+def test_secrets_in_capitals_and_long_ones(spark):
+    texts = [f'TOKEN = "{HEX * 2}"', f"secret {HEX.lower() * 7}", f"Token {HEX}{HEX.lower()}", f"token {HEX * 2}G", f"no hint {HEX * 2}", f"token {HEX}"]
+    got = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ['TOKEN = "[SECRET]"', "secret [SECRET]", "Token [SECRET]", *texts[3:]]
