@@ -86,10 +86,34 @@ def echo_pairs(turns: DataFrame) -> DataFrame:
     return df.select("conv_id", F.slice("turns", F.lit(1), F.col("last") + 1).alias("chosen"), F.concat(before, F.array(echo)).alias("rejected"))
 
 
+def whole_pairs(turns: DataFrame) -> DataFrame:
+    """(conv_id, chosen, rejected) of every conversation, with all of its turns on both sides.
+
+    Rejected: the last assistant turn only echoes the text before it, and what follows it stays. Without an
+    assistant turn both sides are equal, so completions are empty.
+    """
+    df = conversations(turns)
+    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant").cast("int")
+    df = df.withColumn("last", F.when(F.array_contains(F.transform("turns", lambda t: t["role"]), "assistant"), last))
+    echo = F.struct(F.lit("assistant").alias("role"), F.coalesce(F.get("turns", F.col("last") - 1)["text"], F.lit("")).alias("text"))
+    rejected = F.transform("turns", lambda t, i: F.when(i == F.col("last"), echo).otherwise(t))
+    return df.select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
+
+
 def op1_preferences(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
-    df = format_preferences(echo_pairs(read_table(spark, sf_dir, "conversations")))
+    return _written(format_preferences(echo_pairs(read_table(spark, sf_dir, "conversations"))))
+
+
+def op1_whole_preferences(spark, sf_dir: str) -> DataFrame:
+    """As ``op1_preferences``, over every conversation and with the turns after the last assistant turn."""
+    from .common import read_table
+
+    return _written(format_preferences(whole_pairs(read_table(spark, sf_dir, "conversations"))))
+
+
+def _written(df: DataFrame) -> DataFrame:
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(c)
     return df.select("conv_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen_completion", "rejected_completion", written("chosen_mask"), written("rejected_mask"))
 

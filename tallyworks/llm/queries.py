@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import OP1_SQL, op1_preferences
+from .chat import OP1_SQL, op1_preferences, op1_whole_preferences
 from .decontamination import OP5_SQL, op5_decontamination
 from .licenses import op6_licenses
 from .packing import op3_packing
@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_preferences": op1_preferences,
+        "op1_whole_preferences": op1_whole_preferences,
         "op2_pii": op2_pii,
         "op3_packing": op3_packing,
         "op4_quality": op4_quality,

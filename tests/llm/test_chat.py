@@ -44,3 +44,29 @@ def test_native_plan_odd_rows_and_empty(spark):
     assert not re.search("Python|Arrow", df._jdf.queryExecution().executedPlan().toString())
     assert sorted(r.conv_id for r in df.collect()) == [1, 3]
     assert C.format_preferences(C.echo_pairs(turns.limit(0))).count() == 0
+
+
+def test_whole_pairs_keep_every_conversation_and_turn(spark, sf_dir):
+    from tallyworks.llm.common import read_table
+
+    convs = {}
+    for r in sorted(read_table(spark, sf_dir, "conversations").collect(), key=lambda r: (r.conv_id, r.turn)):
+        convs.setdefault(r.conv_id, []).append((r.role, r.text))
+    got = {r.conv_id: r for r in C.op1_whole_preferences(spark, sf_dir).collect()}
+    assert set(got) == set(convs)
+    for c, r in got.items():
+        turns, own = convs[c], [k for k, (role, _) in enumerate(convs[c]) if role == "assistant"]
+        assert r.prompt + r.chosen_completion == render(turns)
+        other = list(turns)
+        if own:
+            other[own[-1]] = ("assistant", other[own[-1] - 1][1] if own[-1] else "")
+        assert r.prompt + r.rejected_completion == render(other)
+        assert (r.chosen_completion == "") == (other == turns)
+
+
+def test_whole_pairs_of_odd_rows(spark):
+    rows = [(1, 0, "user", "q"), (2, 0, "user", "q"), (2, 1, "assistant", "yes"), (2, 2, "user", "more"), (2, 3, "tool", None), (3, 0, "assistant", "first")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_prompt_turns, r.chosen_completion, r.rejected_completion) for r in C.format_preferences(C.whole_pairs(turns)).collect()}
+    tail = [("user", "more"), ("tool", "")]
+    assert got == {1: (1, "", ""), 2: (1, render([("assistant", "yes"), *tail]), render([("assistant", "q"), *tail])), 3: (0, render([("assistant", "first")]), render([("assistant", "")]))}
