@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: reading tables, shared-folder checkpoints, sizes."""
+"""What the operators of this subpackage share: reading tables, shared folders, sizes, words."""
 
 from __future__ import annotations
 
@@ -17,39 +17,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that the cluster shares.
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share, for checkpoints and written tables.
 
-    The folder is what the session's ``spark.checkpoint.dir`` names; a machine-local one is made
-    only where that is unset, as in tests.
+    It is what the session's ``spark.checkpoint.dir`` names. Where that is unset, a local session (one
+    process, as in tests) gets a temporary folder, and a cluster is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share, for written tables."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return sc.getCheckpointDir()
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def input_bytes(df: DataFrame, text: str = "text") -> int:
-    """Size of the input by the optimizer's statistics (no job); by a sum over ``text`` where they are unknown."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 60:
-        return size
-    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of a text column, by a sum over it."""
+    return df.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
 
 
-def shards_for(df: DataFrame, bytes_each: int, text: str = "text") -> int:
-    """A shard count that keeps each shard near ``bytes_each``, at least the session's shuffle partitions."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df, text) // bytes_each), 1)
+def own_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or that with underscores before it until no column of ``df`` has the name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
 
 
 def words(text: Column) -> Column:

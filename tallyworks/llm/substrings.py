@@ -1,36 +1,51 @@
-"""Repeated passages across documents: confirmed by shuffled window hashes, located by sharded automata.
-
-1. Every document's windows of ``WINDOW`` words are hashed (64 bits) with numpy. Of the documents that it has
-   gathered, a map task notes (document, window, a smaller id that has it) for all but the smallest id of
-   each window, and sends only the smallest ids, delta coded and compressed, to hash buckets. So however
-   many documents share a window, its bucket gets one id from each gathering.
-2. A bucket finds the windows with two or more ids left and notes the same for all but the smallest. Notes
-   go to the document's shard; any smaller id will do as a passage's owner.
-3. A shard turns its notes into passages (longest runs of noted windows with one owner), compiles them into
-   an Aho-Corasick automaton over word numbers, and streams all its documents through it. What a passage
-   covers is removed if its owner is smaller than the document.
-
-Documents, notes and automata are dealt by hashes of windows and ids, into shards of a bounded size, so a
-source or passage that many documents share is spread over all of them.
+"""Repeated passages across documents: recurring windows, passages of their owners, sharded automata.
+
+1. Every document's windows of ``WINDOW`` words are hashed (64 bits) with numpy. A map task settles what the
+   documents that it has gathered share among themselves, and sends only the smallest id of each window, delta
+   coded and compressed, to hash buckets. So however many documents share a window, its bucket gets one id from
+   each gathering.
+2. A bucket finds the windows that two or more ids have. Ids of one window form a tree of ``BRANCHES`` branches
+   in ascending order: the parent, a smaller id, owes the passage to the shard of the child. So no owner has
+   to serve more than a bounded number of others, however often a window recurs.
+3. A shard of documents turns what its owners owe into passages: their words, in the longest runs of such windows
+   for a shard that asked. Passages travel as words, to every shard that holds documents which may repeat them.
+4. A shard compiles the passages that came into an Aho-Corasick automaton over word numbers, whose keys are the
+   passages' aligned blocks of seven words (each window of 13 contains one), and streams all its documents through
+   it. Where a block occurs, the match is extended word by word; 13 equal words or more are removed if the
+   passage's owner is smaller than the document. So nothing is removed that words don't confirm.
+5. Windows whose hash came with a passage, but whose words are in none, have a hash that different words share. Their
+   documents are grouped by the words themselves, and stage 4 runs again with the passages that this adds.
+
+Documents are dealt by hashes of ids into shards of a bounded size, so a source or passage that many documents
+share is spread over all of them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes
+from .common import checkpoint, text_bytes
 
 WINDOW = 13
 #: Windows that a map task gathers before it sends them off; bounds its memory.
 GATHER = 1 << 20
-#: Bytes of text (as the input stores it) of a document shard, and of the text whose windows share a hash bucket.
-SHARD_BYTES = 3 << 20
+#: Bytes of text of a document shard, and of the text whose windows share a hash bucket.
+SHARD_BYTES = 5 << 20
+#: Buckets that one shuffle cuts a range of hashes into, so that what a gathering sends to each stays large.
+FANOUT = 2048
+#: Ids that one smaller id owes a window to.
+BRANCHES = 64
+#: Hashes that are looked for at once where different words share them (8 bytes each, broadcast).
+LOST_AT_ONCE = 1 << 20
+
+Hasher = Callable[[list[bytes], int], np.ndarray]
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -45,16 +60,27 @@ def window_hashes(ws: list[bytes], width: int = WINDOW, seed: int = 97) -> np.nd
     if len(ws) < width:
         return np.zeros(0, np.uint64)
     h = np.array(list(map(xxhash.xxh64_intdigest, ws)), dtype=np.uint64)
+    h ^= h >> np.uint64(29)
     odd = np.random.default_rng(seed).integers(1, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.zeros(len(ws) - width + 1, np.uint64)
     for k in range(width):
-        x = h[k : len(ws) - width + 1 + k]
-        out += (x ^ (x >> np.uint64(29))) * odd[k]
+        out += h[k : len(ws) - width + 1 + k] * odd[k]
     out ^= out >> np.uint64(32)  # the last step spreads the good high bits over the low ones
     out *= np.uint64(0x9E3779B97F4A7C15)
     return out ^ (out >> np.uint64(29))
 
 
+def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
+    """What ``pmod(xxhash64(id), shards)`` gives in Spark for longs: XXH64 of eight bytes, seed 42."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = (np.uint64(50) + p5) ^ (turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return ((h ^ (h >> np.uint64(32))).view(np.int64) % shards).astype(np.int32)
+
+
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of 64-bit integers, the first one ascending; bytes of equal weight stand together, compressed."""
     import zstandard
@@ -75,15 +101,15 @@ def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(key, start, end) of each run of equal, ascending keys."""
+    """(key, start, end) of each run of equal keys."""
     cuts = np.flatnonzero(np.diff(keys)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
         if b > a:
             yield int(keys[a]), int(a), int(b)
 
 
-def _least(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, their smallest ids, notes): notes are columns (document, window, owner) of all other ids."""
+def settle(hashes: np.ndarray, ids: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, their smallest ids, debts): a debt is a column (window, owner, shard that needs the owner's words)."""
     order = np.lexsort((ids, hashes))
     hashes, ids = hashes[order], ids[order]
     new = np.ones(len(hashes), bool)
@@ -91,201 +117,333 @@ def _least(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     hashes, ids = hashes[new], ids[new]
     first = np.ones(len(hashes), bool)
     first[1:] = hashes[1:] != hashes[:-1]
-    owner = ids[first][np.cumsum(first) - 1]
-    later = ids != owner
-    return hashes[first], ids[first], np.stack([ids[later], hashes[later].view(np.int64), owner[later]])
+    begin = np.flatnonzero(first)[np.cumsum(first) - 1]
+    child = np.flatnonzero(~first)
+    parent = begin[child] + (child - begin[child] - 1) // BRANCHES
+    debts = np.stack([hashes[child].view(np.int64), ids[parent], shard_of(ids[child], shards).astype(np.int64)])
+    again = np.zeros(len(child), bool)
+    again[1:] = (debts[:, 1:] == debts[:, :-1]).all(axis=0)
+    return hashes[first], ids[first], debts[:, ~again]
 
 
-def _notes(columns: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
-    """(shard, blob) of notes."""
-    d, h, o = columns
-    to = shard_of(d, shards)
-    order = np.lexsort((h.view(np.uint64), to))
-    d, h, o, to = d[order], h[order], o[order], to[order]
-    return [(s, _pack(h[a:b].view(np.uint64), d[a:b], o[a:b])) for s, a, b in _runs(to)]
+def _debts(columns: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
+    """(shard of the owner, blob) of debts."""
+    h, o, to = columns
+    at = shard_of(o, shards)
+    order = np.lexsort((h.view(np.uint64), at))
+    h, o, to, at = h[order].view(np.uint64), o[order], to[order], at[order]
+    return [(s, _pack(h[a:b], o[a:b], to[a:b])) for s, a, b in _runs(at)]
 
 
 def _rows(rows: list[tuple[int, bytes]], name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=[name, "blob"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], buckets: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Smallest ids to bucket 0 and up, by the high bits of the hash; notes to -1 - shard."""
-    hashes: list[np.ndarray] = []
-    ids: list[np.ndarray] = []
-    held = 0
+class Gathering:
+    """Windows and ids of one task, sent off in parts: smallest ids to buckets 0 and up, debts to -1 - shard."""
 
-    def flush() -> pa.RecordBatch:
-        h, d, notes = _least(np.concatenate(hashes), np.concatenate(ids))
-        hashes.clear(), ids.clear()
-        at = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    def __init__(self, buckets: int, shards: int) -> None:
+        self.buckets, self.shards, self.held = buckets, shards, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray) -> None:
+        if len(hashes):
+            self.parts.append((hashes, ids))
+            self.held += len(hashes)
+
+    def send(self) -> pa.RecordBatch:
+        h, d, debts = settle(*(np.concatenate([p[k] for p in self.parts]) for k in (0, 1)), self.shards)
+        self.parts, self.held = [], 0
+        at = ((h >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
         rows = [(k, _pack(h[a:b], d[a:b])) for k, a, b in _runs(at)]
-        return _rows([*rows, *((-1 - s, blob) for s, blob in _notes(notes, buckets))], "bucket")
+        return _rows([*rows, *((-1 - s, blob) for s, blob in _debts(debts, self.shards))], "bucket")
+
 
+def _windows(batches: Iterator[pa.RecordBatch], buckets: int, shards: int, width: int, hasher: Hasher) -> Iterator[pa.RecordBatch]:
+    found = Gathering(buckets, shards)
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-            h = window_hashes(split_words(text.as_py()), width)
-            if len(h):
-                hashes.append(h)
-                ids.append(np.full(len(h), doc, np.int64))
-                held += len(h)
-            if held >= GATHER:
-                yield flush()
-                held = 0
-    if held:
-        yield flush()
+            h = hasher(split_words(text.as_py()), width)
+            found.add(h, np.full(len(h), doc, np.int64))
+            if found.held >= GATHER:
+                yield found.send()
+    if found.held:
+        yield found.send()
 
 
-def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
-    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, some blobs) of rows sorted by bucket, each batch by itself."""
+    for b in batches:
+        keys, blobs = b.column(0).to_numpy(), b.column(1).to_pylist()
+        for key, a, z in _runs(keys):
+            yield key, blobs[a:z]
+
+
+def _refine(batches: Iterator[pa.RecordBatch], buckets: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Gathers what a range of hashes got and deals it out to finer buckets; debts go on as they are."""
+    found, last = Gathering(buckets, shards), None
+    for key, blobs in _by_bucket(batches):
+        if key < 0:
+            yield _rows([(key, blob) for blob in blobs], "bucket")
+            continue
+        if found.held and (key != last or found.held >= GATHER):
+            yield found.send()
+        last = key
+        for blob in blobs:
+            found.add(*_unpack(blob, 2))
+            if found.held >= GATHER:
+                yield found.send()
+    if found.held:
+        yield found.send()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Notes of all but the owners in each bucket, which is one run of rows; notes made before go on as they are."""
-    bucket, blobs, notes = -1, [], []
+    """Debts of each bucket's windows to the owners' shards; debts made before go on as they are."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    made: list[np.ndarray] = []
+    last = None
 
-    def confirm() -> None:
-        both = [_unpack(b, 2) for b in blobs]
-        found = _least(*(np.concatenate([x[k] for x in both]) for k in (0, 1)))[2]
-        if found.shape[1]:
-            notes.append(found)
-        blobs.clear()
+    def close() -> None:
+        if parts:
+            made.append(settle(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)), shards)[2])
+            parts.clear()
 
     def send() -> pa.RecordBatch:
-        rows = _notes(np.concatenate(notes, axis=1), shards)
-        notes.clear()
+        rows = _debts(np.concatenate(made, axis=1), shards)
+        made.clear()
         return _rows(rows, "shard")
 
-    for b in batches:
-        before = []
-        for at, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if at < 0:
-                before.append((-1 - at, blob))
-                continue
-            if blobs and at != bucket:
-                confirm()
-                if sum(n.shape[1] for n in notes) >= GATHER:
-                    yield send()
-            bucket = at
-            blobs.append(blob)
-        if before:
-            yield _rows(before, "shard")
-    if blobs:
-        confirm()
-    if notes:
+    for key, blobs in _by_bucket(batches):
+        if key < 0:
+            yield _rows([(-1 - key, blob) for blob in blobs], "shard")
+            continue
+        if key != last:
+            close()
+            last = key
+            if sum(m.shape[1] for m in made) >= GATHER:
+                yield send()
+        parts.extend(tuple(_unpack(blob, 2)) for blob in blobs)
+    close()
+    if made:
         yield send()
 
 
+def levels(buckets: int) -> list[int]:
+    """Bucket counts of the shuffles, one after the other.
+
+    >>> levels(100), levels(FANOUT * 3)
+    ([100], [2048, 6144])
+    """
+    out, n = [], FANOUT
+    while n < buckets:
+        out.append(n)
+        n *= FANOUT
+    return [*out, buckets]
+
+
+def owed(docs: pa.Table, debts: pa.Table, width: int, hasher: Hasher) -> Iterator[tuple[int, int, bytes]]:
+    """(shard, owner, words) of the passages that the owners among ``docs`` owe."""
+    if not debts.num_rows:
+        return
+    columns = [_unpack(b, 3) for b in debts["blob"].to_pylist()]
+    h, o, to = (np.concatenate([c[k] for c in columns]) for k in range(3))
+    order = np.lexsort((to, o))
+    h, o, to = h[order], o[order], to[order]
+    by_owner = {owner: (a, b) for owner, a, b in _runs(o)}
+    for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].cast(pa.binary()), strict=True):
+        if doc not in by_owner:
+            continue
+        a, b = by_owner[doc]
+        ws = split_words(text.as_py())
+        own = hasher(ws, width)
+        by_hash = np.argsort(own, kind="stable")
+        ranked = own[by_hash]
+        for shard, x, y in _runs(to[a:b]):
+            wanted = np.unique(h[a + x : a + y])
+            low, high = np.searchsorted(ranked, wanted), np.searchsorted(ranked, wanted, "right")
+            at = np.sort(np.concatenate([by_hash[i:j] for i, j in zip(low, high, strict=True)])) if len(own) else by_hash
+            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                if len(run):
+                    yield shard, doc, b" ".join(ws[run[0] : run[-1] + width])
+
+
 class PassageAutomaton:
-    """Aho-Corasick over word numbers: locates every occurrence of passages, each with the smallest id that has it."""
+    """Aho-Corasick over word numbers: finds every stretch of ``width`` words or more that a document shares with a passage.
+
+    Keys are aligned blocks of passages, of which every window contains one; a block that occurs is extended in
+    both directions, word by word.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, passages: dict[bytes, int], width: int = WINDOW) -> None:
+        """``passages``: words joined by blanks, with the smallest id that has them."""
         import ahocorasick
 
+        self.width, self.block = width, (width + 1) // 2
         self.numbers: dict[bytes, int] = {}
-        self.owners: dict[tuple[int, ...], int] = {}
+        self.texts: list[np.ndarray] = []
+        self.owners: list[int] = []
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for passage, owner in sorted(passages.items(), key=lambda p: (p[1], p[0])):
+            numbers = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in passage.split()]
+            for at in range(0, len(numbers) - self.block + 1, self.block):
+                places.setdefault(tuple(numbers[at : at + self.block]), []).append((len(self.texts), at))
+            self.texts.append(np.array(numbers, np.int32))
+            self.owners.append(owner)
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-
-    def encode(self, ws: list[bytes]) -> tuple[int, ...]:
-        """Numbers of words, made as needed."""
-        numbers = self.numbers
-        return tuple([numbers.setdefault(w, len(numbers) + 1) for w in ws])
-
-    def add(self, passage: tuple[int, ...], owner: int) -> None:
-        self.owners[passage] = min(owner, self.owners.get(passage, owner))
-
-    def compile(self) -> PassageAutomaton:
-        for passage, owner in self.owners.items():
-            self.machine.add_word(passage, (len(passage), owner))
-        self.owners.clear()
-        if len(self.machine):
+        for block, at in places.items():
+            self.machine.add_word(block, at)
+        if places:
             self.machine.make_automaton()
-        return self
 
     def covered(self, ws: list[bytes], doc: int | None) -> np.ndarray:
-        """Mask of the words inside occurrences of passages whose owner is smaller than ``doc``."""
-        mask = np.zeros(len(ws) + 1, np.int32)
-        if doc is None or not len(self.machine):
-            return mask[:-1] > 0
-        get = self.numbers.get
-        for end, (length, owner) in self.machine.iter(tuple([get(w, 0) for w in ws])):
-            if owner < doc:
-                mask[end + 1 - length] += 1
-                mask[end + 1] -= 1
-        return np.cumsum(mask[:-1]) > 0
-
-
-def _passages(ws: list[bytes], noted: dict[int, int], width: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, owner): longest runs of noted windows with one owner, in words."""
-    hashes = window_hashes(ws, width).view(np.int64)
-    owner = np.array([noted.get(h, -1 << 63) for h in hashes.tolist()], np.int64)
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(owner)], strict=True):
-        if b > a and owner[a] != -1 << 63:
-            yield int(a), int(b) + width - 1, int(owner[a])
-
-
-def _locate(docs: pa.Table, notes: pa.Table, width: int) -> Iterator[tuple[int | None, list[bytes], np.ndarray]]:
-    """(id, words, removed mask) of each document of a shard."""
-    by_doc: dict[int, dict[int, int]] = {}
-    if notes.num_rows:
-        cols = [_unpack(b, 3) for b in notes["blob"].to_pylist()]
-        h, d, o = (np.concatenate([c[k] for c in cols]) for k in range(3))
-        order = np.argsort(d, kind="stable")
-        h, d, o = h[order].view(np.int64), d[order], o[order]
-        cuts = np.flatnonzero(np.diff(d)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(d)], strict=True):
-            by_doc[int(d[a])] = dict(zip(h[a:b].tolist(), o[a:b].tolist(), strict=True))
-    automaton = PassageAutomaton()
-    rows = list(zip(docs["doc_id"].to_pylist(), docs["text"].cast(pa.binary()).to_pylist(), strict=True))
-    for doc, text in rows:
-        if doc in by_doc:
-            ws = split_words(text)
-            for a, b, owner in _passages(ws, by_doc[doc], width):
-                automaton.add(automaton.encode(ws[a:b]), owner)
-    automaton.compile()
-    for doc, text in rows:
-        ws = split_words(text)
-        yield doc, ws, automaton.covered(ws, doc)
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every row.
-
-    A word goes if a window of ``width`` words over it also starts in a document with a smaller id. Null
-    texts have no words. Rows with one id never remove each other's words; rows with a null id neither
-    remove nor lose words. Columns of ``docs`` other than the two aren't read.
+        """Mask of the words inside windows that a passage of an owner smaller than ``doc`` has."""
+        mask = np.zeros(len(ws), bool)
+        if doc is None or not self.texts or len(ws) < self.width:
+            return mask
+        numbers = np.array([self.numbers.get(w, 0) for w in ws], np.int32)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (numbers > 0).view(np.int8), [0]])))
+        width, block, owners = self.width, self.block, self.owners
+        done: dict[tuple[int, int], int] = {}
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a < width:
+                continue
+            for end, places in self.machine.iter(tuple(numbers[a:b].tolist())):
+                begin = a + end + 1 - block
+                for passage, at in places:
+                    if owners[passage] >= doc:
+                        break  # places are by owner
+                    line = (passage, begin - at)
+                    if done.get(line, 0) > begin:
+                        continue
+                    if mask[max(0, begin + block - width) : begin + width].all():
+                        break  # every window over this block is covered already
+                    left, right = self._extent(numbers, self.texts[passage], begin, at)
+                    done[line] = right
+                    if right - left >= width:
+                        mask[left:right] = True
+        return mask
+
+    def _extent(self, numbers: np.ndarray, passage: np.ndarray, begin: int, at: int) -> tuple[int, int]:
+        """The longest stretch around a block in which document and passage agree."""
+        back = min(begin, at)
+        differs = np.flatnonzero(numbers[begin - back : begin] != passage[at - back : at])
+        left = begin - back + (int(differs[-1]) + 1 if len(differs) else 0)
+        ahead = min(len(numbers) - begin, len(passage) - at)
+        differs = np.flatnonzero(numbers[begin : begin + ahead] != passage[at : at + ahead])
+        return left, begin + (int(differs[0]) if len(differs) else ahead)
+
+
+def located(docs: pa.Table, passages: pa.Table, width: int, hasher: Hasher) -> Iterator[tuple[int | None, list[bytes], np.ndarray, list[int]]]:
+    """(id, words, removed mask, hashes of windows that should be there but aren't) of each document of a shard."""
+    known: dict[bytes, int] = {}
+    for owner, words in zip(passages["owner"].to_pylist(), passages["words"].to_pylist(), strict=True):
+        known[words] = min(owner, known.get(words, owner))
+    automaton = PassageAutomaton(known, width)
+    parts = [(h, np.full(len(h), owner, np.int64)) for words, owner in known.items() for h in (hasher(words.split(), width),)]
+    if parts:
+        h, o = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.lexsort((o, h))
+        h, o = h[order], o[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        h, o = h[first], o[first]
+    for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].cast(pa.binary()), strict=True):
+        ws = split_words(text.as_py())
+        mask, lost = automaton.covered(ws, doc), []
+        if parts and doc is not None and len(ws) >= width:
+            own = hasher(ws, width)
+            at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+            sums = np.concatenate([[0], np.cumsum(mask)])
+            lost = np.unique(own[(h[at] == own) & (o[at] < doc) & (sums[width:] - sums[:-width] < width)]).view(np.int64).tolist()
+        yield doc, ws, mask, lost
+
+
+FOUND = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, lost array<bigint>"
+KINDS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("lost", pa.list_(pa.int64()))])
+
+
+def _passages(sharded: DataFrame, buckets: int, shards: int, width: int, hasher: Hasher) -> DataFrame:
+    """(shard, owner, words): the passages that each shard needs."""
+    tasks = max(int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
+    first, *finer = levels(buckets)
+    blobs = sharded.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lambda it: _windows(it, first, shards, width, hasher), "bucket int, blob binary")
+    for n in finer:
+        dealt = blobs.repartition(tasks, "bucket", F.pmod(F.xxhash64("blob"), F.lit(BRANCHES))).sortWithinPartitions("bucket")
+        blobs = dealt.mapInArrow(lambda it, n=n: _refine(it, n, shards), "bucket int, blob binary")
+    dealt = blobs.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    debts = dealt.mapInArrow(lambda it: _confirm(it, shards), "shard int, blob binary")
+
+    def cut(_key, docs: pa.Table, debts: pa.Table) -> pa.Table:
+        rows = list(owed(docs, debts, width, hasher))
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "owner", "words"])
+
+    return sharded.groupBy("shard").cogroup(debts.groupBy("shard")).applyInArrow(cut, "shard int, owner long, words binary")
+
+
+def _locate(sharded: DataFrame, passages: DataFrame, width: int, hasher: Hasher, texts: bool) -> DataFrame:
+    def locate(_key, docs: pa.Table, passages: pa.Table) -> pa.Table:
+        rows = []
+        for doc, ws, gone, lost in located(docs, passages, width, hasher):
+            kept = b" ".join([w for w, g in zip(ws, gone.tolist(), strict=True) if not g] if gone.any() else ws)
+            rows.append((doc, len(ws), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if texts else None, lost))
+        columns = list(zip(*rows, strict=True)) or [()] * len(KINDS)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, KINDS.types, strict=True)], schema=KINDS)
+
+    return sharded.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(locate, FOUND)
+
+
+def _same_words(sharded: DataFrame, lost: DataFrame, n: int, width: int, hasher: Hasher) -> DataFrame:
+    """Passages of windows whose hash different words share, found by the words themselves, some hashes at a time."""
+    blocks, found = -(-n // LOST_AT_ONCE), []
+    for k in range(blocks):
+        hashes = np.array([r.h for r in lost.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == k).collect()], np.int64)  # LOST_AT_ONCE, about
+        sent = sharded.sparkSession.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
+
+        def pick(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for shard, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+                    ws = split_words(text.as_py())
+                    rows += [(shard, doc, words) for words in {b" ".join(ws[at : at + width]) for at in np.flatnonzero(np.isin(hasher(ws, width), sent.value))}]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["shard", "doc_id", "words"])
+
+        rows = sharded.where("doc_id IS NOT NULL").select("shard", "doc_id", "text").mapInArrow(pick, "shard int, doc_id long, words binary")
+        # Each window's holders by (words, shard): one row a shard, so a window that many share stays small.
+        by_shard = rows.groupBy("words", "shard").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        least = by_shard.groupBy("words").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner < last")
+        found.append(by_shard.join(least.select("words", "owner"), "words").where("owner < high").select("shard", "owner", "words"))
+    return checkpoint(reduce(DataFrame.unionByName, found))
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW, texts: bool = True, hasher: Hasher = window_hashes) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every row; kept_text is null without ``texts``.
+
+    A word goes if a window of ``width`` words over it also starts in a document with a smaller id. Null and blank
+    texts have no words, texts shorter than a window lose none, and long ones are worked on whole by one task. Rows
+    with one id never remove each other's words, and repeated rows stay rows; rows with a null id neither remove nor
+    lose words. An empty table gives an empty result. Columns of ``docs`` other than the two aren't read, so their
+    names don't matter. The result is checkpointed. ``hasher`` may be any hash of windows: it costs time if it is
+    weak, but doesn't change the result.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     conf = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(conf, -(-input_bytes(docs, text) // SHARD_BYTES))
-    tasks = conf
-    blobs = rows.where("doc_id IS NOT NULL").mapInArrow(lambda it: _windows(it, shards, width), "bucket int, blob binary")
-    dealt = blobs.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    notes = dealt.mapInArrow(lambda it: _confirm(it, shards), "shard int, blob binary")
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.array([i or 0 for i in b.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(ids, shards)), *b.columns], names=["shard", "doc_id", "text"])
-
-    def locate(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {n: [] for n in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")}
-        for doc, ws, gone in _locate(left, right, width):
-            kept = b" ".join([w for w, g in zip(ws, gone, strict=True) if not g] if gone.any() else ws)
-            for n, v in zip(out, (doc, len(ws), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")), strict=True):
-                out[n].append(v)
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]))
-
-    sharded = rows.mapInArrow(shard, "shard int, doc_id long, text string")
-    return sharded.groupBy("shard").cogroup(notes.groupBy("shard")).applyInArrow(locate, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    shards = max(conf, -(-text_bytes(rows) // SHARD_BYTES))
+    at = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    sharded = rows.select(F.pmod(at, F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
+    passages = _passages(sharded, shards, shards, width, hasher)
+    found = checkpoint(_locate(sharded, passages, width, hasher, texts))
+    lost = found.select(F.explode("lost").alias("h")).distinct()
+    n = lost.count()
+    if n:
+        passages = passages.unionByName(_same_words(sharded, lost, n, width, hasher))
+        found = checkpoint(_locate(sharded, passages, width, hasher, texts))
+    return found.drop("lost")
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
-    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(read_table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP10_SQL = r"""

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyworks.llm import substrings as S
 
@@ -56,9 +57,56 @@ def test_small_gathers(spark, monkeypatch):
     rows = documents(4, 60)
     batches = frame(spark, rows, clash=False).where("doc_id IS NOT NULL").select("doc_id", "text").toArrow().to_batches()
     monkeypatch.setattr(S, "GATHER", 50)
-    sent = list(S._windows(iter(batches), 5, 13))
+    sent = list(S._windows(iter(batches), 5, 5, 13, S.window_hashes))
     assert sum(b.num_rows for b in sent) > 5
 
 
 def test_empty(spark):
     assert S.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_shards_as_spark_deals_them(spark):
+    ids = [0, 1, -1, 7, 2**62, -(2**63), 10**12]
+    got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(13)).alias("s")).collect()
+    assert [r.s for r in got] == S.shard_of(np.array([r.i for r in got]), 13).tolist()
+
+
+def weak_hashes(ws, width):
+    """Seven values for all windows: nearly every hash stands for different words."""
+    return S.window_hashes(ws, width) % np.uint64(7) << np.uint64(61)
+
+
+def no_hashes(ws, width):
+    return np.zeros(max(0, len(ws) - width + 1), np.uint64)
+
+
+@pytest.mark.parametrize("hasher", [weak_hashes, no_hashes])
+def test_colliding_hashes_change_nothing(spark, monkeypatch, hasher):
+    monkeypatch.setattr(S, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(S, "LOST_AT_ONCE", 3)
+    rows = documents(5, 60)
+    assert shape(S.remove_repeats(frame(spark, rows), hasher=hasher)) == brute([r[:2] for r in rows])
+
+
+def test_several_shuffles_and_branches(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(S, "FANOUT", 3)
+    rows = documents(6, 120) + [(1000 + k, " ".join(f"same{j}" for j in range(30)) + f" own{k}", None, None, None) for k in range(200)]
+    assert len(S.levels(60)) == 4
+    assert shape(S.remove_repeats(frame(spark, rows))) == brute([r[:2] for r in rows])
+
+
+def test_debts_make_a_tree(monkeypatch):
+    monkeypatch.setattr(S, "BRANCHES", 2)
+    h, d, debts = S.settle(np.full(8, 5, np.uint64), np.array([9, 3, 1, 4, 1, 5, 2, 6]), 1 << 20)
+    assert (h.tolist(), d.tolist()) == ([5], [1])
+    assert sorted(debts[1].tolist()) == [1, 1, 2, 2, 3, 3]
+
+
+def test_part_of_a_passage_is_found_with_other_neighbours():
+    words = [f"w{k}".encode() for k in range(60)]
+    automaton = S.PassageAutomaton({b" ".join(words): 1})
+    for a in range(0, 48):
+        doc = [b"x", *words[a : a + 13], b"y"]
+        assert automaton.covered(doc, 2).tolist() == [False, *[True] * 13, False] and not automaton.covered(doc, 1).any()
+        assert not automaton.covered([b"x", *words[a : a + 12], b"y"], 2).any()
