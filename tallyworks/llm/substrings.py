@@ -23,6 +23,7 @@ share is spread over all of them.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -45,7 +46,7 @@ BRANCHES = 64
 #: Hashes that are looked for at once where different words share them (8 bytes each, broadcast).
 LOST_AT_ONCE = 1 << 20
 
-Hasher = Callable[[list[bytes], int], np.ndarray]
+Hasher = Callable[[np.ndarray, int], np.ndarray]
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -53,18 +54,41 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
-def window_hashes(ws: list[bytes], width: int = WINDOW, seed: int = 97) -> np.ndarray:
-    """64-bit hash of each window of ``width`` consecutive words."""
+def word_hashes(ws: list[bytes]) -> np.ndarray:
     import xxhash
 
-    if len(ws) < width:
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+
+
+class Vocabulary(dict):
+    """Numbers of words, from 0 as they come, and the words' 64-bit hashes."""
+
+    def __init__(self) -> None:
+        import xxhash
+
+        self.digest, self.found = xxhash.xxh64_intdigest, array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.found)
+        self.found.append(self.digest(word))
+        return n
+
+    def numbers(self, ws: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
+
+    def hashes(self, numbers: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.found, np.uint64)[numbers] if len(numbers) else np.zeros(0, np.uint64)
+
+
+def window_hashes(h: np.ndarray, width: int = WINDOW, seed: int = 97) -> np.ndarray:
+    """64-bit hash of each window of ``width`` consecutive words, from the words' hashes."""
+    if len(h) < width:
         return np.zeros(0, np.uint64)
-    h = np.array(list(map(xxhash.xxh64_intdigest, ws)), dtype=np.uint64)
-    h ^= h >> np.uint64(29)
+    h = h ^ (h >> np.uint64(29))
     odd = np.random.default_rng(seed).integers(1, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.zeros(len(ws) - width + 1, np.uint64)
+    out = np.zeros(len(h) - width + 1, np.uint64)
     for k in range(width):
-        out += h[k : len(ws) - width + 1 + k] * odd[k]
+        out += h[k : len(h) - width + 1 + k] * odd[k]
     out ^= out >> np.uint64(32)  # the last step spreads the good high bits over the low ones
     out *= np.uint64(0x9E3779B97F4A7C15)
     return out ^ (out >> np.uint64(29))
@@ -163,7 +187,7 @@ def _windows(batches: Iterator[pa.RecordBatch], buckets: int, shards: int, width
     found = Gathering(buckets, shards)
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-            h = hasher(split_words(text.as_py()), width)
+            h = hasher(word_hashes(split_words(text.as_py())), width)
             found.add(h, np.full(len(h), doc, np.int64))
             if found.held >= GATHER:
                 yield found.send()
@@ -255,7 +279,7 @@ def owed(docs: pa.Table, debts: pa.Table, width: int, hasher: Hasher) -> Iterato
             continue
         a, b = by_owner[doc]
         ws = split_words(text.as_py())
-        own = hasher(ws, width)
+        own = hasher(word_hashes(ws), width)
         by_hash = np.argsort(own, kind="stable")
         ranked = own[by_hash]
         for shard, x, y in _runs(to[a:b]):
@@ -278,17 +302,18 @@ class PassageAutomaton:
         """``passages``: words joined by blanks, with the smallest id that has them."""
         import ahocorasick
 
-        self.width, self.block = width, (width + 1) // 2
-        self.numbers: dict[bytes, int] = {}
+        self.width, self.block, self.vocabulary = width, (width + 1) // 2, Vocabulary()
         self.texts: list[np.ndarray] = []
         self.owners: list[int] = []
         places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for passage, owner in sorted(passages.items(), key=lambda p: (p[1], p[0])):
-            numbers = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in passage.split()]
-            for at in range(0, len(numbers) - self.block + 1, self.block):
-                places.setdefault(tuple(numbers[at : at + self.block]), []).append((len(self.texts), at))
-            self.texts.append(np.array(numbers, np.int32))
+            numbers = self.vocabulary.numbers(passage.split())
+            plain = numbers.tolist()
+            for at in range(0, len(plain) - self.block + 1, self.block):
+                places.setdefault(tuple(plain[at : at + self.block]), []).append((len(self.texts), at))
+            self.texts.append(numbers)
             self.owners.append(owner)
+        self.known = len(self.vocabulary)  # later numbers are words of documents only
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for block, at in places.items():
             self.machine.add_word(block, at)
@@ -297,16 +322,17 @@ class PassageAutomaton:
 
     def covered(self, ws: list[bytes], doc: int | None) -> np.ndarray:
         """Mask of the words inside windows that a passage of an owner smaller than ``doc`` has."""
-        mask = np.zeros(len(ws), bool)
-        if doc is None or not self.texts or len(ws) < self.width:
+        return self.mask(self.vocabulary.numbers(ws), doc)
+
+    def mask(self, numbers: np.ndarray, doc: int | None) -> np.ndarray:
+        mask = np.zeros(len(numbers), bool)
+        if doc is None or not self.texts or len(numbers) < self.width:
             return mask
-        numbers = np.array([self.numbers.get(w, 0) for w in ws], np.int32)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], (numbers > 0).view(np.int8), [0]])))
+        edges = np.flatnonzero(np.diff((numbers < self.known).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         width, block, owners = self.width, self.block, self.owners
+        long = edges[1::2] - edges[::2] >= width
         done: dict[tuple[int, int], int] = {}
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a < width:
-                continue
+        for a, b in zip(edges[::2][long].tolist(), edges[1::2][long].tolist(), strict=True):
             for end, places in self.machine.iter(tuple(numbers[a:b].tolist())):
                 begin = a + end + 1 - block
                 for passage, at in places:
@@ -326,20 +352,21 @@ class PassageAutomaton:
     def _extent(self, numbers: np.ndarray, passage: np.ndarray, begin: int, at: int) -> tuple[int, int]:
         """The longest stretch around a block in which document and passage agree."""
         back = min(begin, at)
-        differs = np.flatnonzero(numbers[begin - back : begin] != passage[at - back : at])
+        differs = (numbers[begin - back : begin] != passage[at - back : at]).nonzero()[0]
         left = begin - back + (int(differs[-1]) + 1 if len(differs) else 0)
         ahead = min(len(numbers) - begin, len(passage) - at)
-        differs = np.flatnonzero(numbers[begin : begin + ahead] != passage[at : at + ahead])
+        differs = (numbers[begin : begin + ahead] != passage[at : at + ahead]).nonzero()[0]
         return left, begin + (int(differs[0]) if len(differs) else ahead)
 
 
 def located(docs: pa.Table, passages: pa.Table, width: int, hasher: Hasher) -> Iterator[tuple[int | None, list[bytes], np.ndarray, list[int]]]:
     """(id, words, removed mask, hashes of windows that should be there but aren't) of each document of a shard."""
-    known: dict[bytes, int] = {}
+    owner_of: dict[bytes, int] = {}
     for owner, words in zip(passages["owner"].to_pylist(), passages["words"].to_pylist(), strict=True):
-        known[words] = min(owner, known.get(words, owner))
-    automaton = PassageAutomaton(known, width)
-    parts = [(h, np.full(len(h), owner, np.int64)) for words, owner in known.items() for h in (hasher(words.split(), width),)]
+        owner_of[words] = min(owner, owner_of.get(words, owner))
+    automaton = PassageAutomaton(owner_of, width)
+    vocabulary = automaton.vocabulary
+    parts = [(h, np.full(len(h), owner, np.int64)) for t, owner in zip(automaton.texts, automaton.owners, strict=True) for h in (hasher(vocabulary.hashes(t), width),)]
     if parts:
         h, o = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         order = np.lexsort((o, h))
@@ -349,12 +376,19 @@ def located(docs: pa.Table, passages: pa.Table, width: int, hasher: Hasher) -> I
         h, o = h[first], o[first]
     for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].cast(pa.binary()), strict=True):
         ws = split_words(text.as_py())
-        mask, lost = automaton.covered(ws, doc), []
-        if parts and doc is not None and len(ws) >= width:
-            own = hasher(ws, width)
-            at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+        if not parts or doc is None or len(ws) < width:
+            yield doc, ws, np.zeros(len(ws), bool), []
+            continue
+        numbers = vocabulary.numbers(ws)
+        mask, own = automaton.mask(numbers, doc), hasher(vocabulary.hashes(numbers), width)
+        at = np.searchsorted(h, own)
+        at[at == len(h)] = 0
+        there = (h[at] == own).nonzero()[0]
+        lost: list[int] = []
+        if len(there):
             sums = np.concatenate([[0], np.cumsum(mask)])
-            lost = np.unique(own[(h[at] == own) & (o[at] < doc) & (sums[width:] - sums[:-width] < width)]).view(np.int64).tolist()
+            there = there[(o[at[there]] < doc) & (sums[there + width] - sums[there] < width)]
+            lost = np.unique(own[there]).view(np.int64).tolist()
         yield doc, ws, mask, lost
 
 
@@ -404,7 +438,7 @@ def _same_words(sharded: DataFrame, lost: DataFrame, n: int, width: int, hasher:
                 rows = []
                 for shard, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
                     ws = split_words(text.as_py())
-                    rows += [(shard, doc, words) for words in {b" ".join(ws[at : at + width]) for at in np.flatnonzero(np.isin(hasher(ws, width), sent.value))}]
+                    rows += [(shard, doc, words) for words in {b" ".join(ws[at : at + width]) for at in np.flatnonzero(np.isin(hasher(word_hashes(ws), width), sent.value))}]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["shard", "doc_id", "words"])
 
         rows = sharded.where("doc_id IS NOT NULL").select("shard", "doc_id", "text").mapInArrow(pick, "shard int, doc_id long, words binary")

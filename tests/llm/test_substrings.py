@@ -71,13 +71,13 @@ def test_shards_as_spark_deals_them(spark):
     assert [r.s for r in got] == S.shard_of(np.array([r.i for r in got]), 13).tolist()
 
 
-def weak_hashes(ws, width):
+def weak_hashes(words, width):
     """Seven values for all windows: nearly every hash stands for different words."""
-    return S.window_hashes(ws, width) % np.uint64(7) << np.uint64(61)
+    return S.window_hashes(words, width) % np.uint64(7) << np.uint64(61)
 
 
-def no_hashes(ws, width):
-    return np.zeros(max(0, len(ws) - width + 1), np.uint64)
+def no_hashes(words, width):
+    return np.zeros(max(0, len(words) - width + 1), np.uint64)
 
 
 @pytest.mark.parametrize("hasher", [weak_hashes, no_hashes])
