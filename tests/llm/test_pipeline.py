@@ -1,7 +1,7 @@
 import corpus_pipeline
 from tallyworks.llm.common import read_table
 
-from . import test_decontamination, test_pii, test_quality, test_simhash
+from . import test_copies, test_decontamination, test_pii, test_quality
 
 
 def test_stages_and_run(spark, sf_dir):
@@ -13,9 +13,7 @@ def test_stages_and_run(spark, sf_dir):
         if k == 0:
             want = {d: t for d, t in want.items() if not test_quality.brute(t)[-1]}
         elif k == 1:
-            ids = list(want)
-            low = test_simhash.brute_components(ids, [test_simhash.brute_fp(want[d]) for d in ids], corpus_pipeline.RADIUS)
-            want = {d: want[d] for d in sorted(set(low))}
+            want = {d: want[d] for d in test_copies.brute(want.items())}
         elif k == 2:
             want = {d: t for d, t in want.items() if not test_decontamination.brute(t, items)[-1]}
         elif k == 3:
