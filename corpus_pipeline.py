@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm import copies, decontamination, packing, pii, quality
+from tallyworks.llm import decontamination, packing, pii, quality, simhash
 from tallyworks.llm.common import read_table, shared_dir
 
 
@@ -19,13 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
-#: Differing bits of the former rule of this stage, three-word fingerprints; tests read it, the stage doesn't.
-RADIUS = 4
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies (five-word Jaccard similarity of 0.8 or more): the one with the smallest id."""
-    return copies.deduplicate(docs)
+    return simhash.deduplicate_copies(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
