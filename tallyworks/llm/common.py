@@ -49,12 +49,12 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
 
 
-def own_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, or that with underscores before it until no column of ``df`` has the name (in any case)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = f"_{wanted}"
-    return wanted
+def fresh(df: DataFrame) -> str:
+    """A prefix that no column's name begins with, for columns of an operator's own."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def words(text: Column) -> Column:
