@@ -3,19 +3,26 @@
 Everything is a projection of DataFrame functions: no shuffle, no Python on the executors. A kind's spans
 come from the matches and the gaps between them (their code points add up to the offsets). The patterns
 are written so that matching takes time in proportion to the text: runs are possessive and can only begin
-where the run begins (or where the last match ended), which matches the same spans as the plain forms.
+where the run begins (or where the last match ended), which matches the same spans as the plain forms. Long
+texts are read in chunks of ``CHUNK`` code points where a span needs its surroundings, and running figures over
+spans are worked out in blocks, so time stays in proportion to text and spans there too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Code points before and after a span that are searched for context words.
 BEFORE, AFTER = 48, 24
+#: Code points of a chunk; more than a span's surroundings.
+CHUNK = 1024
 #: A span of a kind that isn't a base kind counts from this score on.
 THRESHOLD = 0.6
 #: What a context word adds to a score.
@@ -87,24 +94,40 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
-def running_sum(values: Column, block: int = 128) -> Column:
-    """Sums of an array of longs up to and with each place; in two levels, so long arrays don't take square time."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, F.lit(block)))
-    plus = lambda a, x: a + x
-    zero = F.lit(0).cast("long")
+def running(values: Column, plus: Callable[[Column, Column], Column], zero: Column, block: int = 128, depth: int = 2) -> Column:
+    """``plus`` over an array of longs up to and with each place, in ``depth`` levels of blocks."""
 
-    def sums(part: Column, start: Column) -> Column:
+    def fold(part: Column, start: Column) -> Column:
         begin = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(part, begin, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
-
-    with_totals = F.transform(blocks, lambda part: F.struct(part.alias("part"), F.aggregate(part, zero, plus).alias("total")))
-    begins = F.aggregate(
-        with_totals,
-        F.struct(zero.alias("at"), F.array().cast("array<struct<part:array<bigint>,start:bigint>>").alias("out")),
-        lambda s, x: F.struct((s["at"] + x["total"]).alias("at"), F.concat(s["out"], F.array(F.struct(x["part"].alias("part"), s["at"].alias("start")))).alias("out")),
-        lambda s: s["out"],
-    )
-    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(begins, lambda b: sums(b["part"], b["start"]))))
+        step = lambda s, x: F.struct(plus(s["at"], x).alias("at"), F.concat(s["out"], F.array(plus(s["at"], x))).alias("out"))
+        return F.aggregate(part, begin, step, lambda s: s["out"])
+
+    if not depth:
+        return fold(values, zero)
+    count = F.floor((F.size(values) - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(values, k * block + 1, F.lit(block)))
+    totals = F.transform(blocks, lambda part: F.aggregate(part, zero, plus))
+    begins = F.slice(F.concat(F.array(zero), running(totals, plus, zero, block, depth - 1)), F.lit(1), count + 1)
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(F.zip_with(blocks, begins, fold)))
+
+
+def running_sum(values: Column) -> Column:
+    return running(values, lambda a, x: a + x, F.lit(0).cast("long"))
+
+
+def chunks_of(text: Column) -> Column:
+    """A text cut after every ``CHUNK`` code points."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def between(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text in chunks."""
+    start, end = start.cast("int"), F.greatest(start, end).cast("int")
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    head, tail = F.coalesce(F.get(chunks, first), F.lit("")), F.coalesce(F.get(chunks, last), F.lit(""))
+    inside = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    apart = F.concat(F.substr(head, start - first * CHUNK + 1), inside, F.substr(tail, F.lit(1), end - last * CHUNK))
+    return F.when(first == last, F.substr(head, start - first * CHUNK + 1, end - start)).otherwise(apart)
 
 
 def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -115,33 +138,35 @@ def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, out: str = "pii") -> DataFrame:
     """``docs`` with ``out``: array of (kind, start, end, score, base), by kind as listed, then start.
 
-    Offsets are code points, end exclusive. A null text counts as empty. Matches of a kind are leftmost and
-    don't overlap; a match that its checksum refuses is dropped, and nothing inside it is tried again. Kinds
-    that aren't base kinds must reach ``THRESHOLD``. Columns of ``docs`` other than ``out`` are kept as
-    they are, whatever their names.
+    Offsets are code points, end exclusive. A null text counts as empty, repeated rows and ids are rows like any
+    other, and an empty table gives an empty result. Matches of a kind are leftmost and don't overlap; a match that
+    its checksum refuses is dropped, and nothing inside it is tried again. Kinds that aren't base kinds must reach
+    ``THRESHOLD``. Columns of ``docs`` other than ``out`` are kept as they are, whatever their names.
     """
-    names = docs.columns
-    df = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    df = _settled(df, {f"__m_{k.name}": F.regexp_extract_all("__text", F.lit(k.pattern), F.lit(0)) for k in kinds})
-    df = _settled(df, {f"__g_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.split("__text", k.pattern, -1)) for k in kinds})
+    names, p = docs.columns, fresh(docs)
+    data, chunks = F.col(f"{p}text"), F.col(f"{p}chunks")
+    df = docs.withColumn(f"{p}text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    df = _settled(df, {f"{p}m_{k.name}": F.regexp_extract_all(data, F.lit(k.pattern), F.lit(0)) for k in kinds})
+    any_match = reduce(Column.__or__, (F.size(f"{p}m_{k.name}") > 0 for k in kinds))
+    gaps = {f"{p}g_{k.name}": F.when(F.size(f"{p}m_{k.name}") > 0, F.split(data, k.pattern, -1)) for k in kinds}
+    df = _settled(df, gaps | {f"{p}chunks": F.when(any_match, chunks_of(data))})
 
     def ends(k: Kind) -> Column:
-        gaps = F.col(f"__g_{k.name}")
-        widths = F.transform(f"__m_{k.name}", lambda m, i: (F.length(m) + F.length(F.get(gaps, i))).cast("long"))
-        return F.when(F.size(f"__m_{k.name}") > 0, running_sum(widths))
+        own = F.col(f"{p}g_{k.name}")
+        widths = F.transform(f"{p}m_{k.name}", lambda m, i: (F.length(m) + F.length(F.get(own, i))).cast("long"))
+        return F.when(F.size(f"{p}m_{k.name}") > 0, running_sum(widths))
 
-    df = _settled(df, {f"__e_{k.name}": ends(k) for k in kinds})
+    df = _settled(df, {f"{p}e_{k.name}": ends(k) for k in kinds})
 
     def spans(k: Kind) -> Column:
-        m, e = (F.col(f"__{c}_{k.name}") for c in "me")
+        m, e = (F.col(f"{p}{c}_{k.name}") for c in "me")
 
         def place(x: Column, i: Column) -> Column:
             return F.struct((F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"), k.confirm(x).alias("ok"))
 
         def one(s: Column) -> Column:
-            start, end = s["start"].cast("int"), s["end"].cast("int")
-            low = F.greatest(start - BEFORE, F.lit(0))
-            near = F.concat_ws("\n", F.substr("__text", low + 1, start - low), F.substr("__text", end + 1, F.lit(AFTER)))
+            start, end = s["start"], s["end"]
+            near = F.concat_ws("\n", between(chunks, F.greatest(start - BEFORE, F.lit(0)), start), between(chunks, end, end + AFTER))
             score = F.round(F.lit(k.score) + F.when(near.rlike(f"(?i)(?:{k.context})"), BOOST).otherwise(0.0), 2)
             return F.struct(
                 F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
@@ -153,39 +178,29 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, o
         none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double,base:boolean>>")
         return F.when(F.size(m) > 0, kept).otherwise(none)
 
-    return df.withColumn(out, F.concat(*(spans(k) for k in kinds))).select(*(F.col(f"`{n}`") for n in names if n != out), out)
+    found = F.concat(*(spans(k) for k in kinds))
+    return df.select(*(F.col(f"`{n}`") for n in names if n != out), found.alias(out))
 
 
 def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by its kind in brackets; overlapping spans become one."""
-    df = find(docs, text, kinds, out="__pii")
-    ordered = F.array_sort(F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    df = _settled(df, {"__ordered": ordered}).drop("__pii")
-    one = "struct<start:bigint,end:bigint,kind:string,before:bigint>"
-    none = F.array().cast(f"array<{one}>")
-    zero = F.lit(0).cast("bigint")
-
-    # Done spans and the one that is still growing; each knows where the one before it ends.
-    def merge(acc: Column, s: Column) -> Column:
-        now = acc["now"]
-        apart = now.isNull() | (s["start"] >= now["end"])
-        fresh = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.coalesce(now["end"], zero).alias("before"))
-        grown = F.struct(now["start"].alias("start"), F.greatest(now["end"], s["end"]).alias("end"), now["kind"].alias("kind"), now["before"].alias("before"))
-        done = F.when(apart & now.isNotNull(), F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(apart, fresh).otherwise(grown).alias("now"))
-
-    begin = F.struct(none.alias("done"), F.lit(None).cast(one).alias("now"))
-    merged = F.aggregate("__ordered", begin, merge, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
-    df = _settled(df, {"__merged": F.when(F.size("__ordered") > 0, merged).otherwise(none)}).drop("__ordered")
-    data = F.col(f"`{text}`")
-
-    def piece(s: Column) -> Column:
-        return F.concat(F.substr(data, (s["before"] + 1).cast("int"), (s["start"] - s["before"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-
-    tail = F.substr(data, (F.try_element_at("__merged", F.lit(-1))["end"] + 1).cast("int"))
-    changed = F.concat(F.array_join(F.transform("__merged", piece), ""), tail)
-    clean = F.when(F.size("__merged") > 0, changed).otherwise(data)
-    return df.withColumn(text, clean).drop("__merged").select(*(F.col(f"`{n}`") for n in docs.columns))
+    p = fresh(docs)
+    df = find(docs, text, kinds, out=f"{p}pii")
+    ordered, reach, chunks = F.col(f"{p}ordered"), F.col(f"{p}reach"), F.col(f"{p}pieces")
+    by_start = F.array_sort(F.transform(f"{p}pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    df = _settled(df, {f"{p}ordered": by_start})
+    ends = running(F.transform(ordered, lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0).cast("long"))
+    df = _settled(df, {f"{p}reach": ends, f"{p}pieces": F.when(F.size(ordered) > 0, chunks_of(F.col(f"`{text}`")))})
+
+    # A span that begins where all spans before it have ended brings the text since then and its kind.
+    def piece(s: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(reach, i - 1), F.lit(0).cast("long"))
+        return F.when(s["start"] >= before, F.concat(between(chunks, before, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+    done = F.try_element_at(reach, F.lit(-1))
+    tail = between(chunks, done, F.length(F.col(f"`{text}`")).cast("long"))
+    clean = F.when(F.size(ordered) > 0, F.concat(F.array_join(F.transform(ordered, piece), ""), tail)).otherwise(F.col(f"`{text}`"))
+    return df.select(*((clean.alias(n) if n == text else F.col(f"`{n}`")) for n in docs.columns))
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
