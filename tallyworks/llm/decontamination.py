@@ -1,26 +1,31 @@
 """Benchmark decontamination: a broadcast hash set of normalised item windows, scanned over token windows.
 
-The windows of all items are broadcast behind a check of their size. Each document's words become numbers of
-the items' vocabulary, window hashes come from numpy, hits in the hash set are verified word by word, and
-the words inside verified windows are marked. Beyond the size limit, items go through a shuffled join of
-windows instead, with the same results.
+Item texts are cut into segments of a bounded length. Their windows are hashed, and the sorted hashes are broadcast
+with the items' words, ``WINDOWS`` windows at most (some 30 bytes each, words included). A task hashes each
+document's windows with numpy, looks them up, and verifies hits word by word; the words inside verified windows are
+marked. More windows than that are dealt into blocks, each scanned over all documents in a pass of its own, and the
+hits of all passes are put together. Nothing but hits is shuffled in either case.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import re
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint, fresh
+
 WINDOW = 10
-#: Bytes of item text that are broadcast at most.
-BROADCAST_BYTES = 16 << 20
+#: Item windows that are broadcast at once, at most.
+WINDOWS = 4 << 20
+#: Windows of a segment of an item.
+SEGMENT = 4096
 #: Lower-cases A-Z and blanks what isn't a word character [^\x00-\x2F\x3A-\x60\x7B-\x7F].
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, cleaned string"
@@ -38,60 +43,86 @@ def item_windows(ws: list[bytes], width: int = WINDOW) -> Iterator[list[bytes]]:
 
 
 class WindowSet:
-    """Hash set of item windows by length, with the windows' words and items for verification."""
-
-    def __init__(self, items: list[tuple[str, bytes]], width: int = WINDOW) -> None:
-        self.numbers: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            for w in item_windows(normal_words(text), width):
-                key = tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w)
-                windows[len(key)][key].add(item)
+    """Sorted hashes of item windows, with the items' words for verification.
+
+    Windows of one length are arrays: hash, segment, and where in the segment's words the window stands.
+    """
+
+    def __init__(self, segments: list[tuple[str, list[bytes]]], width: int = WINDOW) -> None:
+        self.width = width
+        self.items = [item for item, _ in segments]
+        self.texts = [b" ".join(ws) for _, ws in segments]
         rng = np.random.default_rng(20)
-        self.values = rng.integers(0, 1 << 63, len(self.numbers) + 1, dtype=np.uint64)
         self.factors = rng.integers(0, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for number, (_, ws) in enumerate(segments):
+            n = min(width, len(ws))
+            if n:
+                h = self._hash(word_hashes(ws), n)
+                begins = np.concatenate([[0], np.cumsum([len(w) + 1 for w in ws])])
+                parts.setdefault(n, []).append((h, np.full(len(h), number, np.int32), np.stack([begins[: len(h)], begins[n : n + len(h)] - 1]).astype(np.int32)))
         self.by_length = []
-        for n, found in sorted(windows.items()):
-            hashes = self._hash(np.array(list(found), np.int64).reshape(-1), n)[::n]
-            self.by_length.append((n, np.unique(hashes), found))
-
-    def _hash(self, numbers: np.ndarray, n: int) -> np.ndarray:
-        x, out = self.values[numbers], np.zeros(len(numbers) - n + 1, np.uint64)
+        for n, found in sorted(parts.items()):
+            h, number, span = (np.concatenate([f[k] for f in found], axis=-1) for k in range(3))
+            order = np.argsort(h, kind="stable")
+            self.by_length.append((n, h[order], number[order], span[:, order]))
+
+    def _hash(self, h: np.ndarray, n: int) -> np.ndarray:
+        h = h ^ (h >> np.uint64(31))
+        out = np.zeros(len(h) - n + 1, np.uint64)
         for k in range(n):
-            out += x[k : len(x) - n + 1 + k] * self.factors[k]
-        return out
+            out += h[k : len(h) - n + 1 + k] * self.factors[k]
+        return out ^ (out >> np.uint64(29))
 
-    def scan(self, ws: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
-        """(mask of hit words or None, items with occurring windows)."""
+    def hits(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """((start, width) of occurring windows, items that have them)."""
+        spans: list[tuple[int, int]] = []
         items: set[str] = set()
         if not self.by_length or len(ws) < self.by_length[0][0]:
-            return None, items
-        numbers = np.array(list(map(self.numbers.get, ws, repeat(0))), np.int64)
-        unknown = np.concatenate([[0], np.cumsum(numbers == 0)])
-        marks = None
-        for n, hashes, found in self.by_length:
+            return spans, items
+        words = word_hashes(ws)
+        for n, hashes, numbers, places in self.by_length:
             if len(ws) < n:
                 break
-            known = np.flatnonzero(unknown[n:] == unknown[:-n])
-            if not len(known):
-                continue
-            h = self._hash(numbers, n)[known]
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for k in known[hashes[at] == h].tolist():
-                hit = found.get(tuple(numbers[k : k + n].tolist()))
-                if hit:
-                    items |= hit
-                    if marks is None:
-                        marks = np.zeros(len(ws) + 1, np.int32)
-                    marks[k] += 1
-                    marks[k + n] -= 1
-        return (None if marks is None else np.cumsum(marks[:-1]) > 0), items
+            own = self._hash(words, n)
+            at = np.searchsorted(hashes, own)
+            at[at == len(hashes)] = 0
+            for k in (hashes[at] == own).nonzero()[0].tolist():
+                text, found = b" ".join(ws[k : k + n]), False
+                for x in range(int(at[k]), len(hashes)):
+                    if hashes[x] != own[k]:
+                        break
+                    if self.texts[numbers[x]][places[0, x] : places[1, x]] == text:
+                        found = True
+                        items.add(self.items[numbers[x]])
+                if found:
+                    spans.append((k, n))
+        return spans, items
+
+    def scan(self, ws: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+        """(mask of hit words or None, items with occurring windows)."""
+        spans, items = self.hits(ws)
+        return marked(len(ws), spans), items
+
+
+def word_hashes(ws: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+
+
+def marked(n: int, spans: list[tuple[int, int]]) -> np.ndarray | None:
+    if not spans:
+        return None
+    marks = np.zeros(n + 1, np.int32)
+    for at, width in spans:
+        marks[at] += 1
+        marks[at + width] -= 1
+    return np.cumsum(marks[:-1]) > 0
 
 
 def cut(text: bytes, hit: np.ndarray) -> bytes:
     """``text`` without its hit words and what stands between two of them."""
-    import re
-
     out, last, before = [], 0, False
     for k, m in enumerate(re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text)):
         if hit[k]:
@@ -112,82 +143,111 @@ def _row(ws: list[bytes], mask: np.ndarray | None, items: set[str], text: bytes
     return len(ws), n_hit, len(items), _digest(items), n_hit > 0, None if cleaned is None else cleaned.decode("utf-8", "replace")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, prefix: str = "", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, cleaned (each after ``prefix``).
+def segments(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(item_id, segment, n, words): items' normal words in segments that together have every window, checkpointed.
 
-    ``cleaned`` is the text without hit spans. Documents with a null text have no words; items (item_id,
-    text) with a null id or text are left out, repeated items count once; own columns of the result's names
-    are replaced. Items are broadcast up to ``limit`` bytes of text; more go through ``scan_by_join``.
+    Items (item_id, text) with a null id or text, or without words, are left out; repeated rows count once.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > limit:
-        return scan_by_join(docs, items, text, width, prefix)
-    names = [n.split()[0] for n in RESULT.split(", ")]
-    rows = [(r.item_id, r.text.encode()) for r in items.collect()]  # `limit` bytes at most
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
-    base = docs.drop(*(prefix + n for n in names))
-    place = base.columns.index(text)
-    schema = base.limit(0).withColumns({prefix + n: F.lit(None).cast(t) for n, t in (x.split() for x in RESULT.split(", "))}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = WindowSet(sent.value, width)
         for b in batches:
-            out = []
-            for t in b.column(place).cast(pa.binary()).to_pylist():
-                ws = normal_words(t)
-                out.append(_row(ws, *found.scan(ws), t))
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ws = normal_words(text)
+                for at in range(0, max(1, len(ws) - width + 1) if ws else 0, SEGMENT):
+                    part = ws[at : at + SEGMENT + width - 1]
+                    rows.append((item, at, max(1, len(part) - width + 1), b" ".join(part)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["item_id", "segment", "n", "words"])
 
-    return base.mapInArrow(run, schema)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    return checkpoint(items.mapInArrow(run, "item_id string, segment long, n long, words binary").dropDuplicates(["item_id", "words"]))
 
 
-def scan_by_join(docs: DataFrame, items: DataFrame, text: str = "text", width: int = WINDOW, prefix: str = "") -> DataFrame:
-    """The same by a shuffled join on the windows' words, for item tables of any size."""
-    lengths = lambda it: (pa.RecordBatch.from_arrays([b.column(0), pa.array([len(normal_words(t)) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.int64())], names=["item_id", "n"]) for b in it)
-    sized = items.mapInArrow(lengths, "item_id string, n long")
-    widths = sorted(r.n for r in sized.where("n > 0").select(F.least("n", F.lit(width)).alias("n")).distinct().collect())  # `width` rows at most
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, b" ".join(w).decode()) for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True) for w in item_windows(normal_words(t), width)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["item_id", "window"])
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, prefix: str = "", limit: int = WINDOWS) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, cleaned (each after ``prefix``).
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ws = normal_words(t)
-                rows = [(k, n, b" ".join(ws[k : k + n]).decode()) for n in widths for k in range(len(ws) - n + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["key", "at", "width", "window"])
-
-    names = [n.split()[0] for n in RESULT.split(", ")]
-    base = docs.drop(*(prefix + n for n in names))
-    keyed = base.withColumn("__key", F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
-    texts = keyed.select("__key", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).dropDuplicates(["__key"])
-    known = items.mapInArrow(windows, "item_id string, window string").distinct()
-    hits = texts.mapInArrow(places, "key string, at long, width long, window string").join(known, "window")
-    hits = hits.groupBy(F.col("key").alias("__key")).agg(F.collect_set(F.struct("at", "width")).alias("__spans"), F.collect_set("item_id").alias("__items"))
-    joined = keyed.join(hits, "__key", "left").drop("__key")
-    place = joined.columns.index(text)
-    schema = base.limit(0).withColumns({prefix + n: F.lit(None).cast(t) for n, t in (x.split() for x in RESULT.split(", "))}).schema
+    ``cleaned`` is the text without hit spans. Null and blank texts have no words; long ones are scanned whole by one
+    task; repeated rows and ids are rows like any other; empty tables give an empty result, or one without hits.
+    Items are those of ``segments``. Columns of ``docs`` that have a result's name are replaced, all others may have
+    any names. Up to ``limit`` windows are broadcast at once; with more, there is a pass for each block of them.
+    """
+    pairs = [(prefix + n, t) for n, t in (x.split() for x in RESULT.split(", "))]
+    base = docs.drop(*(n for n, _ in pairs))
+    place = base.columns.index(text)
+    schema = base.limit(0).withColumns({n: F.lit(None).cast(t) for n, t in pairs}).schema
+    parts = segments(benchmark, width)
+    total, most = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = 1 if total <= limit else min(most, -(-2 * total // max(limit, 1)))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
+
+    def block(k: int):
+        """Segments of a block, broadcast; ``limit`` windows, about."""
+        rows = parts.where(F.pmod(F.xxhash64("item_id", "segment"), F.lit(blocks)) == k).collect()
+        return docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.words)) for r in rows])
+
+    def written(batch: pa.RecordBatch, columns: list, rows: list[tuple]) -> pa.RecordBatch:
+        made = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=schema.names)
+
+    if blocks == 1:
+        sent = block(0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = _window_set(sent, width)
+            for b in batches:
+                rows = []
+                for t in b.column(place).cast(pa.binary()).to_pylist():
+                    ws = normal_words(t)
+                    rows.append(_row(ws, *found.scan(ws), t))
+                yield written(b, b.columns, rows)
+
+        return base.mapInArrow(run, schema)
+
+    p = fresh(base)
+    keyed = base.withColumn(f"{p}key", F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
+    texts = keyed.select(F.col(f"{p}key").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+
+    def pass_over(sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = _window_set(sent, width)
+            for b in batches:
+                rows = []
+                for key, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    spans, items = found.hits(normal_words(t))
+                    if spans:
+                        rows.append((key, [x for s in spans for x in s], sorted(items)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())))], names=["key", "spans", "items"])
+
+        # Equal texts have equal hits: one row of each key and block.
+        return checkpoint(texts.mapInArrow(run, "key string, spans array<bigint>, items array<string>").dropDuplicates(["key"]))
+
+    hits = reduce(DataFrame.unionByName, (pass_over(block(k)) for k in range(blocks)))
+    hits = hits.groupBy(F.col("key").alias(f"{p}key")).agg(F.flatten(F.collect_list("spans")).alias(f"{p}spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias(f"{p}items"))
+    joined = keyed.join(hits, f"{p}key", "left").select(*(F.col(f"`{c}`") for c in base.columns), f"{p}spans", f"{p}items")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t, spans, found in zip(b.column(place).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                ws = normal_words(t)
-                mask = np.zeros(len(ws), bool)
-                for s in spans or ():
-                    mask[s["at"] : s["at"] + s["width"]] = True
-                out.append(_row(ws, mask, set(found or ()), t))
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
+            rows = []
+            for t, spans, items in zip(b.column(place).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                ws, spans = normal_words(t), spans or []
+                rows.append(_row(ws, marked(len(ws), list(zip(spans[::2], spans[1::2], strict=True))), set(items or ()), t))
+            yield written(b, b.columns[:-2], rows)
 
     return joined.mapInArrow(finish, schema)
 
 
+_BUILT: dict[tuple[int, int], WindowSet] = {}
+
+
+def _window_set(sent, width: int) -> WindowSet:
+    """The set of a broadcast block, built once in each worker; only the last one is kept."""
+    key = (sent._jid if hasattr(sent, "_jid") else id(sent.value), width)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = WindowSet([(item, words.split()) for item, words in sent.value], width)
+    return _BUILT[key]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", spans: bool = False) -> DataFrame:
     """``docs`` without contaminated rows, or with ``spans`` without the hit spans of their texts."""
     found = scan(docs, benchmark, text, prefix="__hit_")

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyworks.llm import decontamination as D
 
@@ -69,3 +70,46 @@ def test_empty_tables(spark):
     _, _, bench = tables(spark)
     assert D.scan(frame(spark, []), bench).count() == 0
     assert D.scan(frame(spark, documents()), bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_blocks_and_segments_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(D, "SEGMENT", 7)
+    rows, items, bench = tables(spark)
+    known = [i for i in items if i[0] is not None and i[1]]
+    df = frame(spark, rows).withColumns({c: F.lit(c) for c in ("__key", "__spans", "___items")})
+    want = {r[0]: brute(r[1], known) for r in rows}
+    for limit in (1 << 20, 40):
+        got = D.scan(df, bench, limit=limit).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[r.doc_id], r.doc_id
+            assert (r["__key"], r["__spans"], r["___items"]) == ("__key", "__spans", "___items")
+
+
+def test_equal_hashes_of_different_words():
+    class Weak(D.WindowSet):
+        def _hash(self, h, n):
+            return super()._hash(h, n) % D.np.uint64(2)
+
+    rows = documents()
+    items = [("1", rows[20][1] or ""), ("2", "two words"), ("3", "one")]
+    weak = Weak([(i, D.normal_words(t.encode())) for i, t in items])
+    for r in rows[:40]:
+        ws = D.normal_words((r[1] or "").encode())
+        if len(ws) < 500:
+            mask, found = weak.scan(ws)
+            assert (0 if mask is None else int(mask.sum()), len(found)) == brute(r[1], items)[1:3]
+
+
+def test_memory_of_a_full_block():
+    """A set of as many windows as are broadcast at once takes under 300 MB; measured at a sixteenth of it."""
+    import tracemalloc
+
+    rng = D.np.random.default_rng(2)
+    n = D.WINDOWS // 16
+    parts = [(str(k), [b"word%d" % x for x in rng.integers(0, 50_000, D.SEGMENT)]) for k in range(n // D.SEGMENT)]
+    tracemalloc.start()
+    found = D.WindowSet(parts)
+    now = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert sum(len(x[1]) for x in found.by_length) > 0.9 * n and now * 16 < 300 << 20
