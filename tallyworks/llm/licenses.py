@@ -7,9 +7,11 @@ place with at most k insertions, deletions and substitutions, and reports span a
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,21 +37,42 @@ class Notice:
 #: Short notices as they begin or name their license, in normalised words, with the errors allowed.
 NOTICES = (
     Notice("mit", "released under the mit license", 2),
+    Notice("mit", "licensed under the mit license", 2),
     Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy", 5),
     Notice("apache-2", "licensed under the apache license version 2 0", 3),
     Notice("cc-by-nc", "creative commons attribution noncommercial", 3),
     Notice("cc-by-sa", "creative commons attribution sharealike", 3),
+    Notice("cc-by-nd", "creative commons attribution noderivatives", 3),
     Notice("cc-by", "licensed under a creative commons attribution", 3),
+    Notice("cc0", "creative commons zero", 1),
+    Notice("cc0", "to the extent possible under law the author has waived all copyright", 5),
     Notice("gpl", "under the terms of the gnu general public license", 4),
     Notice("gpl", "licensed under the gnu general public license", 4),
     Notice("gpl", "released under the gnu general public license", 4),
+    Notice("lgpl", "under the terms of the gnu lesser general public license", 4),
+    Notice("lgpl", "under the gnu lesser general public license", 4),
+    Notice("agpl", "under the terms of the gnu affero general public license", 4),
+    Notice("agpl", "under the gnu affero general public license", 4),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
+    Notice("bsd", "licensed under the bsd license", 2),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 5),
+    Notice("isc", "licensed under the isc license", 2),
     Notice("mpl-2", "subject to the terms of the mozilla public license", 4),
     Notice("mpl-2", "licensed under the mozilla public license", 4),
-    Notice("mit", "licensed under the mit license", 2),
-    Notice("bsd", "licensed under the bsd license", 2),
+    Notice("epl-2", "under the terms of the eclipse public license", 4),
+    Notice("epl-2", "licensed under the eclipse public license", 4),
+    Notice("unlicense", "this is free and unencumbered software released into the public domain", 5),
+    Notice("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 6),
+    Notice("zlib", "licensed under the zlib license", 2),
     Notice("proprietary", "all rights reserved", 1),
 )
+#: Identifiers that may follow "SPDX-License-Identifier:", in normalised words, and their labels; no errors allowed.
+IDENTIFIERS = (
+    ("mit", "mit"), ("apache 2 0", "apache-2"), ("gpl 2 0", "gpl"), ("gpl 3 0", "gpl"), ("lgpl 2 1", "lgpl"), ("lgpl 3 0", "lgpl"), ("agpl 3 0", "agpl"),
+    ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd"), ("isc", "isc"), ("mpl 2 0", "mpl-2"), ("epl 2 0", "epl-2"), ("unlicense", "unlicense"), ("zlib", "zlib"), ("cc0 1 0", "cc0"),
+    ("cc by 4 0", "cc-by"), ("cc by sa 4 0", "cc-by-sa"), ("cc by nc 4 0", "cc-by-nc"), ("cc by nd 4 0", "cc-by-nd"),
+)
+TAGS = tuple(Notice(label, f"spdx license identifier {words}", 0) for words, label in IDENTIFIERS)
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices string"
 
 
@@ -59,8 +82,11 @@ def pieces(text: str, errors: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+Found = tuple[str, int, int, int, float]
+
+
 class Scanner:
-    def __init__(self, notices: tuple[Notice, ...] = NOTICES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> None:
+    def __init__(self, notices: tuple[Notice, ...] = NOTICES + TAGS, phrases: tuple[tuple[str, str], ...] = PHRASES) -> None:
         import ahocorasick
         import regex
 
@@ -76,7 +102,7 @@ class Scanner:
             self.seeds.make_automaton()
         self.patterns = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n.words)}){{e<={n.errors}}}(?![^ ])") for n in notices]
 
-    def fuzzy(self, text: str) -> Iterator[tuple[str, int, int, int, float]]:
+    def fuzzy(self, text: str) -> Iterator[Found]:
         """(label, start, end, errors, score) of each notice found in normalised text; spans are code points of it."""
         if not self.notices:
             return
@@ -96,39 +122,57 @@ class Scanner:
                     wrong = sum(m.fuzzy_counts)
                     yield notice.label, m.start(), m.end(), wrong, 1 - wrong / len(notice.words)
 
-    def exact(self, text: str) -> list[tuple[int, str]]:
+    def exact(self, text: str, starts: list[int]) -> list[tuple[int, str]]:
         """(word number, label) of every place where a phrase's words stand consecutively."""
         found, padded = [], f" {text} "
         for phrase, label in self.phrases:
             at = padded.find(f" {phrase} ")
             while at >= 0:
-                found.append((text.count(" ", 0, at), label))
+                found.append((bisect_left(starts, at), label))
                 at = padded.find(f" {phrase} ", at + 1)
         return found
 
     def row(self, raw: bytes | None) -> tuple:
-        ws = normal_words(raw)
-        text = b" ".join(ws).decode("utf-8", "replace")
-        base = self.exact(text)
-        fuzzy = list(self.fuzzy(text))
+        ws = [w.decode("utf-8", "replace") for w in normal_words(raw)]
+        text = " ".join(ws)
+        starts = [0, *accumulate(len(w) + 1 for w in ws)]
+        base = self.exact(text, starts)
+        fuzzy = told_apart(list(self.fuzzy(text)))
         own = sorted({label for _, label in base})
         every = sorted({*own, *(f[0] for f in fuzzy)})
         places = sorted(p for p, _ in base)
-        spans = ",".join(f"{label}:{text.count(' ', 0, a)}:{text.count(' ', 0, b)}:{wrong}" for label, a, b, wrong, _ in sorted(fuzzy, key=lambda f: (f[1], f[0])))
+        # A span's words: from the one that it begins in, to the one that it ends before.
+        number = lambda at: bisect_right(starts, at) - 1
+        spans = ",".join(f"{label}:{number(a)}:{number(b - 1)}:{wrong}" for label, a, b, wrong, _ in sorted(fuzzy, key=lambda f: (f[1], f[0])))
         score = 1.0 if base else max((f[4] for f in fuzzy), default=0.0)
         return len(ws), len(base), places[0] if places else None, places[-1] if places else None, ",".join(own), ",".join(every), score, spans
 
 
+def told_apart(found: list[Found]) -> list[Found]:
+    """Finds without those that a better or narrower one overlaps: fewer errors, or as many and a label that goes on ("cc-by-nc" over "cc-by")."""
+    found = sorted(found, key=lambda f: (f[1], f[2]))
+    longest, out = max((f[2] - f[1] for f in found), default=0), []
+    begins = [f[1] for f in found]
+    for f in found:
+        low, high = bisect_left(begins, f[1] - longest), bisect_left(begins, f[2])
+        others = [o for o in found[low:high] if o[0] != f[0] and o[2] > f[1]]
+        if not any(o[3] < f[3] or (o[3] == f[3] or not f[3]) and o[0].startswith(f"{f[0]}-") for o in others):
+            out.append(f)
+    return out
+
+
 @cache
 def _scanner(notices: tuple[Notice, ...], phrases: tuple[tuple[str, str], ...]) -> Scanner:
     return Scanner(notices, phrases)
 
 
-def scan(docs: DataFrame, text: str = "text", notices: tuple[Notice, ...] = NOTICES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", notices: tuple[Notice, ...] = NOTICES + TAGS, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
     """``docs`` with the result columns; ``notices`` lists fuzzy finds as label:first word:last word:errors.
 
-    One pass, no shuffle. A null text counts as empty (no words, no labels, score 0); own columns of the
-    result's names are replaced.
+    One pass, no shuffle. A null or blank text counts as empty (no words, no labels, score 0); a long one is scanned
+    whole by one task, in time that its length and its finds add up to. Repeated rows and ids are rows like any other,
+    and an empty table gives an empty result. Columns of ``docs`` that have a result's name are replaced; all others
+    may have any names.
     """
     pairs = [x.split() for x in RESULT.split(", ")]
     base = docs.drop(*(n for n, _ in pairs))

@@ -35,7 +35,7 @@ def test_base_and_fuzzy(spark):
     assert got[4].notices.startswith("mit:0:")
 
 
-@pytest.mark.parametrize("notice", L.NOTICES, ids=lambda n: n.words[:20])
+@pytest.mark.parametrize("notice", L.NOTICES, ids=lambda n: n.words[:40])
 def test_any_allowed_errors_are_found(notice):
     import random
 
@@ -80,3 +80,74 @@ def test_license_lines_of_the_documents(spark):
     line = r"(?i)licensed under the gnu general public license"
     rows = L.scan(docs.select("doc_id", "text").where(docs.text.rlike(line))).collect()
     assert rows and all("gpl" in r.labels.split(",") and r.score == 1 for r in rows)
+
+
+def least_errors(words, notice):
+    """Fewest edits that make a stretch of whole words of a text the notice: edit distances to all its stretches."""
+    text, best = " ".join(words), None
+    starts = [0] + [k + 1 for k, c in enumerate(text) if c == " "]
+    for a in starts:
+        row = list(range(len(notice) + 1))
+        for k in range(a, min(len(text), a + 2 * len(notice))):
+            new = [k - a + 1]
+            for j, c in enumerate(notice):
+                new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (text[k] != c)))
+            row = new
+            if k + 1 == len(text) or text[k + 1] == " ":
+                best = row[-1] if best is None else min(best, row[-1])
+    return len(notice) if best is None else best
+
+
+def test_labels_and_scores_against_brute_force():
+    import random
+
+    rng, scanner = random.Random(12), L.Scanner()
+    short = [n for n in L.NOTICES + L.TAGS if len(n.words) < 50]
+    for _ in range(25):
+        notice = rng.choice(short)
+        t = list(notice.words)
+        for _ in range(rng.randrange(notice.errors + 3)):
+            rng.choice([lambda: t.__setitem__(rng.randrange(len(t)), "q"), lambda: t.insert(rng.randrange(len(t)), "z"), lambda: t.pop(rng.randrange(len(t)))])()
+        words = ("so it goes " + "".join(t) + " and on").split()
+        found = list(scanner.fuzzy(" ".join(words)))
+        want = {n: least_errors(words, n.words) for n in L.NOTICES + L.TAGS}
+        assert {f[0] for f in found} == {n.label for n, wrong in want.items() if wrong <= n.errors}, words
+        row = scanner.row(" ".join(words).encode())
+        assert set(row[5].split(",")) - {""} <= {f[0] for f in found} | {label for p, label in L.PHRASES if p in " ".join(words)}
+        if row[1] == 0:
+            assert row[6] == max((1 - wrong / len(n.words) for n, wrong in want.items() if wrong <= n.errors), default=0.0)
+
+
+APART = {
+    "licensed under a Creative Commons Attribution-NonCommercial 4.0 license": "cc-by-nc",
+    "licensed under a Creative Commons Attribution-ShareAlike license": "cc-by-sa",
+    "Licensed under a Creative Commons Attribution 4.0 license": "cc-by",
+    "Licensed under the ISC license": "isc",
+    "Licensed under the BSD license": "bsd",
+    "Licensed under the zlib license": "zlib",
+    "// SPDX-License-Identifier: GPL-2.0-only": "gpl",
+    "# SPDX-License-Identifier: CC-BY-NC-4.0": "cc-by-nc",
+    "under the terms of the GNU Lesser General Public License, version 3": "lgpl",
+    "GNU Affero General Public Licence: under the GNU Affero General Public License": "agpl",
+    "licensed under the GNU General Public License; all rights reserved": "gpl,proprietary",
+    "Licensed under the Eclipse Public License v2": "epl-2",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+}
+
+
+def test_notices_are_told_apart():
+    scanner = L.Scanner()
+    assert {t: scanner.row(t.encode())[5] for t in APART} == APART
+
+
+def test_many_notices_in_one_text():
+    import time
+
+    scanner, took = L.Scanner(), []
+    for n in (5000, 20000):
+        text = "under the mit license and Licenced under the Apache Licence, Version 2.0 or " * n
+        begun = time.perf_counter()
+        row = scanner.row(text.encode())
+        took.append(time.perf_counter() - begun)
+        assert row[1] == n and row[7].count("apache-2:") == n and row[3] == 14 * (n - 1)
+    assert took[1] < 8 * took[0] + 1
