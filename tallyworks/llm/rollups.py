@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir
+from .common import checkpoint, remove_folder, shared_dir
 
 KEYS = ("source", "lang", "version")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
@@ -48,7 +48,11 @@ def _count(encoding, text: str) -> int:
 
 
 def count_tokens(docs: DataFrame, text: str = "text", rank_file: str | None = None, out: str = "n_tokens") -> DataFrame:
-    """``docs`` with ``out``: tokens of the text by a rank file that every executor has; 0 for a null text."""
+    """``docs`` with ``out``: tokens of the text by a rank file that every executor has; 0 for a null or empty text.
+
+    Long texts are encoded in parts whose counts add up. Repeated rows and ids are rows like any other, an empty
+    table gives an empty result, and columns other than ``out`` (which is replaced) may have any names.
+    """
     if rank_file is None:
         import public_tokenizers
 
@@ -106,17 +110,26 @@ class TokenRollup:
     def _name(batch_id: str) -> str:
         return "batch-" + batch_id.encode().hex()
 
-    def _state(self) -> tuple[str | None, set[str], list[str]]:
-        """(newest base, batches folded into it, batches that count besides)."""
+    def _folded(self, base: str | None, names: list[str]) -> set[str]:
+        """Which of the batches ``names`` the newest base has taken in; the lookup goes to the base, its list stays there."""
+        if not base or not names:
+            return set()
+        wanted = self.spark.createDataFrame([(n,) for n in names], "batch string")
+        return {r.batch for r in self.spark.read.parquet(f"{self.path}/{base}").select("batch").join(wanted, "batch", "left_semi").distinct().collect()}
+
+    def _state(self) -> tuple[str | None, list[str]]:
+        """(newest base, batches in folders of their own that aren't folded into it)."""
         folders = self._folders()
         base = max((f for f in folders if f.startswith("base-")), default=None)
-        folded = {r.batch for r in self.spark.read.parquet(f"{self.path}/{base}").select("batch").where("batch IS NOT NULL").distinct().collect()} if base else set()
-        return base, folded, [f for f in folders if f.startswith("batch-") and f not in folded]
+        batches = [f for f in folders if f.startswith("batch-")]
+        folded = self._folded(base, batches)  # some only if a fold stopped before it removed them
+        return base, [f for f in batches if f not in folded]
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Whether the batch was new. ``deltas``: KEYS and SUMS, from inserts, deletes and revisions."""
         name = self._name(batch_id)
-        if self._committed(name) or name in self._state()[1]:
+        base = max((f for f in self._folders() if f.startswith("base-")), default=None)
+        if self._committed(name) or self._folded(base, [name]):
             return False
         sums = deltas.groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
         sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -124,29 +137,45 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """KEYS and SUMS over all committed batches, without groups that have come to nothing."""
-        base, _, batches = self._state()
-        parts = [self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{f}") for f in batches]
-        if base:
-            parts.append(self.spark.read.parquet(f"{self.path}/{base}").where("batch IS NULL").select(*KEYS, *SUMS))
+        base, batches = self._state()
         every = self.spark.createDataFrame([], SCHEMA)
-        for p in parts:
-            every = every.unionByName(p)
+        if batches:
+            every = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/{f}" for f in batches))
+        if base:
+            every = every.unionByName(self.spark.read.parquet(f"{self.path}/{base}").where("batch IS NULL").select(*KEYS, *SUMS))
         sums = every.groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
         return sums.where(" OR ".join(f"{s} <> 0" for s in SUMS))
 
     def fold(self) -> None:
         """Fold all committed batches into a new base; totals stay as they are."""
-        base, folded, batches = self._state()
+        base, batches = self._state()
         if not batches:
             return
         number = int(base.removeprefix("base-")) + 1 if base else 1
-        names = self.spark.createDataFrame([(n,) for n in sorted({*folded, *batches})], "batch string")
-        rows = self.totals().withColumn("batch", F.lit(None).cast("string")).unionByName(names, allowMissingColumns=True)
+        rows = self.totals().withColumn("batch", F.lit(None).cast("string"))
+        rows = rows.unionByName(self.spark.createDataFrame([(n,) for n in batches], "batch string"), allowMissingColumns=True)
+        if base:
+            rows = rows.unionByName(self.spark.read.parquet(f"{self.path}/{base}").where("batch IS NOT NULL").select(*rows.columns))
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base-{number:08d}")
         for f in [*batches, *([base] if base else [])]:
             self._fs.delete(self._at(f"{self.path}/{f}"), True)
 
 
+#: Parts that the copies of one text are dealt into where they meet their first.
+SALTS = 32
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """The rows whose text (by digest) a row with a smaller id has.
+
+    Counts and smallest ids are summed up before the shuffle, and the rows of a text that has many copies meet
+    them in ``SALTS`` parts. Rows with a null id are never first and never go.
+    """
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("copies")).where("copies > 1")
+    dealt = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(dealt, ["digest", "part"]).where(F.col("doc_id") > F.col("first")).drop("part", "first")
+
+
 def op7_rollups(spark, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents come, the same batch comes again, documents whose text a smaller id has go, counts are revised to include an end token."""
     import uuid
@@ -155,13 +184,15 @@ def op7_rollups(spark, sf_dir: str) -> DataFrame:
 
     docs = count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     rows = checkpoint(docs.select("doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("version"), "n_tokens", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    repeats = rows.join(first, "digest").where(F.col("doc_id") > F.col("first"))
-    rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    repeats = repeated(rows)
+    folder = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
+    rollup = TokenRollup(spark, folder)
     rollup.commit("first", inserts(rows))
     rollup.commit("first", inserts(rows))
     rollup.commit("repeats", deletes(repeats))
     left = rows.withColumns({"old_tokens": F.col("n_tokens"), "n_tokens": F.col("n_tokens") + 1})
     gone = repeats.withColumns({"old_tokens": F.col("n_tokens") + 1, "n_tokens": F.col("n_tokens")})
     rollup.commit("end token", revisions(left).unionByName(revisions(gone)))
-    return rollup.totals()
+    totals = checkpoint(rollup.totals())
+    remove_folder(spark, folder)
+    return totals

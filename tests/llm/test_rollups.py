@@ -1,4 +1,5 @@
 import tiktoken
+from pyspark.sql import functions as F
 
 from tallyworks.llm import rollups as R
 
@@ -64,3 +65,35 @@ def test_query(spark, sf_dir):
         for k, v in enumerate((1, len(encoding().encode_ordinary(r.text)) + 1, len(r.text.encode()))):
             n[k] += v
     assert {tuple(x[:3]): list(x[3:]) for x in R.op7_rollups(spark, sf_dir).select(*R.KEYS, *R.SUMS).collect()} == want
+
+
+def test_empty_table_odd_rows_and_names(spark, tmp_path):
+    rows = [*documents(), (None, "one", "en", "s0", 3), (None, None, None, None, None)]
+    own = ["part", "first", "digest", "version", "n_bytes", "__text"]
+    for k, some in enumerate(([], rows)):
+        path = tmp_path / str(k)
+        frame(spark, some).withColumns({c: F.lit(c) for c in own}).write.parquet(str(path / "documents.parquet"))
+        got = {tuple(r[c] for c in R.KEYS): [r[c] for c in R.SUMS] for r in R.op7_rollups(spark, str(path)).collect()}
+        want, seen = {}, {}
+        for d, text, lang, source, _ in some:
+            if d is not None:
+                seen[text or ""] = min(d, seen.get(text or "", d))
+        for d, text, lang, source, _ in some:
+            if d is None or seen[text or ""] == d:
+                n = want.setdefault((source, lang, "byte_bpe_50k"), [0, 0, 0])
+                for j, v in enumerate((1, len(encoding().encode_ordinary(text or "")) + 1, len((text or "").encode()))):
+                    n[j] += v
+        assert got == want
+    assert not list(tmp_path.rglob("rollup-*"))
+    assert R.count_tokens(frame(spark, rows)).columns == [*frame(spark, rows).columns, "n_tokens"]
+
+
+def test_folds_that_stopped_halfway(spark, tmp_path):
+    r = R.TokenRollup(spark, str(tmp_path / "state"))
+    r.commit("a", deltas(spark, [("s", "en", "v1", 1, 10, 50)]))
+    import shutil
+
+    shutil.copytree(tmp_path / "state" / r._name("a"), tmp_path / "kept")
+    r.fold()
+    shutil.copytree(tmp_path / "kept", tmp_path / "state" / r._name("a"))  # as if it had not been removed
+    assert totals(r) == [("s", "en", "v1", 1, 10, 50)] and not r.commit("a", deltas(spark, [("s", "en", "v1", 9, 9, 9)]))
