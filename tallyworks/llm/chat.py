@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .pii import running_sum
 
 TURN = "struct<role:string,text:string>"
@@ -21,7 +22,8 @@ def conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, turns): the turns of each conversation in order.
 
     Rows without a conv_id belong to no conversation and are left out; a null role is written "unknown", a
-    null text is empty; rows with the same turn number are all kept, by role and text.
+    null text is empty; rows with the same turn number are all kept, by role and text. Other columns aren't read, and
+    an empty table gives an empty result. A conversation is one row here, so all of it must fit a task.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = turns.where("conv_id IS NOT NULL").select("conv_id", row.alias("row"))
@@ -60,57 +62,49 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
     Adds n_prompt_turns, prompt, chosen_completion, rejected_completion, chosen_mask, rejected_mask. Equal
     conversations have empty completions; where one begins with all of the other, the shorter one's is empty.
-    Null arrays count as empty. Own columns of those names are replaced.
+    Null arrays count as empty, long texts are rendered whole, repeated rows are rows like any other, and an empty table
+    gives an empty result. Columns of those names are replaced; all others may have any names.
     """
+    p = fresh(pairs)
+    a, b = f"{p}a", f"{p}b"
     none = F.array().cast(f"array<{TURN}>")
     clean = lambda c: F.transform(F.coalesce(F.col(c), none), lambda t: F.struct(F.coalesce(t["role"], F.lit("unknown")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    df = pairs.withColumns({"__a": clean(chosen), "__b": clean(rejected)}).drop(chosen, rejected)
-    df = df.withColumn("n_prompt_turns", common_turns(F.col("__a"), F.col("__b")))
+    df = pairs.withColumns({a: clean(chosen), b: clean(rejected)}).drop(chosen, rejected)
+    df = df.withColumn("n_prompt_turns", common_turns(F.col(a), F.col(b)))
     n = F.col("n_prompt_turns")
     rest = lambda c: F.slice(F.col(c), n + 1, F.greatest(F.size(c) - n, F.lit(0)))
-    df = df.withColumns({"prompt": render(F.slice(F.col("__a"), F.lit(1), n)), "__a": rest("__a"), "__b": rest("__b")})
-    df = df.withColumns({"chosen_completion": render(F.col("__a")), "rejected_completion": render(F.col("__b")), "chosen_mask": mask(F.col("__a")), "rejected_mask": mask(F.col("__b"))})
-    return df.drop("__a", "__b")
+    df = df.withColumns({"prompt": render(F.slice(F.col(a), F.lit(1), n)), a: rest(a), b: rest(b)})
+    df = df.withColumns({"chosen_completion": render(F.col(a)), "rejected_completion": render(F.col(b)), "chosen_mask": mask(F.col(a)), "rejected_mask": mask(F.col(b))})
+    return df.drop(a, b)
 
 
-def echo_pairs(turns: DataFrame) -> DataFrame:
-    """(conv_id, chosen, rejected) of every conversation with an assistant turn.
+def branch_pairs(turns: DataFrame) -> DataFrame:
+    """(conv_id, chosen, rejected) of every conversation (its id a long).
 
-    Chosen: the conversation up to its last assistant turn. Rejected: the same, where that turn only echoes the
-    text before it (nothing, if it is the first).
-    """
-    df = conversations(turns).withColumn("last", F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant").cast("int"))
-    df = df.where(F.array_contains(F.transform("turns", lambda t: t["role"]), "assistant"))
-    before = F.slice("turns", F.lit(1), F.col("last"))
-    echo = F.struct(F.lit("assistant").alias("role"), F.coalesce(F.get("turns", F.col("last") - 1)["text"], F.lit("")).alias("text"))
-    return df.select("conv_id", F.slice("turns", F.lit(1), F.col("last") + 1).alias("chosen"), F.concat(before, F.array(echo)).alias("rejected"))
-
-
-def whole_pairs(turns: DataFrame) -> DataFrame:
-    """(conv_id, chosen, rejected) of every conversation, with all of its turns on both sides.
-
-    Rejected: the last assistant turn only echoes the text before it, and what follows it stays. Without an
-    assistant turn both sides are equal, so completions are empty.
+    Chosen is the conversation. Rejected parts from it at one of its assistant turns, which one goes by the id: the
+    turn there says what the last assistant turn says, or, if it is the last one itself, echoes the text before it
+    (nothing, if it is the first of all). Where that turn is the first, third ... of the assistant's, the turns after
+    it stay; otherwise the branch ends there. Without an assistant turn both sides are equal, so completions are empty.
     """
     df = conversations(turns)
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant").cast("int")
-    df = df.withColumn("last", F.when(F.array_contains(F.transform("turns", lambda t: t["role"]), "assistant"), last))
-    echo = F.struct(F.lit("assistant").alias("role"), F.coalesce(F.get("turns", F.col("last") - 1)["text"], F.lit("")).alias("text"))
-    rejected = F.transform("turns", lambda t, i: F.when(i == F.col("last"), echo).otherwise(t))
-    return df.select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
+    numbered = F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i))
+    df = df.withColumn("own", F.filter(numbered, lambda i: i.isNotNull()))
+    df = df.withColumn("which", F.when(F.size("own") > 0, F.expr("pmod(conv_id, size(own))").cast("int")))
+    df = df.withColumn("at", F.get("own", F.col("which")))
+    last = F.try_element_at("own", F.lit(-1))
+    said = F.when(F.col("at") < last, F.get("turns", last)["text"]).otherwise(F.coalesce(F.get("turns", F.col("at") - 1)["text"], F.lit("")))
+    branch = F.concat(
+        F.slice("turns", F.lit(1), F.col("at")),
+        F.array(F.struct(F.lit("assistant").alias("role"), said.alias("text"))),
+        F.when(F.col("which") % 2 == 0, F.slice("turns", F.col("at") + 2, F.size("turns"))).otherwise(F.array().cast(f"array<{TURN}>")),
+    )
+    return df.select("conv_id", F.col("turns").alias("chosen"), F.when(F.col("at").isNull(), F.col("turns")).otherwise(branch).alias("rejected"))
 
 
 def op1_preferences(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
-    return _written(format_preferences(echo_pairs(read_table(spark, sf_dir, "conversations"))))
-
-
-def op1_whole_preferences(spark, sf_dir: str) -> DataFrame:
-    """As ``op1_preferences``, over every conversation and with the turns after the last assistant turn."""
-    from .common import read_table
-
-    return _written(format_preferences(whole_pairs(read_table(spark, sf_dir, "conversations"))))
+    return _written(format_preferences(branch_pairs(read_table(spark, sf_dir, "conversations"))))
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -120,28 +114,33 @@ def _written(df: DataFrame) -> DataFrame:
 
 OP1_SQL = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
   FROM conversations WHERE conv_id IS NOT NULL
-), l AS (
-  SELECT conv_id, max(pos) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id
-), r AS (
-  SELECT t.*, l.last, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,
-         lag(text, 1, '') OVER (PARTITION BY t.conv_id ORDER BY pos) AS previous
-  FROM t JOIN l ON t.conv_id = l.conv_id
 ), c AS (
-  SELECT conv_id, text, previous, shown, last,
-         '<|assistant|>' || chr(10) || previous || '<|end|>' || chr(10) AS echoed
-  FROM r WHERE pos = last
+  SELECT conv_id, max(pos) AS size, list(pos ORDER BY pos) FILTER (role = 'assistant') AS own FROM t GROUP BY conv_id
+), w AS (
+  SELECT conv_id, size, own, ((conv_id % len(own)) + len(own)) % len(own) AS which, own[((conv_id % len(own)) + len(own)) % len(own) + 1] AS at, own[len(own)] AS last FROM c
+), s AS (
+  SELECT w.*, CASE WHEN w.at < w.last THEN l.text ELSE coalesce(b.text, '') END AS said
+  FROM w LEFT JOIN t l ON l.conv_id = w.conv_id AND l.pos = w.last LEFT JOIN t b ON b.conv_id = w.conv_id AND b.pos = w.at - 1
+), r AS (
+  SELECT t.conv_id, t.pos, t.role, CASE WHEN t.pos = s.at THEN s.said ELSE t.text END AS text
+  FROM t JOIN s ON t.conv_id = s.conv_id WHERE s.at IS NULL OR t.pos <= s.at OR s.which % 2 = 0
+), n AS (
+  SELECT c.conv_id, coalesce(min(x.pos) - 1, max(c.size)) AS shared FROM c
+  LEFT JOIN (SELECT t.conv_id, t.pos FROM t LEFT JOIN r ON t.conv_id = r.conv_id AND t.pos = r.pos WHERE r.pos IS NULL OR t.role <> r.role OR t.text <> r.text) x ON c.conv_id = x.conv_id
+  GROUP BY c.conv_id
+), m AS (
+  SELECT conv_id, side, pos, role, length(text) AS len, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
+  FROM (SELECT conv_id, 'c' AS side, pos, role, text FROM t UNION ALL SELECT conv_id, 'r', pos, role, text FROM r)
 ), p AS (
-  SELECT conv_id, string_agg(shown, '' ORDER BY pos) AS prompt FROM r WHERE pos < last GROUP BY conv_id
+  SELECT m.*, n.shared, sum(CASE WHEN pos > shared THEN length(shown) ELSE 0 END) OVER (PARTITION BY m.conv_id, side ORDER BY pos) AS stop FROM m JOIN n ON m.conv_id = n.conv_id
+), f AS (
+  SELECT conv_id, side, max(shared) AS shared, coalesce(string_agg(CASE WHEN pos <= shared THEN shown END, '' ORDER BY pos), '') AS prompt, coalesce(string_agg(CASE WHEN pos > shared THEN shown END, '' ORDER BY pos), '') AS completion,
+    coalesce(string_agg(CASE WHEN pos > shared AND role = 'assistant' THEN CAST(stop - len - 8 AS VARCHAR) || ':' || CAST(stop AS VARCHAR) END, ',' ORDER BY pos), '') AS mask
+  FROM p GROUP BY conv_id, side
 )
-SELECT c.conv_id,
-       CAST(CASE WHEN c.text = c.previous THEN c.last ELSE c.last - 1 END AS BIGINT) AS n_prompt_turns,
-       coalesce(p.prompt, '') || CASE WHEN c.text = c.previous THEN c.shown ELSE '' END AS prompt,
-       CASE WHEN c.text = c.previous THEN '' ELSE c.shown END AS chosen_completion,
-       CASE WHEN c.text = c.previous THEN '' ELSE c.echoed END AS rejected_completion,
-       CASE WHEN c.text = c.previous THEN '' ELSE '14:' || CAST(length(c.shown) AS VARCHAR) END AS chosen_mask,
-       CASE WHEN c.text = c.previous THEN '' ELSE '14:' || CAST(length(c.echoed) AS VARCHAR) END AS rejected_mask
-FROM c LEFT JOIN p ON c.conv_id = p.conv_id
+SELECT a.conv_id, CAST(a.shared AS BIGINT) AS n_prompt_turns, a.prompt, a.completion AS chosen_completion, b.completion AS rejected_completion, a.mask AS chosen_mask, b.mask AS rejected_mask
+FROM f a JOIN f b ON a.conv_id = b.conv_id AND a.side = 'c' AND b.side = 'r'
 """

@@ -57,6 +57,11 @@ def fresh(df: DataFrame) -> str:
     return prefix
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their places: functions over Arrow batches don't take every name."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def words(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+ of a text; empty for null and blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

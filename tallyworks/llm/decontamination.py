@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh
+from .common import checkpoint, fresh, numbered
 
 WINDOW = 10
 #: Item windows that are broadcast at once, at most.
@@ -201,7 +201,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
                     rows.append(_row(ws, *found.scan(ws), t))
                 yield written(b, b.columns, rows)
 
-        return base.mapInArrow(run, schema)
+        return numbered(base).mapInArrow(run, schema)
 
     p = fresh(base)
     keyed = base.withColumn(f"{p}key", F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
@@ -233,7 +233,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
                 rows.append(_row(ws, marked(len(ws), list(zip(spans[::2], spans[1::2], strict=True))), set(items or ()), t))
             yield written(b, b.columns[:-2], rows)
 
-    return joined.mapInArrow(finish, schema)
+    return numbered(joined).mapInArrow(finish, schema)
 
 
 _BUILT: dict[tuple[int, int], WindowSet] = {}

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
 from .decontamination import normal_words
 
 #: Exact phrases and their labels.
@@ -187,7 +188,7 @@ def scan(docs: DataFrame, text: str = "text", notices: tuple[Notice, ...] = NOTI
             columns = list(zip(*rows, strict=True)) or [()] * len(pairs)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, kinds[t]) for c, (_, t) in zip(columns, pairs, strict=True))], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return numbered(base).mapInArrow(run, schema)
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:

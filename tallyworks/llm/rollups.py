@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, remove_folder, shared_dir
+from .common import checkpoint, numbered, remove_folder, shared_dir
 
 KEYS = ("source", "lang", "version")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
@@ -67,7 +67,7 @@ def count_tokens(docs: DataFrame, text: str = "text", rank_file: str | None = No
             counts = [_count(encoding, t) if t else 0 for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return numbered(base).mapInArrow(run, schema)
 
 
 def inserts(rows: DataFrame) -> DataFrame:

@@ -24,49 +24,56 @@ def test_prefix_masks_and_edges(spark):
             assert [done[s.start : s.end] for s in m] == [(t or "") + "<|end|>\n" for role, t in turns if role == "assistant"]
 
 
+def branch(c, turns):
+    own = [k for k, (role, _) in enumerate(turns) if role == "assistant"]
+    if not own:
+        return turns
+    which = c % len(own)
+    at = own[which]
+    said = turns[own[-1]][1] if at < own[-1] else turns[at - 1][1] if at else ""
+    return [*turns[:at], ("assistant", said), *(turns[at + 1 :] if which % 2 == 0 else [])]
+
+
+def checked(convs, got):
+    """Depths at which branches part, and how many turns the completions have."""
+    depths, lengths = set(), set()
+    assert set(got) == set(convs)
+    for c, r in got.items():
+        a, b = convs[c], branch(c, convs[c])
+        n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert (r.n_prompt_turns, r.prompt, r.chosen_completion, r.rejected_completion) == (n, render(a[:n]), render(a[n:]), render(b[n:])), c
+        for done, m, turns in ((r.chosen_completion, r.chosen_mask, a[n:]), (r.rejected_completion, r.rejected_mask, b[n:])):
+            spans = [tuple(map(int, s.split(":"))) for s in m.split(",") if s]
+            assert [done[x:y] for x, y in spans] == [t + "<|end|>\n" for role, t in turns if role == "assistant"]
+        depths.add(n)
+        lengths.add((len(a) - n, len(b) - n))
+    return depths, lengths
+
+
 def test_query_rows(spark, sf_dir):
     from tallyworks.llm.common import read_table
 
     convs = {}
-    for r in sorted(read_table(spark, sf_dir, "conversations").collect(), key=lambda r: (r.conv_id, r.turn)):
+    for r in sorted(read_table(spark, sf_dir, "conversations").collect(), key=lambda r: (r.conv_id, r.turn, r.role, r.text)):
         convs.setdefault(r.conv_id, []).append((r.role, r.text))
-    got = {r.conv_id: r for r in C.op1_preferences(spark, sf_dir).collect()}
-    assert set(got) == {c for c, t in convs.items() if any(r == "assistant" for r, _ in t)}
-    for c, r in got.items():
-        last = max(k for k, (role, _) in enumerate(convs[c]) if role == "assistant")
-        assert r.prompt + r.chosen_completion == render(convs[c][: last + 1])
-        assert r.rejected_completion in ("", render([("assistant", convs[c][last - 1][1])]))
+    depths, lengths = checked(convs, {r.conv_id: r for r in C.op1_preferences(spark, sf_dir).collect()})
+    assert len(depths) > 3 and len(lengths) > 4
 
 
-def test_native_plan_odd_rows_and_empty(spark):
-    turns = spark.createDataFrame([(1, 0, None, None), (1, 1, "assistant", None), (None, 0, "assistant", "x"), (2, 0, "user", "q"), (3, 0, "assistant", "first")], "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(0))
-    df = C.format_preferences(C.echo_pairs(turns))
+def test_branches_of_odd_rows(spark):
+    rows = [(1, 0, "user", "q"), (2, 0, "user", "q"), (2, 1, "assistant", "yes"), (2, 2, "user", "more"), (2, 3, "tool", None), (3, 0, "assistant", "first"), (4, 0, None, None), (None, 0, "assistant", "x")]
+    rows += [(5, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(12)] + [(-7, k, ("user", "assistant")[k % 2], "same") for k in range(6)] + [(2, 1, "assistant", "yes")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in ("turns", "own", "at", "which", "__a")})
+    convs = {}
+    for c, _, role, text in sorted((r[0], r[1], r[2] or "unknown", r[3] or "") for r in rows if r[0] is not None):
+        convs.setdefault(c, []).append((role, text))
+    df = C._written(C.format_preferences(C.branch_pairs(turns)))
+    checked(convs, {r.conv_id: r for r in df.collect()})
     assert not re.search("Python|Arrow", df._jdf.queryExecution().executedPlan().toString())
-    assert sorted(r.conv_id for r in df.collect()) == [1, 3]
-    assert C.format_preferences(C.echo_pairs(turns.limit(0))).count() == 0
+    assert C.format_preferences(C.branch_pairs(turns.limit(0))).count() == 0
 
 
-def test_whole_pairs_keep_every_conversation_and_turn(spark, sf_dir):
-    from tallyworks.llm.common import read_table
-
-    convs = {}
-    for r in sorted(read_table(spark, sf_dir, "conversations").collect(), key=lambda r: (r.conv_id, r.turn)):
-        convs.setdefault(r.conv_id, []).append((r.role, r.text))
-    got = {r.conv_id: r for r in C.op1_whole_preferences(spark, sf_dir).collect()}
-    assert set(got) == set(convs)
-    for c, r in got.items():
-        turns, own = convs[c], [k for k, (role, _) in enumerate(convs[c]) if role == "assistant"]
-        assert r.prompt + r.chosen_completion == render(turns)
-        other = list(turns)
-        if own:
-            other[own[-1]] = ("assistant", other[own[-1] - 1][1] if own[-1] else "")
-        assert r.prompt + r.rejected_completion == render(other)
-        assert (r.chosen_completion == "") == (other == turns)
-
-
-def test_whole_pairs_of_odd_rows(spark):
-    rows = [(1, 0, "user", "q"), (2, 0, "user", "q"), (2, 1, "assistant", "yes"), (2, 2, "user", "more"), (2, 3, "tool", None), (3, 0, "assistant", "first")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: (r.n_prompt_turns, r.chosen_completion, r.rejected_completion) for r in C.format_preferences(C.whole_pairs(turns)).collect()}
-    tail = [("user", "more"), ("tool", "")]
-    assert got == {1: (1, "", ""), 2: (1, render([("assistant", "yes"), *tail]), render([("assistant", "q"), *tail])), 3: (0, render([("assistant", "first")]), render([("assistant", "")]))}
+def test_names_are_kept(spark):
+    df = spark.createDataFrame([([A, B], [A, X], "one", "two", "three")], f"chosen {T}, rejected {T}, __a string, __b string, `x.y` string")
+    r = C.format_preferences(df).first()
+    assert (r["__a"], r["__b"], r["x.y"], r.n_prompt_turns) == ("one", "two", "three", 1)

@@ -24,3 +24,29 @@ def test_stages_and_run(spark, sf_dir):
             assert {r.doc_id for r in docs.collect()} == set(want), name
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in packed} == set(want)
+
+
+def test_odd_rows_names_and_empty_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from .fixtures import documents, frame
+
+    long = " ".join(f"word{k}" for k in range(9000)) + " mail a@b.org"
+    rows = [*documents(), (None, long[:3000], "en", "s", 1), (700, long, "en", "s", 1), (700, long[:500], "de", "s", 1), (701, long, None, None, None), (701, long, None, None, None)]
+    for k, some in enumerate((rows, [])):
+        path = tmp_path / str(k)
+        df = frame(spark, some).withColumns({c: F.lit(c) for c in ("__text", "row", "raw", "id", "item_id", "a.b")})
+        df.write.parquet(str(path / "documents.parquet"))
+        spark.createDataFrame([(700, 1, None), (None, 0, 0)][: 2 - 2 * k], "doc_id long, quality long, toxic long").write.parquet(str(path / "labels.parquet"))
+        spark.createDataFrame([(1, "two words"), (2, None)][: 2 - 2 * k], "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+        packed = corpus_pipeline.run(spark, str(path)).collect()
+        want = {(-1 if r[0] is None else r[0]): r[1] for r in reversed(some) if not test_quality.brute(r[1])[-1]}
+        if some:
+            assert {-1, 700} <= {-1 if r.doc_id is None else r.doc_id for r in packed} <= set(want)
+            assert sum(r.doc_id == 700 and r.piece == 0 for r in packed) == 2 and not any(r.doc_id == 701 for r in packed)
+        else:
+            assert packed == []
+    docs = spark.read.parquet(str(tmp_path / "0" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path / "0"))
+        assert out.columns == docs.columns and out.where("__text <> '__text' OR raw <> 'raw' OR `a.b` <> 'a.b'").count() == 0, name
