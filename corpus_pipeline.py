@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.llm import decontamination, packing, pii, quality, simhash
-from tallyworks.llm.common import read_table, shared_dir
+from tallyworks.llm.common import checkpoint, read_table, remove_folder, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars is that of the new text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{n}`") for n in docs.columns))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +48,20 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written as Parquet and read again as the next one's."""
+    """All stages over ``documents``; each stage's rows are written as Parquet and read again as the next one's.
+
+    Null and blank texts fail the quality rules; rows with a null id that pass them stay through all stages; of repeated
+    rows one stays. An empty table gives an empty result. Stages keep columns of any names. Written stages are removed.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
+    docs = checkpoint(docs)
+    remove_folder(spark, folder)
     return docs
 
 
