@@ -151,48 +151,86 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
 
 #: What compares the rows of one tile: (rows, numbers of the parts) to pairs of row numbers.
 Compare = Callable[[pa.Table, np.ndarray], list[tuple[int, int]]]
+#: Lanes of a word: tiles that don't fill one are compared together, by population counts.
+LANES = 64
 
 
-def by_bits(radius: int, names: tuple[str, ...]) -> Compare:
-    """Compares fingerprints, held in the long columns ``names``, bit-sliced."""
+class ByBits:
+    """Compares fingerprints, held in the long columns ``names``: bit-sliced, or many small tiles at once."""
 
-    def compare(rows: pa.Table, parts: np.ndarray) -> list[tuple[int, int]]:
-        fps = np.stack([rows[n].to_numpy().view(np.uint64) for n in names], axis=1)
+    def __init__(self, radius: int, names: tuple[str, ...]) -> None:
+        self.radius, self.names = radius, names
+
+    def _fps(self, rows: pa.Table) -> np.ndarray:
+        return np.stack([rows[n].to_numpy().view(np.uint64) for n in self.names], axis=1)
+
+    def __call__(self, rows: pa.Table, parts: np.ndarray) -> list[tuple[int, int]]:
+        fps = self._fps(rows)
         if (parts == parts[0]).all():
-            return forest(fps, None, radius)
+            return forest(fps, None, self.radius)
         one, two = np.flatnonzero(parts == parts.min()), np.flatnonzero(parts == parts.max())
         every = np.concatenate([one, two])
-        return [(int(every[x]), int(every[y])) for x, y in forest(fps[one], fps[two], radius)]
+        return [(int(every[x]), int(every[y])) for x, y in forest(fps[one], fps[two], self.radius)]
+
+    def small(self, rows: pa.Table, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spanning forest (row, root) of all tiles of ``LANES`` rows at most; ``tile`` ascends."""
+        fps, label, found = self._fps(rows), np.arange(len(tile)), []
+        for d in range(1, LANES):
+            at = np.flatnonzero(tile[d:] == tile[:-d])
+            if not len(at):
+                break
+            at = at[np.bitwise_count(fps[at] ^ fps[at + d]).sum(axis=1) <= self.radius]
+            found.append(np.stack([at, at + d]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        while pairs.shape[1]:
+            low, high = np.minimum(*label[pairs]), np.maximum(*label[pairs])
+            np.minimum.at(label, high, low)
+            while (label != label[label]).any():
+                label = label[label]
+            pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return linked, label[linked]
 
-    return compare
+
+def by_bits(radius: int, names: tuple[str, ...]) -> Compare:
+    return ByBits(radius, names)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatch]:
     """Links of each run of equal (bucket, i, j), which may go over several batches. Columns: bucket, i, j, part, node, ..."""
     held: list[pa.RecordBatch] = []
+    names = ("bucket", "i", "j")
 
-    def links(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        parts, node = run["part"].to_numpy(), run["node"].to_numpy()
+    def links(run: pa.Table) -> np.ndarray:
+        parts = run["part"].to_numpy()
         cross = run["i"][0].as_py() != run["j"][0].as_py()
         pairs = [] if len(run) < 2 or cross and (parts == parts[0]).all() else compare(run, parts)
-        at = np.array(pairs, np.int64).reshape(-1, 2)
-        return node[at[:, 0]], node[at[:, 1]]
+        return run["node"].to_numpy()[np.array(pairs, np.int64).reshape(-1, 2)]
 
     def done(t: pa.Table) -> pa.RecordBatch:
-        keys = [t[c].to_numpy() for c in ("bucket", "i", "j")]
-        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        out = [links(t.slice(x, y - x)) for x, y in zip([0, *cut], [*cut, len(t)], strict=True)]
-        a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        keys = [t[c].to_numpy() for c in names]
+        begins = np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1])
+        sizes = np.diff(np.append(begins, len(t)))
+        few = (sizes <= LANES) & (keys[1] == keys[2])[begins] if hasattr(compare, "small") else np.zeros(len(begins), bool)
+        out = [links(t.slice(int(x), int(n))) for x, n in zip(begins[~few], sizes[~few], strict=True)]
+        if few.any():
+            tile = np.repeat(np.arange(len(begins)), sizes)
+            at = np.flatnonzero(few[tile])
+            node = t["node"].to_numpy()[at]
+            row, root = compare.small(t.take(pa.array(at)), tile[at])
+            out.append(np.stack([node[row], node[root]], axis=1))
+        pairs = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         t = pa.Table.from_batches(held)
-        keys = [t[c].to_numpy() for c in ("bucket", "i", "j")]
-        open_from = int(np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))[-1]) + 1 if any((k != k[-1]).any() for k in keys) else 0
-        if open_from:
+        keys = [t[c].to_numpy() for c in names]
+        other = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+        if len(other):
+            open_from = int(other[-1]) + 1
             yield done(t.slice(0, open_from))
             held = t.slice(open_from).combine_chunks().to_batches()
     if held:

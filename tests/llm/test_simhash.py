@@ -87,3 +87,20 @@ def test_empty_and_deduplicate(spark):
     comp = dict(zip([r[0] for r in rows], brute_components([r[0] for r in rows], [brute_fp(r[1]) for r in rows], 2), strict=True))
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(comp.values()))
     assert kept.columns == frame(spark, rows).columns
+
+
+def test_small_tiles_as_bit_sliced():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 30, dtype=np.uint64)
+    fps = np.array([b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False))) for b in base for _ in range(10)], dtype=np.uint64)
+    tile = np.sort(rng.integers(0, 12, len(fps)))
+    row, root = S.by_bits(3, ("fp",)).small(pa.table({"fp": fps.view(np.int64)}), tile)
+    got = dict(zip(row.tolist(), root.tolist(), strict=True))
+    want = {}
+    for n in range(12):
+        at = np.flatnonzero(tile == n)
+        if len(at):
+            want |= {int(at[i]): int(at[r]) for i, r in S.forest(fps[at], None, 3)}
+    assert got == want and got
