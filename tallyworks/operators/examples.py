@@ -80,14 +80,16 @@ def with_formulas(df: DataFrame, text: str) -> DataFrame:
 
 
 def with_canonical(df: DataFrame, answer: str = "answer") -> DataFrame:
-    """Adds without_identities and canonical, the training form of an answer."""
-    from ..functions import canonical
+    """Adds without_identities and canonical, the training form of an answer: Python finds the spans to cut, native functions cut and mend."""
+    from ..functions import canonical, scan
 
     def one(a: str | None) -> dict:
         clean = canonical.drop_identities(a or "")
-        return {"without_identities": clean, "canonical": canonical.canonical(clean)}
+        return {"without_identities": clean, "__cuts": [{"start": x, "end": y} for x, y in canonical.cuts(clean)]}
 
-    return with_rows(df, [answer], "without_identities string, canonical string", one)
+    rows = with_rows(df, [answer], "without_identities string, __cuts array<struct<start:int,end:int>>", one)
+    cut = scan.mend_blanks(scan.delete_spans(F.col("without_identities"), F.col("__cuts")))
+    return rows.withColumn("canonical", cut).drop("__cuts")
 
 
 def training_examples(df: DataFrame, system: str, question: str = "question", answer: str = "answer") -> DataFrame:

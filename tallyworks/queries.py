@@ -131,12 +131,13 @@ def _scored(spark, sf_dir):
     QA_SQL
     + """SELECT example_id, CASE WHEN k IN (0, 1, 2, 9) THEN CAST(t AS VARCHAR) WHEN k = 4 THEN CAST(a + c AS VARCHAR) WHEN k = 5 THEN CAST(a % b AS VARCHAR) WHEN k = 6 THEN '0' WHEN k = 7 THEN CAST(a AS VARCHAR) || '/7'
   WHEN k = 10 THEN CAST(a AS VARCHAR) || ',0' || lpad(CAST(b AS VARCHAR), 2, '0') WHEN k = 11 THEN CAST(t + 1 AS VARCHAR) WHEN k = 12 THEN CAST(a AS VARCHAR) || '/4' WHEN k = 13 THEN '-' || CAST(a + 10 - c AS VARCHAR) WHEN k = 15 THEN CAST(a // b AS VARCHAR) END AS marked,
-  CASE WHEN k = 3 THEN CAST(p AS VARCHAR) WHEN k = 8 THEN CAST(a + b AS VARCHAR) END AS standalone FROM base"""
+  CASE WHEN k IN (0, 1, 2, 9) THEN CAST(t AS VARCHAR) WHEN k = 3 THEN CAST(p AS VARCHAR) WHEN k = 4 THEN CAST(a + c AS VARCHAR) WHEN k = 5 THEN CAST(a % b AS VARCHAR) WHEN k = 6 THEN '0' WHEN k = 7 THEN CAST(a AS VARCHAR) || '/7' WHEN k = 8 THEN CAST(a + b AS VARCHAR)
+  WHEN k = 10 THEN CAST(a AS VARCHAR) || ',0' || lpad(CAST(b AS VARCHAR), 2, '0') WHEN k = 11 THEN CAST(t + 1 AS VARCHAR) WHEN k = 12 THEN CAST(a AS VARCHAR) || '/4' WHEN k = 13 THEN '-' || CAST(a + 10 - c AS VARCHAR) WHEN k = 15 THEN CAST(a // b AS VARCHAR) END AS standalone FROM base"""
 )
 def answer_texts(spark, sf_dir):
     """Marked and last standalone numbers as they are written, by native scans."""
     rows = derive(spark, sf_dir)
-    return rows.select("example_id", scan.marked_text(F.col("answer")).alias("marked"), F.when(F.col("k").isin(3, 8), scan.last_standalone(F.col("answer"))).alias("standalone"))
+    return rows.select("example_id", scan.marked_text(F.col("answer")).alias("marked"), scan.last_standalone(F.col("answer")).alias("standalone"))
 
 
 @query(_PREDICTED + "SELECT example_id, round(err, 9) AS error FROM errors")
@@ -181,21 +182,6 @@ def metric_flatten(spark, sf_dir):
     return evaluation.flatten_metrics(nested, "eval").select("metric", F.round("value", 6).alias("value"))
 
 
-@query(
-    QA_SQL
-    + """SELECT example_id, CASE WHEN k IN (0, 1, 2, 11) THEN 6 ELSE 0 END AS "start", CASE WHEN k IN (0, 1, 2, 11) THEN 6 ELSE 0 END + CASE
-    WHEN k IN (0, 11) THEN length(CAST(a AS VARCHAR)) + length(CAST(b AS VARCHAR)) + length(CAST(p AS VARCHAR)) + 6
-    WHEN k = 1 THEN length(CAST(a AS VARCHAR)) + length(CAST(b AS VARCHAR)) + length(CAST(p + 1 AS VARCHAR)) + 6
-    WHEN k = 2 THEN length(CAST(a AS VARCHAR)) + length(CAST(b AS VARCHAR)) + 5
-    WHEN k = 4 THEN 2 * length(CAST(a AS VARCHAR)) + 5
-    WHEN k = 8 THEN length(CAST(a AS VARCHAR)) + length(CAST(b AS VARCHAR)) + length(CAST(a + b AS VARCHAR)) + 6 END AS "end"
-FROM base WHERE k IN (0, 1, 2, 4, 8, 11)"""
-)
-def step_spans(spark, sf_dir):
-    rows = scan.annotations(derive(spark, sf_dir), "answer", "example_id", "k")
-    return rows.where("index = 0").where(F.col("k").isin(0, 1, 2, 4, 8, 11)).select("example_id", "start", "end")
-
-
 @query(
     QA_SQL
     + """SELECT example_id, CASE WHEN k = 4 THEN CAST(a AS VARCHAR) || ' then <<' || CAST(a AS VARCHAR) || '+' || CAST(c AS VARCHAR) || '=' || CAST(a + c AS VARCHAR) || '>>.' || chr(10) || '#### ' || CAST(a + c AS VARCHAR) ELSE answer END AS without_identities,
@@ -262,13 +248,12 @@ def operand_masks(spark, sf_dir):
 
 @query(
     QA_SQL
-    + """SELECT example_id, CAST(0 AS INT) AS step, CASE WHEN k IN (7, 12) THEN NULL WHEN k IN (0, 11) THEN CAST(p AS VARCHAR) WHEN k = 4 THEN CAST(a + c AS VARCHAR) WHEN k = 8 THEN CAST(a + b AS VARCHAR) WHEN k = 10 THEN CAST(1000 * a + b AS VARCHAR) WHEN k = 13 THEN CAST(c - a - 10 AS VARCHAR) ELSE CAST(a // b AS VARCHAR) END AS result, true AS same
+    + """SELECT example_id, CAST(0 AS INT) AS step, CASE WHEN k = 7 THEN CASE WHEN a % 7 = 0 THEN CAST(a // 7 AS VARCHAR) ELSE CAST(a AS VARCHAR) || '/7' END WHEN k = 12 THEN CASE WHEN a % 4 = 0 THEN CAST(a // 4 AS VARCHAR) WHEN a % 2 = 0 THEN CAST(a // 2 AS VARCHAR) || '/2' ELSE CAST(a AS VARCHAR) || '/4' END WHEN k IN (0, 11) THEN CAST(p AS VARCHAR) WHEN k = 4 THEN CAST(a + c AS VARCHAR) WHEN k = 8 THEN CAST(a + b AS VARCHAR) WHEN k = 10 THEN CAST(1000 * a + b AS VARCHAR) WHEN k = 13 THEN CAST(c - a - 10 AS VARCHAR) ELSE CAST(a // b AS VARCHAR) END AS result, true AS same
 FROM base WHERE k IN (0, 4, 7, 8, 10, 11, 12, 13, 15) UNION ALL SELECT example_id, 1, CAST(t AS VARCHAR), true FROM base WHERE k IN (0, 11)"""
 )
 def graph_and_program_results(spark, sf_dir):
     rows = _audited(spark, sf_dir).select("example_id", "k", F.explode("steps").alias("s")).where("s.valid")
-    shown = F.when(~F.col("k").isin(7, 12), F.col("s.graph_result"))
-    return rows.select("example_id", F.col("s.index").alias("step"), shown.alias("result"), (F.col("s.graph_result").eqNullSafe(F.col("s.program_result")) & (F.col("s.program_result") == F.col("s.target"))).alias("same"))
+    return rows.select("example_id", F.col("s.index").alias("step"), F.col("s.graph_result").alias("result"), (F.col("s.graph_result").eqNullSafe(F.col("s.program_result")) & (F.col("s.program_result") == F.col("s.target"))).alias("same"))
 
 
 @query("SELECT CAST(NULL AS VARCHAR) AS code, CAST(0 AS BIGINT) AS n FROM region WHERE false")
@@ -306,11 +291,12 @@ def target_scale_percentiles(spark, sf_dir):
     return rows.select(*(F.round(c, 9).alias(c) for c in rows.columns))
 
 
-@query("SELECT example_id FROM (SELECT 0 AS example_id FROM region) WHERE false")
+@query(QA_SQL + "SELECT example_id FROM base WHERE k = 14")
 def audit_determinism(spark, sf_dir):
-    """Keys whose analysis differs between two partitionings."""
+    """Keys whose analysis differs between two partitionings, in one of which answers without steps got one."""
     rows = derive(spark, sf_dir).select("example_id", "question", "answer")
-    a, b = (audit.result_hashes(examples.analyze(rows.repartition(k, "example_id"))) for k in (3, 8))
+    planted = rows.withColumn("answer", F.when(F.col("answer") == "No idea.", "One idea: <<1+1=2>>.").otherwise(F.col("answer")))
+    a, b = (audit.result_hashes(examples.analyze(x.repartition(k, "example_id"))) for x, k in ((rows, 3), (planted, 8)))
     return audit.hash_differences(a, b).select("example_id")
 
 
@@ -375,29 +361,6 @@ def _tokens(spark, sf_dir):
     return features.character_tokens(rows, "answer").withColumn("labels", F.col("input_ids"))
 
 
-@query(
-    QA_SQL
-    + """, l AS (SELECT example_id, k, length(answer) AS len, CASE k
-    WHEN 2 THEN length(CAST(a AS VARCHAR)) + length(CAST(b AS VARCHAR)) + 5 WHEN 8 THEN length(CAST(a AS VARCHAR)) + length(CAST(b AS VARCHAR)) + length(CAST(a + b AS VARCHAR)) + 6
-    WHEN 1 THEN length(CAST(a AS VARCHAR)) + length(CAST(b AS VARCHAR)) + length(CAST(p + 1 AS VARCHAR)) + 6 ELSE 0 END AS inside FROM qa WHERE k IN (1, 2, 8, 9, 14))
-SELECT example_id, CAST(len + 2.5 * inside AS DOUBLE) AS weight FROM l"""
-)
-def token_weights(spark, sf_dir):
-    rows = features.build(_tokens(spark, sf_dir).where(F.col("k").isin(1, 2, 8, 9, 14)), ["token_loss_weights"], 3.5)
-    return rows.select("example_id", objective._sum(F.col("token_loss_weights")).alias("weight"))
-
-
-@query(
-    QA_SQL
-    + """SELECT example_id, CASE WHEN k IN (0, 1, 11) THEN CAST(NULL AS INT) ELSE 0 END AS x, CASE WHEN k IN (8, 10, 13, 15) THEN 0 ELSE 1 END AS placed, true AS seen FROM base WHERE k IN (8, 10, 13, 15)"""
-)
-def causal_positions(spark, sf_dir):
-    """Steps at the very start of an answer have no token before them: position 0 and masked; still they are seen."""
-    rows = features.step_features(_tokens(spark, sf_dir)).where(F.col("k").isin(8, 10, 13, 15))
-    span = F.struct(F.col("steps")[0]["start"].alias("start"), F.col("steps")[0]["end"].alias("end"))
-    return rows.select("example_id", F.col("step_positions")[0].alias("x"), F.col("step_mask")[0].cast("int").alias("placed"), features.visible(F.col("offsets"), span).alias("seen"))
-
-
 @query()
 def step_features(spark, sf_dir):
     return features.build(_tokens(spark, sf_dir), [*features.STEP_FEATURES, "postfix_program"]).select("example_id", *features.STEP_FEATURES, "postfix_program")
@@ -448,18 +411,7 @@ def training_rows(spark, sf_dir):
     return rows.select("example_id", F.to_json("prompt").alias("prompt"), F.to_json("completion").alias("completion"))
 
 
-@query(
-    QA_SQL
-    + """SELECT example_id, CAST(length(question) + 49 + length(answer) + 12 + 11 AS BIGINT) AS tokens, CAST(length(answer) + 12 AS BIGINT) AS learned FROM qa WHERE k NOT IN (0, 4)"""
-)
-def tokenized_rows(spark, sf_dir):
-    """Rendered characters of chat examples, and how many of them count as labels."""
-    rows = derive(spark, sf_dir).where(~F.col("k").isin(0, 4)).select("example_id", "question", "answer")
-    tokens = tokenization.tokenize(examples.training_examples(rows, "Solve step by step."))
-    return tokens.select("example_id", F.size("input_ids").cast("long").alias("tokens"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("learned"))
-
-
-# The same over all variants and all annotations; the queries above with id subsets keep their SQL.
+# Closed forms of all annotations' places.
 _L = lambda x: f"length(CAST({x} AS VARCHAR))"
 _WHOLE = "((200 * a + 7) // 14) // 100"
 _SPANS = (
@@ -484,23 +436,18 @@ _CANON = f"""CASE k WHEN 0 THEN length(answer) - {_L("p")} - {_L("t")} WHEN 4 TH
 
 
 @query(_SPANS + 'SELECT example_id, CAST(step AS INT) AS "index", "start", "start" + width AS "end" FROM spans')
-def all_step_spans(spark, sf_dir):
+def step_spans(spark, sf_dir):
     return scan.annotations(derive(spark, sf_dir), "answer", "example_id").select("example_id", "index", "start", "end")
 
 
-@query(SQL["answer_texts"].replace("CASE WHEN k = 3", "CASE WHEN k IN (0, 1, 2, 9) THEN CAST(t AS VARCHAR) WHEN k = 4 THEN CAST(a + c AS VARCHAR) WHEN k = 5 THEN CAST(a % b AS VARCHAR) WHEN k = 6 THEN '0' WHEN k = 7 THEN CAST(a AS VARCHAR) || '/7' WHEN k = 10 THEN CAST(a AS VARCHAR) || ',0' || lpad(CAST(b AS VARCHAR), 2, '0') WHEN k = 11 THEN CAST(t + 1 AS VARCHAR) WHEN k = 12 THEN CAST(a AS VARCHAR) || '/4' WHEN k = 13 THEN '-' || CAST(a + 10 - c AS VARCHAR) WHEN k = 15 THEN CAST(a // b AS VARCHAR) WHEN k = 3"))
-def all_answer_texts(spark, sf_dir):
-    return derive(spark, sf_dir).select("example_id", scan.marked_text(F.col("answer")).alias("marked"), scan.last_standalone(F.col("answer")).alias("standalone"))
-
-
 @query(_SPANS + ", l AS (SELECT example_id, sum(width) AS inside FROM spans GROUP BY example_id) SELECT qa.example_id, CAST(length(answer) + 2.5 * coalesce(inside, 0) AS DOUBLE) AS weight FROM qa LEFT JOIN l ON qa.example_id = l.example_id")
-def all_token_weights(spark, sf_dir):
+def token_weights(spark, sf_dir):
     rows = features.build(_tokens(spark, sf_dir), ["token_loss_weights"], 3.5)
     return rows.select("example_id", objective._sum(F.col("token_loss_weights")).alias("weight"))
 
 
 @query(_SPANS + """SELECT example_id, CAST(step AS INT) AS step, greatest(context - 1, 0) AS x, CASE WHEN step = 1 THEN 1 ELSE 0 END AS placed, true AS seen FROM spans""")
-def all_causal_positions(spark, sf_dir):
+def causal_positions(spark, sf_dir):
     rows = features.step_features(_tokens(spark, sf_dir))
     seen = F.transform("steps", lambda s: features.visible(F.col("offsets"), F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     steps = F.arrays_zip(F.col("step_positions").alias("x"), F.col("step_mask").alias("placed"), seen.alias("seen"))
@@ -508,6 +455,21 @@ def all_causal_positions(spark, sf_dir):
 
 
 @query(QA_SQL + f", l AS (SELECT example_id, length(question) AS q, {_CANON} AS len FROM qa) SELECT example_id, CAST(q + 49 + len + 12 + 11 AS BIGINT) AS tokens, CAST(len + 12 AS BIGINT) AS learned FROM l")
-def all_tokenized_rows(spark, sf_dir):
+def tokenized_rows(spark, sf_dir):
     tokens = tokenization.tokenize(examples.training_examples(derive(spark, sf_dir).select("example_id", "question", "answer"), "Solve step by step."))
     return tokens.select("example_id", F.size("input_ids").cast("long").alias("tokens"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("learned"))
+
+
+#: Questions with number words, and the values that are in them.
+WORDED = (
+    ("seventeen ducks and ninety-nine geese", "17 99"), ("two hundred and five of three million forty", "205 3000040"), ("the twenty-first of 30", "30"), ("one hundredth of five point two", ""),
+    ("a quarter of it", "1/4"), ("three quarters of 8", "3/4 8"), ("four quarters in a purse", "4"), ("two and a half dozen", "5/2 12"), ("half a dozen", "6"), ("twice a day, once per week", "2 1"),
+    ("a couple of owls and a triple jump", "2 3"), ("time-and-a-half for 1,250", "3/2 1250"), ("2 and one-third cups of 7/8", "7/3 7/8"), ("the third day", ""), ("five sixths", "5/6"), ("-4 and .5", "-4 1/2"),
+)
+
+
+@query("SELECT CAST(example_id AS BIGINT) AS example_id, number FROM (VALUES " + ", ".join(f"({k}, '{values}')" for k, (_, values) in enumerate(WORDED)) + ") AS v(example_id, number)")
+def number_words(spark, sf_dir):
+    """All forms of number words, against values written by hand."""
+    rows = spark.createDataFrame([(k, q) for k, (q, _) in enumerate(WORDED)], "example_id long, question string").withColumn("answer", F.lit(""))
+    return examples.analyze(rows).select("example_id", F.array_join(F.transform("numbers", lambda x: x["value"]), " ").alias("number"))
