@@ -34,6 +34,8 @@ TILE = 4096
 QUERIES = 256
 #: Shingles hashed at once, so a very long text needs bounded memory.
 CHUNK = 1 << 16
+#: Parts that the rows of one fingerprint are dealt into where they meet their component.
+SALTS = 32
 #: Rows that are broadcast at most to pick rows by id (some 50 bytes each); more go through a shuffled join.
 BROADCAST_ROWS = 250_000
 
@@ -302,13 +304,20 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _components(rows: DataFrame, radius: int, kept: int) -> DataFrame:
-    """(fp, root, least): of every fingerprint of ``rows`` (doc_id, fp) its component, and the component's smallest id."""
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    """``rows`` (fp, doc_id, ...) with the root of their component, and the component's smallest id (least).
+
+    Rows of a fingerprint that has many copies meet it in ``SALTS`` parts, so no task gets all of them.
+    """
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     roots = connected_components(links(distinct.select("fp"), radius, kept)).withColumnRenamed("node", "fp")
     linked = roots.join(distinct, "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    named = linked.join(least, "root").select("fp", "root", "least")
-    return distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("least"))
+    named = distinct.join(linked.join(least, "root").select("fp", "root", "least"), "fp", "left")
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    parts = F.when(F.col("copies") == 1, F.array(part("rep"))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    least = F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least"))
+    dealt = named.select("fp", F.coalesce("root", "fp").alias("root"), least.alias("least"), F.explode(parts).alias("part"))
+    return rows.withColumn("part", part("doc_id")).join(dealt, ["fp", "part"]).drop("part")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, radius: int = 2, kept: int = 2, seed: int = 42) -> DataFrame:
@@ -320,7 +329,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     gives an empty result.
     """
     rows = checkpoint(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width=width, seed=seed))
-    return rows.join(_components(rows, radius, kept), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+    return _components(rows, radius, kept).select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def text_key(text: Column) -> Column:
@@ -361,7 +370,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     data = F.col(f"`{text}`")
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(data).alias("raw"), data.alias("text"))
     rows = checkpoint(fingerprints(keyed, keys=("doc_id", "raw"), width=width, seed=seed)).where("doc_id IS NOT NULL")
-    named = rows.join(_components(rows, radius, kept), "fp").where("doc_id = least")
+    named = _components(rows, radius, kept).where("doc_id = least")
     winners = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").alias("id"), "raw")).alias("w")).select("w.id", "w.raw")
     return one_of_each(docs, rows.select(F.col("doc_id").alias("id"), "raw"), winners, doc_id, text)
 
