@@ -182,15 +182,16 @@ def judge(figures: DataFrame, limits: DataFrame, stratum: str = "lang") -> DataF
 def filter_documents(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns, whatever their names.
 
-    Figures for the labels are worked out for labelled documents only, so texts aren't read twice in whole.
+    Figures are worked out in two passes over the texts: one for the thresholds, from which only narrow rows go to
+    the labels, and one for the verdicts. No text is shuffled, however many labels there are.
     """
     p = fresh(docs)
     aside = {n: f"{p}own_{n}" for n in docs.columns if n in FIGURES or n == "kept"}
     renamed = docs.withColumnsRenamed(aside)
     text, stratum, doc_id = (aside.get(n, n) for n in (text, stratum, doc_id))
-    some = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").alias(doc_id)).distinct()
-    labelled = renamed.select(*(F.col(f"`{n}`") for n in dict.fromkeys((doc_id, stratum, text)))).join(some, doc_id, "left_semi")
-    narrow = checkpoint(features(labelled, text).select(F.col(f"`{doc_id}`"), F.col(f"`{stratum}`"), "base_failed", *(f"rule_{r}" for r in RULES)))
+    read = renamed.select(*(F.col(f"`{n}`") for n in dict.fromkeys((doc_id, stratum, text))))
+    narrow = features(read, text).where("NOT base_failed").select(F.col(f"`{doc_id}`"), F.col(f"`{stratum}`"), "base_failed", *(f"rule_{r}" for r in RULES))
+    narrow = checkpoint(narrow)
     kept = judge(features(renamed, text), fit(narrow, labels, stratum, doc_id), stratum).where("kept")
     return kept.select(*(F.col(f"`{aside.get(n, n)}`").alias(n) for n in docs.columns))
 
