@@ -26,8 +26,8 @@ CAPACITY = 4096
 OPEN_BINS = 1024
 #: Left-over bins that one task of the second packing takes.
 LEFT_PER_TASK = 200_000
-#: Distinct words and word parts whose ids a worker keeps (some 200 bytes each).
-KEPT_WORDS, KEPT_PARTS = 800_000, 500_000
+#: Distinct words and word parts whose ids a worker keeps (some 200 bytes each, under 100 MB also while it idles).
+KEPT_WORDS, KEPT_PARTS = 300_000, 150_000
 #: Words that the quick way takes: printable ASCII, and the Latin letters that NFC leaves alone and that lower-case one by one.
 QUICK = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
