@@ -13,18 +13,38 @@ MARKED = rf"(?U)####\s*({exact.NUMBER_OR_RATIO})\s*\z"
 STANDALONE = rf"(?U)(?<![\w.-])({exact.NUMBER_OR_RATIO})(?![\w/-]|\.\d)"
 
 
+BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (text, start, end) of all matches, in code points: gaps and matches alternate."""
+    """Array of (text, start, end) of all matches, in code points: gaps and matches alternate.
+
+    Places are summed up within blocks of matches and blocks are moved to where they begin, so no long array is copied for each match.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
+    pieces = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("m")), lambda x: x["m"].isNotNull())
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(x["m"].alias("text"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    return F.aggregate(F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("gap"))), begin, step, lambda s: s["out"])
+    def blocks(p: Column) -> Column:
+        starts = F.when(F.size(p) > 0, F.sequence(F.lit(1), F.size(p), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda b: F.aggregate(F.slice(p, b, F.lit(BLOCK)), empty, step))
+
+    def moved(done: Column) -> Column:
+        begins = F.aggregate(done, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["at"])))
+        placed = F.transform(F.filter(F.arrays_zip(done.alias("b"), begins.alias("o")), lambda z: z["b"].isNotNull()), lambda z: F.transform(z["b"]["out"], lambda y: F.struct(y["text"].alias("text"), (y["start"] + z["o"]).alias("start"), (y["end"] + z["o"]).alias("end"))))
+        return F.flatten(placed)
+
+    return _let(_let(pieces, blocks), moved)
 
 
 def annotations(df: DataFrame, text: str, *keep: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from time import perf_counter
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .examples import audited
@@ -81,9 +83,21 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def scale_percentiles(rows: DataFrame, percents: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """One row of nearest-rank percentiles of all steps' target scales."""
+    """One row of nearest-rank percentiles of all steps' target scales (null if there are none).
+
+    Scales are counted by 64 ranges an octave, some 65,000 at most; only the different values of the ranges that hold the
+    wanted ranks are ranked.
+    """
     scales = rows.select(F.explode("steps.target_scale").alias("x")).where("x IS NOT NULL")
-    return scales.agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY x)").alias(f"p{round(p * 100)}") for p in percents))
+    scales = scales.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.floor(F.log2(F.greatest("x", F.lit(1.0))) * 64))
+    order = Window.partitionBy(F.lit(0)).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = scales.groupBy("at").agg(F.sum("n").alias("size"))
+    ranges = ranges.select("at", "size", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy(F.lit(0))).alias("total"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.greatest(F.ceil(F.lit(p) * F.col("total")), F.lit(1)).alias("rank")) for k, p in enumerate(percents)))).alias("w")
+    ranges = ranges.select("at", "size", "before", wanted).where("w.rank > before AND w.rank <= before + size")
+    upto = Window.partitionBy("w.k").orderBy("x")
+    found = scales.join(F.broadcast(ranges), "at").withColumn("reach", F.col("before") + F.sum("n").over(upto))  # one range for each percentile
+    return found.where("w.rank <= reach").agg(*(F.min(F.when(F.col("w.k") == k, F.col("x"))).alias(f"p{round(p * 100)}") for k, p in enumerate(percents)))
 
 
 def _counted(df: DataFrame, *keys: str) -> DataFrame:
@@ -140,3 +154,40 @@ def hash_differences(a: DataFrame, b: DataFrame, key: str = "example_id") -> Dat
     """Keys whose digests differ, or that one side lacks."""
     both = a.withColumnRenamed("digest", "a").join(b.withColumnRenamed("digest", "b"), key, "full_outer")
     return both.where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def require_same(a: DataFrame, b: DataFrame, key: str = "example_id", shown: int = 10) -> None:
+    """An error that names the first keys whose digests differ."""
+    different = hash_differences(a, b, key)
+    first = [r[0] for r in different.select(key).orderBy(key).limit(shown).collect()]
+    if first:
+        raise ValueError(f"{different.count()} analyses differ, the first of {first}")
+
+
+def invariant_violations(rows: DataFrame, key: str = "example_id") -> DataFrame:
+    """(key, step, code) of records that can't be: references past what there is, spans and masks that don't fit."""
+    steps = rows.select(key, F.size("numbers").alias("numbers"), F.explode("steps").alias("s")).select(key, "numbers", "s.*")
+    outside = lambda x, kind, bound: (x["kind"] == kind) & (x["ref"].isNull() | (x["ref"] < 0) | (x["ref"] >= bound))
+    named = lambda x: outside(x, "problem_number", F.col("numbers"))
+    future = lambda x: outside(x, "previous_result", F.col("index"))
+    bad_node = lambda n, test: test(n) | F.exists(n["candidates"], test)
+    operands = F.flatten(F.transform("actions", lambda a: a["operands"]))
+    tests = {
+        "span_order": (F.col("start") < 0) | (F.col("end") <= F.col("start")),
+        "problem_number_bounds": F.exists("nodes", lambda n: bad_node(n, named)) | F.exists(operands, lambda o: bad_node(o, named)),
+        "future_reference": F.exists("nodes", lambda n: bad_node(n, future)) | F.exists(operands, lambda o: bad_node(o, future)) | F.exists("dependencies", lambda d: (d < 0) | (d >= F.col("index"))),
+        "future_action": F.exists(F.transform("actions", lambda a, i: F.exists(a["operands"], lambda o: outside(o, "local_result", i))), lambda x: x),
+        "candidate_count": F.exists("nodes", lambda n: (n["kind"] == "unresolved") != (F.size(n["candidates"]) > 1)),
+        "mask_width": F.exists("actions", lambda a: F.size(a["mask"]) != F.size(a["operands"])),
+        "invalid_step_with_actions": ~F.col("valid") & (F.size("actions") > 0),
+    }
+    codes = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for code, bad in tests.items())), lambda c: c.isNotNull())
+    return steps.select(key, F.col("index").alias("step"), F.explode(codes).alias("code"))
+
+
+def throughput(rows: DataFrame) -> dict[str, float]:
+    """Rows, partitions that had some, seconds and rows a second of a pass over ``rows``; figures that differ from run to run."""
+    begin = perf_counter()
+    got = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("p")).first()
+    seconds = perf_counter() - begin
+    return {"examples": got.n, "partitions": got.p, "seconds": seconds, "examples_per_second": got.n / seconds if seconds > 0 else 0.0}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .splits import ranked
+
 IGNORED = -100
 #: What pads each feature of a batch.
 FILL = {"input_ids": None, "attention_mask": 0, "labels": IGNORED, "token_loss_weights": 0.0, "step_positions": 0, "step_targets": 0.0, "step_target_scales": 1.0, "step_mask": False}
@@ -76,11 +78,13 @@ def step_features(df: DataFrame, answer: str = "answer", offsets: str = "offsets
 
 def build(df: DataFrame, requested: list[str], weight: float = 2.0, answer_start: str | None = None) -> DataFrame:
     """Only the requested features, of rows with offsets, labels, answer and steps."""
+    sound = offsets_valid(F.col("offsets"), F.col("labels"))
     known = {"token_loss_weights", *STEP_FEATURES, "postfix_program"}
     if unknown := sorted(set(requested) - known):
         raise ValueError(f"unknown features: {unknown}")
     if not requested:
         return df
+    df = df.withColumn("offsets", F.when(sound, F.col("offsets")).otherwise(F.raise_error(F.lit("offsets must be one ordered span for each token")).cast(df.schema["offsets"].dataType)))
     out = step_features(df, answer_start=answer_start) if set(requested) - {"token_loss_weights"} else df
     if "token_loss_weights" in requested:
         shift = F.col(answer_start) if answer_start else F.lit(0)
@@ -104,8 +108,8 @@ def character_tokens(df: DataFrame, text: str) -> DataFrame:
 
 def number_batches(df: DataFrame, size: int, order: str, drop_incomplete: bool, by: str | None = None) -> DataFrame:
     """Adds batch: rows of each ``by`` group in order, ``size`` to a batch; optionally without the last short one."""
-    keys = [by] if by else [F.lit(0)]
-    df = df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / size))
+    keys = [by] if by else []
+    df = ranked(df, order, *keys).withColumn("batch", F.floor(F.col("__rank") / size)).drop("__rank")
     if not drop_incomplete:
         return df
     full = F.count(F.lit(1)).over(Window.partitionBy(*keys, "batch"))

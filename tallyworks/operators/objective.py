@@ -64,3 +64,19 @@ def objective(losses: DataFrame, weights: DataFrame, *by: str) -> DataFrame:
 def due(epoch: Column, every: int, last: Column) -> Column:
     """Whether something that comes every so many epochs, and at the end, is due."""
     return (F.floor(epoch) % every == 0) | last
+
+
+def objective_report(losses: DataFrame, weights: DataFrame, *by: str) -> DataFrame:
+    """The objective beside a map of each active loss's own, unweighted value."""
+    own = F.map_from_entries(F.array_sort(F.collect_list(F.struct("loss", "value")))).alias("losses")  # as many as there are kinds of loss
+    return losses.join(weights.select("loss", "weight"), "loss").groupBy(*by).agg(F.sum(F.col("weight") * F.col("value")).alias("objective"), own)
+
+
+def evaluation_normalizers(df: DataFrame, *by: str) -> DataFrame:
+    """``normalizers`` of which none may be zero."""
+    return normalizers(df, *by).withColumn("normalizer", positive(F.col("normalizer"), "the normalizer"))
+
+
+def epoch_number(epoch: Column, begun: bool = False) -> Column:
+    """Epochs that are complete, or that have begun."""
+    return (F.ceil(epoch) if begun else F.floor(epoch)).cast("int")

@@ -56,13 +56,51 @@ def assign(df: DataFrame, fraction: float, seed: int, key: str, parts: int = 409
 
 
 def ordered_hash(df: DataFrame, order: str, *by: str) -> DataFrame:
-    """SHA-256 over the rows' keys in order, for each group: one row of a split's size is built, as the digest demands."""
+    """SHA-256 over the rows' keys in order, for each group. One row of a split's size is built, as the digest demands:
+    it is for splits of some ten million rows at most; ``part_hash`` is for larger ones."""
     keys = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), example_key(F.col("question"), F.col("answer")).alias("k"))))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(keys, lambda x: x["k"]), ""), 256).alias("digest"))
 
 
+def part_hash(df: DataFrame, order: str, *by: str, parts: int = 4096, columns: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """A fingerprint of any size of split: rows and the digest of ``parts`` digests, each over the ordered rows of one part.
+
+    A row's part comes from its order key, so any partitioning gives the same digest; a task holds one part of a
+    group, 64 characters a row. Other than ``ordered_hash`` it depends on ``parts``.
+    """
+    key = F.sha2(F.to_json(F.struct(F.col(order), *(F.col(c) for c in columns)), {"ignoreNullFields": "false"}), 256)
+    part = F.pmod(F.conv(F.substring(F.sha2(F.coalesce(F.col(order).cast("string"), F.lit("")), 256), 1, 12), 16, 10).cast("long"), F.lit(parts)).alias("__part")
+    rows = df.select(*by, part, F.struct(F.col(order).alias("o"), key.alias("k")).alias("__row"))
+    inner = rows.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("__row")), lambda r: r["k"]), ""), 256).alias("__digest"))
+    every = F.array_sort(F.collect_list(F.struct("__part", "__digest")))  # `parts` at most
+    outer = F.array_join(F.transform(every, lambda x: F.concat_ws(":", x["__part"].cast("string"), x["__digest"])), ";")
+    return inner.groupBy(*by).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.sha2(outer, 256).alias("digest"))
+
+
+def ranked(df: DataFrame, order: str, *by: str, parts: int = 256) -> DataFrame:
+    """Adds __rank, from 0, by ``order`` within each group (ties in any order); no task sorts a whole group.
+
+    Cuts of a bounded sample (the 16 * ``parts`` rows of the smallest digests of their keys) deal rows into ranges; ranges
+    are counted, and ranks are taken within a range of a group. Null keys come first.
+    """
+    picked = df.select(F.col(order).alias("o")).where("o IS NOT NULL").orderBy(F.xxhash64("o"), "o").limit(16 * parts)
+    values = sorted({r.o for r in picked.collect()})  # 16 * parts keys at most
+    cuts = sorted({values[len(values) * k // parts] for k in range(1, parts)}) if values else []
+    kind = df.schema[order].dataType
+    at = F.size(F.filter(F.array(*(F.lit(c).cast(kind) for c in cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    rows = df.withColumn("__range", at)
+    counts = rows.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows a group
+    counts = counts.select(*(F.col(b).alias(f"__by{k}") for k, b in enumerate(by)), F.col("__range").alias("__to"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = F.col("__range") == F.col("__to")
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by{k}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(order))
+    return rows.withColumn("__in", inside).join(counts, same).withColumn("__rank", F.col("__before") + F.col("__in") - 1).select(*df.columns, "__rank")
+
+
 def content_hash(df: DataFrame, order: str, columns: tuple[str, ...] = REQUIRED) -> DataFrame:
-    """SHA-256 over length-prefixed canonical JSON of the rows in order (8 bytes of length each)."""
+    """SHA-256 over length-prefixed canonical JSON of the rows in order (8 bytes of length each), for samples of bounded size."""
     json = F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
     framed = F.concat(F.unhex(F.lpad(F.hex(F.octet_length(json)), 16, "0")), F.encode(json, "UTF-8"))
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.hex(framed).alias("x"))))

@@ -42,6 +42,14 @@ def from_file(path: str) -> Encode:
     return encode
 
 
+def check_markers(path: str, markers: tuple[str, ...]) -> dict[str, int]:
+    """The id of each marker that a chat template needs; an error for markers that aren't one token of their own."""
+    ids = {m: _library(path).token_to_id(m) for m in markers}
+    if missing := [m for m, i in ids.items() if i is None or _library(path).encode(m, add_special_tokens=False).ids != [i]]:
+        raise ValueError(f"the tokenizer lacks {missing}")
+    return ids
+
+
 def tokenize(df: DataFrame, encode: Encode = characters, longest: int | None = None, prompt: str = "prompt", completion: str = "completion") -> DataFrame:
     """Adds token columns to chat examples; offsets and answer_start count characters of the rendered text.
 

@@ -323,7 +323,11 @@ def subset_sample(spark, sf_dir):
     return splits.sample(derive(spark, sf_dir).select("example_id"), 300, 42, "example_id")
 
 
-@query()
+@query(
+    QA_SQL
+    + """, s AS (SELECT example_id, '{"answer":"' || replace(answer, chr(10), chr(92) || 'n') || '","question":"' || question || '"}' AS j FROM qa ORDER BY md5('42:' || CAST(example_id AS VARCHAR)), example_id LIMIT 300)
+SELECT count(*) AS rows, sha256(unhex(string_agg(printf('%016X', strlen(j)) || hex(j), '' ORDER BY example_id))) AS digest FROM s"""
+)
 def content_fingerprint(spark, sf_dir):
     return splits.content_hash(splits.sample(derive(spark, sf_dir), 300, 42, "example_id"), "example_id")
 
@@ -405,7 +409,14 @@ def recipe_plans(spark, sf_dir):
     return recipes.plans(spark).select("recipe", F.array_join("losses", ",").alias("losses"), F.size("losses").cast("long").alias("n"))
 
 
-@query()
+_TRAINED = """CASE k WHEN 0 THEN replace(replace(answer, '>>' || p || ' items', '>> items'), '>>' || t || '.', '>>.') WHEN 4 THEN replace(replace(answer, '<<' || a || '=' || a || '>>', ''), '>>' || (a + c) || '.', '>>.') ELSE answer END"""
+
+
+@query(
+    QA_SQL
+    + f""", d AS (SELECT example_id, question, replace({_TRAINED}, chr(10), chr(92) || 'n') AS done FROM qa)
+SELECT example_id, '[{{"role":"system","content":"Solve step by step."}},{{"role":"user","content":"' || question || '"}}]' AS prompt, '[{{"role":"assistant","content":"' || done || '"}}]' AS completion FROM d"""
+)
 def training_rows(spark, sf_dir):
     rows = examples.training_examples(derive(spark, sf_dir).select("example_id", "question", "answer"), "Solve step by step.")
     return rows.select("example_id", F.to_json("prompt").alias("prompt"), F.to_json("completion").alias("completion"))
@@ -473,3 +484,11 @@ def number_words(spark, sf_dir):
     """All forms of number words, against values written by hand."""
     rows = spark.createDataFrame([(k, q) for k, (q, _) in enumerate(WORDED)], "example_id long, question string").withColumn("answer", F.lit(""))
     return examples.analyze(rows).select("example_id", F.array_join(F.transform("numbers", lambda x: x["value"]), " ").alias("number"))
+
+
+@query(QA_SQL + "SELECT example_id, CAST(0 AS INT) AS step, 'future_reference' AS code FROM base WHERE k IN (0, 4, 11) UNION ALL SELECT example_id, CAST(1 AS INT), 'mask_width' FROM base WHERE k IN (0, 4, 11)")
+def invariants(spark, sf_dir):
+    """What sound records with planted faults break: a first step that depends on the second, masks that lose a place in the second."""
+    rows = examples.analyze(derive(spark, sf_dir).select("example_id", "k", "question", "answer")).where("k IN (0, 4, 11)")
+    late = F.transform("steps", lambda s, i: F.when(i == 0, s.withField("dependencies", F.array(F.lit(1)))).otherwise(s.withField("actions", F.transform(s["actions"], lambda a: a.withField("mask", F.slice(a["mask"], 2, 9))))))
+    return audit.invariant_violations(rows.withColumn("steps", late))

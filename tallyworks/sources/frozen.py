@@ -17,17 +17,21 @@ def load_source(spark: SparkSession, path: str, size: int | None = None, seed: i
     return splits.sample(splits.check_columns(spark.read.parquet(path)), size, seed, key)
 
 
-def freeze(df: DataFrame, test: DataFrame, path: str, fraction: float = 0.15, seed: int = 42, key: str = "example_id") -> DataFrame:
+def freeze(df: DataFrame, test: DataFrame, path: str, fraction: float = 0.15, seed: int = 42, key: str = "example_id", source: str | None = None, revision: str | None = None, digest_parts: int | None = None) -> DataFrame:
     """Writes train, validation and test under ``path`` and returns their manifest; never overwrites.
 
-    The splits must share no example.
+    The splits must share no example. The manifest tells source, revision and library version too. With ``digest_parts`` digests
+    are those of ``splits.part_hash``, for splits beyond some ten million rows.
     """
     splits.check_source(df)
     splits.check_source(test)
     parts = splits.assign(df, fraction, seed, key).unionByName(test.withColumn("split", F.lit("test")))
     splits.check_disjoint(parts)
     parts.write.mode("errorifexists").partitionBy("split").parquet(f"{path}/rows")
-    manifest = splits.ordered_hash(df.sparkSession.read.parquet(f"{path}/rows"), key, "split").withColumns({"seed": F.lit(seed), "validation_fraction": F.lit(fraction)})
+    rows = df.sparkSession.read.parquet(f"{path}/rows")
+    manifest = splits.part_hash(rows, key, "split", parts=digest_parts) if digest_parts else splits.ordered_hash(rows, key, "split")
+    about = {"seed": seed, "validation_fraction": fraction, "source": source or "", "revision": revision or "", "library": f"pyspark {df.sparkSession.version}", "digest_parts": digest_parts or 0}
+    manifest = manifest.withColumns({name: F.lit(value) for name, value in about.items()})
     manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
     return df.sparkSession.read.json(f"{path}/manifest")
 

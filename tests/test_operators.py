@@ -16,6 +16,8 @@ def test_frozen_splits(spark, tmp_path):
     path = str(tmp_path / "frozen")
     manifest = {r.split: r for r in frozen.freeze(rows, test, path).collect()}
     assert {k: r.rows for k, r in manifest.items()} == {"train": 34, "validation": 6, "test": 40}
+    big = frozen.freeze(rows, test, str(tmp_path / "parts"), source="s", revision="r1", digest_parts=4).collect()
+    assert {(r.split, r.rows) for r in big} == {(k, r.rows) for k, r in manifest.items()} and {(r.source, r.revision, r.digest_parts) for r in big} == {("s", "r1", 4)}
     with pytest.raises(Exception, match="(?i)exists"):
         frozen.freeze(rows, test, path)
     assert frozen.load_split(spark, path, "validation", 99).count() == 6 and frozen.load_split(spark, path, "train", 5).count() == 5
@@ -166,3 +168,85 @@ def test_tracking(spark):
     clock = iter([0.0, 2.0]).__next__
     assert tracking.Progress(10, clock).add(4) == {"completed_percent": 40.0, "examples_per_second": 2.0, "eta_seconds": 3.0}
     assert evaluation.evaluate(spark.createDataFrame([("q", "1", "1")], "question string, reference string, generated_text string"), "p")[1].first().correct_final_answers == 1
+
+
+def test_ranks_and_part_digests(spark):
+    rows = spark.createDataFrame([(k * 37 % 1000, f"g{k % 3}" if k % 7 else None, f"q{k}", "a") for k in range(1000)] + [(None, "g0", "q", None)], "id int, g string, question string, answer string")
+    got = splits.ranked(rows, "id", "g", parts=16).collect()
+    assert len(got) == 1001
+    for g in ("g0", "g1", "g2", None):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r["__rank"])
+        assert [r["__rank"] for r in mine] == list(range(len(mine))) and [r.id or -1 for r in mine] == sorted(r.id or -1 for r in mine)
+    assert [r["__rank"] for r in splits.ranked(rows.where("id IS NOT NULL"), "id", parts=16).orderBy("id").collect()] == list(range(1000))
+    assert splits.ranked(rows.limit(0), "id").count() == 0
+    by_name = splits.ranked(rows.where("answer IS NOT NULL"), "question", parts=8).orderBy("question").collect()
+    assert [r["__rank"] for r in by_name] == list(range(1000))
+    one = splits.part_hash(rows, "id", parts=8).first()
+    assert one.rows == 1001 and one == splits.part_hash(rows.repartition(7), "id", parts=8).first()
+    changed = rows.withColumn("answer", F.when(F.col("id") == 5, "b").otherwise(F.col("answer")))
+    assert splits.part_hash(changed, "id", parts=8).first().digest != one.digest
+
+
+def test_percentiles_of_scales(spark):
+    import math
+    import random
+
+    values = sorted([random.Random(3).choice([1.0, 2.5, 1e300, 7.0]) if k % 2 else 1.0 + k / 64 for k in range(501)])
+    rows = spark.createDataFrame([([(v,)],) for v in values] + [([(None,)],)], "steps array<struct<target_scale:double>>")
+    got = audit.scale_percentiles(rows, (0.5, 0.9, 0.99)).first()
+    assert list(got) == [values[math.ceil(p * 501) - 1] for p in (0.5, 0.9, 0.99)]
+    assert list(audit.scale_percentiles(rows.limit(0)).first()) == [None] * 3
+
+
+def test_many_annotations_take_linear_time(spark):
+    from time import perf_counter
+
+    def seconds(n):
+        begin = perf_counter()
+        got = spark.range(1).select(scan.matches(F.repeat(F.lit("ab <<1+1=2>>"), n), scan.ANNOTATION).alias("m")).selectExpr("size(m) AS n", "m[size(m) - 1] AS z").first()
+        assert got.n == n and (got.z.start, got.z.end) == (12 * n - 9, 12 * n)
+        return perf_counter() - begin
+
+    seconds(200)
+    assert seconds(20000) < 10 + 4 * seconds(10000)
+
+
+def test_errors_of_records_and_results(spark):
+    from tallyworks.functions import calculation
+    from tallyworks.functions.question import numbers
+
+    found = numbers("There are 4 and 3.")
+    with pytest.raises(ValueError, match="twice"):
+        calculation.Provenance("There are 4 and 3.", [*found, found[0]])
+    assert calculation.agreement([(1, None), (2, None)], [(1, None), (3, None)]) == [True, False]
+    with pytest.raises(ValueError):
+        calculation.agreement([(1, None)], [])
+    rows = examples.analyze(spark.createDataFrame([(1, "4 and 3", "<<4*3=12>> <<12-4=8>>")], "example_id long, question string, answer string"))
+    assert audit.invariant_violations(rows).count() == 0
+    a = audit.result_hashes(rows)
+    audit.require_same(a, a)
+    with pytest.raises(ValueError, match=r"1 analyses differ, the first of \[1\]"):
+        audit.require_same(a, a.withColumn("digest", F.lit("x")))
+    assert audit.throughput(rows)["examples"] == 1
+    tokens = features.character_tokens(rows, "answer").withColumn("labels", F.col("input_ids"))
+    with pytest.raises(Exception, match="ordered span"):
+        features.build(tokens.withColumn("offsets", F.reverse("offsets")), ["step_mask"]).collect()
+
+
+def test_objective_report_and_schedule(spark):
+    losses = spark.createDataFrame([("language", 2.0), ("result", 3.0)], "loss string, value double")
+    r = objective.objective_report(losses, recipes.losses(spark)).first()
+    assert r.objective == 5.0 and r.losses == {"language": 2.0, "result": 3.0}
+    with pytest.raises(Exception, match="positive"):
+        objective.evaluation_normalizers(spark.createDataFrame([(0.0,)], "denominator double")).collect()
+    assert list(spark.range(1).select(objective.epoch_number(F.lit(1.2)), objective.epoch_number(F.lit(1.2), True)).first()) == [1, 2]
+
+
+def test_tokenizer_markers():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with pytest.raises(ValueError, match="lacks"):
+        tokenization.check_markers(path, ("<no marker>",))
+    first = tokenization._library(path).id_to_token(40)
+    assert tokenization.check_markers(path, (first,)) == {first: 40}
