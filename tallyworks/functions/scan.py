@@ -92,9 +92,8 @@ def merge_spans(spans: DataFrame, *by: str, start: str = "start", end: str = "en
 
 def delete_spans(text: Column, spans: Column) -> Column:
     """``text`` without sorted, disjoint spans (array of (start, end))."""
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda s, x: F.struct(F.concat(s["out"], extract(text, s["at"], x["start"])).alias("out"), x["end"].alias("at"))
-    return F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    before = F.transform(spans, lambda x, i: extract(text, F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0), x["start"]))
+    return F.concat(F.array_join(before, ""), F.substr(text, F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0)) + 1))
 
 
 def mend_blanks(text: Column) -> Column:

@@ -52,6 +52,20 @@ def analyze(df: DataFrame, question: str = "question", answer: str = "answer") -
     return with_rows(df, [question, answer], f"numbers {NUMBERS}, steps {STEPS}, issues {ISSUES}", record)
 
 
+def check_programs(df: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
+    """Replaces issues: how the programs that the columns numbers and steps hold differ from the graphs of question and answer.
+
+    The columns are those of ``analyze``, or come from elsewhere, such as a stored or edited set of programs.
+    """
+    from ..functions import calculation
+
+    def one(q: str | None, a: str | None, numbers: list[dict], steps: list[dict]) -> dict:
+        program = calculation.program_from([n["value"] for n in numbers], steps)
+        return {"issues": [{"code": c, "step": s} for c, s in calculation.structure_issues(calculation.graph_of(q or "", a or ""), program)]}
+
+    return with_rows(df, [question, answer, "numbers", "steps"], f"issues {ISSUES}", one)
+
+
 def audited(df: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
     """``analyze`` of answers without trivial identities; example_hash identifies the row as it came."""
     from ..functions import calculation, canonical
@@ -80,16 +94,16 @@ def with_formulas(df: DataFrame, text: str) -> DataFrame:
 
 
 def with_canonical(df: DataFrame, answer: str = "answer") -> DataFrame:
-    """Adds without_identities and canonical, the training form of an answer: Python finds the spans to cut, native functions cut and mend."""
+    """Adds without_identities and canonical, the training form of an answer: Python finds the spans to cut, native functions mend what is left."""
     from ..functions import canonical, scan
 
     def one(a: str | None) -> dict:
         clean = canonical.drop_identities(a or "")
-        return {"without_identities": clean, "__cuts": [{"start": x, "end": y} for x, y in canonical.cuts(clean)]}
+        edges = [0, *(x for cut in canonical.cuts(clean) for x in cut), len(clean)]
+        return {"without_identities": clean, "canonical": "".join(clean[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))}
 
-    rows = with_rows(df, [answer], "without_identities string, __cuts array<struct<start:int,end:int>>", one)
-    cut = scan.mend_blanks(scan.delete_spans(F.col("without_identities"), F.col("__cuts")))
-    return rows.withColumn("canonical", cut).drop("__cuts")
+    rows = with_rows(df, [answer], "without_identities string, canonical string", one)
+    return rows.withColumn("canonical", scan.mend_blanks(F.col("canonical")))
 
 
 def training_examples(df: DataFrame, system: str, question: str = "question", answer: str = "answer") -> DataFrame:

@@ -256,9 +256,32 @@ def graph_and_program_results(spark, sf_dir):
     return rows.select("example_id", F.col("s.index").alias("step"), F.col("s.graph_result").alias("result"), (F.col("s.graph_result").eqNullSafe(F.col("s.program_result")) & (F.col("s.program_result") == F.col("s.target"))).alias("same"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS code, CAST(0 AS BIGINT) AS n FROM region WHERE false")
+_BROKEN = {0: "step_count_mismatch", 5: "invalid_step_has_actions", 7: "target_scale_mismatch", 8: "problem_number_table_mismatch", 13: "step_metadata_mismatch", 15: "action_sequence_mismatch"}
+
+
+@query(
+    QA_SQL
+    + ", found AS ("
+    + " UNION ALL ".join(f"SELECT '{code}' AS code FROM base WHERE k = {k}" for k, code in [*_BROKEN.items(), (10, "operand_mask_mismatch"), (10, "unresolved_count_mismatch")])
+    + ") SELECT code, count(*) AS n FROM found GROUP BY code"
+)
 def postfix_issues(spark, sf_dir):
-    return audit.issue_counts(_audited(spark, sf_dir))
+    """Issues of all programs, with one fault planted in each program of seven variants; all others must have none."""
+    rows = examples.analyze(derive(spark, sf_dir).select("example_id", "k", "question", "answer"))
+    k = F.col("k")
+    actions = lambda s, change: s.withField("actions", F.transform(s["actions"], change))
+    one = F.expr(f"from_json('[{{\"operator\":\"copy\",\"supervised\":\"copy\",\"mask\":[true],\"operands\":[]}}]', '{examples.ACTIONS}')")
+    broken = F.transform(
+        "steps",
+        lambda s: F.when(k == 5, s.withField("actions", one))
+        .when(k == 7, s.withField("target_scale", s["target_scale"] + 1))
+        .when(k == 10, actions(s, lambda a: a.withField("mask", F.transform(a["mask"], lambda _: F.lit(False)))))
+        .when(k == 13, s.withField("is_final", ~s["is_final"]))
+        .when(k == 15, actions(s, lambda a: a.withField("operator", F.lit("add"))))
+        .otherwise(s),
+    )
+    rows = rows.withColumns({"steps": F.when(k == 0, F.slice("steps", 1, 1)).otherwise(broken), "numbers": F.when(k == 8, F.slice("numbers", 2, 9)).otherwise(F.col("numbers"))})
+    return audit.issue_counts(examples.check_programs(rows))
 
 
 @query(
@@ -332,10 +355,13 @@ def content_fingerprint(spark, sf_dir):
     return splits.content_hash(splits.sample(derive(spark, sf_dir), 300, 42, "example_id"), "example_id")
 
 
-@query("SELECT doc_id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM benchmark)")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM benchmark) UNION ALL SELECT 'copy ' || CAST(item_id AS VARCHAR) FROM benchmark WHERE text IS NOT NULL")
 def leakage_check(spark, sf_dir):
+    """Documents that are a benchmark item as a whole, among which a copy of each item is planted."""
+    planted = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("copy "), F.col("item_id").cast("string")).alias("id"), "text")
     bench = table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("digest")).distinct()
-    return table(spark, sf_dir, "documents").withColumn("digest", F.sha2("text", 256)).join(bench, "digest", "left_semi").select("doc_id")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text").unionByName(planted)
+    return rows.withColumn("digest", F.sha2("text", 256)).join(bench, "digest", "left_semi").select("id")
 
 
 @query(
@@ -365,11 +391,6 @@ def _tokens(spark, sf_dir):
     return features.character_tokens(rows, "answer").withColumn("labels", F.col("input_ids"))
 
 
-@query()
-def step_features(spark, sf_dir):
-    return features.build(_tokens(spark, sf_dir), [*features.STEP_FEATURES, "postfix_program"]).select("example_id", *features.STEP_FEATURES, "postfix_program")
-
-
 @query(
     QA_SQL
     + """, r AS (SELECT k, length(answer) AS len, (row_number() OVER (PARTITION BY k ORDER BY example_id) - 1) // 24 AS batch FROM qa), g AS (SELECT k, batch, count(*) AS n, max(len) AS longest FROM r GROUP BY k, batch)
@@ -465,6 +486,21 @@ def causal_positions(spark, sf_dir):
     return rows.select("example_id", F.posexplode(steps).alias("step", "z")).select("example_id", "step", "z.x", F.col("z.placed").cast("int").alias("placed"), "z.seen")
 
 
+@query(
+    _SPANS
+    + f"""SELECT s.example_id, CAST(s.step AS INT) AS step, greatest(context - 1, 0) AS position, s.step = 1 AS mask, coalesce(v, 0.0) AS target, greatest(abs(coalesce(v, 1.0)), 1.0) AS scale, CASE WHEN k IN {_GOOD} AND (k <> 4 OR s.step = 1) THEN 1 ELSE 0 END AS actions
+FROM (SELECT spans.example_id, spans.k, spans.step, context, CAST(CASE WHEN step = 1 THEN CASE spans.k WHEN 4 THEN a + c ELSE t END WHEN spans.k IN (0, 1, 11) THEN p WHEN spans.k = 8 THEN a + b
+  WHEN spans.k = 10 THEN 1000 * a + b WHEN spans.k = 13 THEN c - a - 10 WHEN spans.k = 15 THEN a // b WHEN spans.k = 7 THEN a / 7.0 WHEN spans.k = 12 THEN a / 4.0 END AS DOUBLE) AS v FROM spans JOIN base ON spans.example_id = base.example_id) s"""
+)
+def step_features(spark, sf_dir):
+    """All features of every step, and how many actions its stored program has."""
+    rows = features.build(_tokens(spark, sf_dir), [*features.STEP_FEATURES, "postfix_program"])
+    program = F.from_json("postfix_program", "steps array<struct<index:int,actions:array<struct<operator:string>>>>")["steps"]
+    names = {"step_positions": "position", "step_mask": "mask", "step_targets": "target", "step_target_scales": "scale"}
+    zipped = F.arrays_zip(*(F.col(c).alias(n) for c, n in names.items()), F.transform(program, lambda s: F.size(s["actions"])).alias("actions"))
+    return rows.select("example_id", F.posexplode(zipped).alias("step", "z")).select("example_id", "step", "z.*")
+
+
 @query(QA_SQL + f", l AS (SELECT example_id, length(question) AS q, {_CANON} AS len FROM qa) SELECT example_id, CAST(q + 49 + len + 12 + 11 AS BIGINT) AS tokens, CAST(len + 12 AS BIGINT) AS learned FROM l")
 def tokenized_rows(spark, sf_dir):
     tokens = tokenization.tokenize(examples.training_examples(derive(spark, sf_dir).select("example_id", "question", "answer"), "Solve step by step."))

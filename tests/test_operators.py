@@ -250,3 +250,13 @@ def test_tokenizer_markers():
         tokenization.check_markers(path, ("<no marker>",))
     first = tokenization._library(path).id_to_token(40)
     assert tokenization.check_markers(path, (first,)) == {first: 40}
+
+
+def test_programs_survive_their_records(spark):
+    text = "There are 4 and 3, and 1/2 of 9 crates."
+    rows = [(1, text, "<<4*3=12>> <<12-4=8>> <<8/0=1>> <<1/2*8=4>> <<4=4>>\n#### 4"), (2, None, None)]
+    got = examples.analyze(spark.createDataFrame(rows, "example_id long, question string, answer string"))
+    assert examples.check_programs(got).where("size(issues) > 0").count() == 0
+    bad = got.withColumn("steps", F.transform("steps", lambda s, i: F.when(i == 1, s.withField("actions", F.slice(s["actions"], 1, 0))).otherwise(s)))
+    codes = {i.code for r in examples.check_programs(bad).collect() for i in r.issues}
+    assert {"action_count_mismatch", "action_sequence_mismatch", "dependency_mismatch"} <= codes
