@@ -89,7 +89,8 @@ def scale_percentiles(rows: DataFrame, percents: tuple[float, ...] = (0.5, 0.9,
     wanted ranks are ranked.
     """
     scales = rows.select(F.explode("steps.target_scale").alias("x")).where("x IS NOT NULL")
-    scales = scales.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.floor(F.log2(F.greatest("x", F.lit(1.0))) * 64))
+    scales = scales.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    scales = scales.withColumn("at", F.coalesce(F.floor(F.log2(F.greatest("x", F.lit(1.0))) * 64), F.lit(0)))  # never null: the join adds no filter, so both uses share one pass
     order = Window.partitionBy(F.lit(0)).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     ranges = scales.groupBy("at").agg(F.sum("n").alias("size"))
     ranges = ranges.select("at", "size", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy(F.lit(0))).alias("total"))
