@@ -34,8 +34,8 @@ def conversations(turns: DataFrame) -> DataFrame:
 def common_turns(a: Column, b: Column) -> Column:
     """How many leading turns of two arrays are equal (null arrays have none)."""
     shorter = F.coalesce(F.least(F.size(a), F.size(b)), F.lit(0))
-    differs = F.array_position(F.transform(F.sequence(F.lit(0), shorter - 1), lambda i: F.get(a, i).eqNullSafe(F.get(b, i))), False)
-    return F.when(shorter <= 0, F.lit(0)).when(differs == 0, shorter).otherwise((differs - 1).cast("int"))
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)  # beyond the shorter one x or y is null
+    return F.when(shorter <= 0, F.lit(0)).when(differs == 0, shorter).otherwise(F.least((differs - 1).cast("int"), shorter))
 
 
 def _head(turn: Column) -> Column:
@@ -52,9 +52,10 @@ def render(turns: Column) -> Column:
 
 def mask(turns: Column) -> Column:
     """Array of (start, end): code points of the rendered turns that assistants wrote, end marks included."""
-    ends = running_sum(F.transform(turns, lambda t: F.length(_render(t)).cast("long")))
-    spans = F.transform(turns, lambda t, i: F.struct((F.get(ends, i) - F.length(t["text"]) - len(END)).alias("start"), F.get(ends, i).alias("end"), (t["role"] == "assistant").alias("own")))
-    return F.transform(F.filter(spans, lambda s: s["own"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    marks = len(OPEN) + len(CLOSE) + len(END)
+    ends = running_sum(F.transform(turns, lambda t: (F.length(t["role"]) + F.length(t["text"]) + marks).cast("long")))
+    spans = F.zip_with(turns, ends, lambda t, e: F.when(t["role"] == "assistant", F.struct((e - F.length(t["text"]) - len(END)).alias("start"), e.alias("end"))))
+    return F.filter(spans, lambda s: s.isNotNull())
 
 
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:

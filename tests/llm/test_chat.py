@@ -77,3 +77,17 @@ def test_names_are_kept(spark):
     df = spark.createDataFrame([([A, B], [A, X], "one", "two", "three")], f"chosen {T}, rejected {T}, __a string, __b string, `x.y` string")
     r = C.format_preferences(df).first()
     assert (r["__a"], r["__b"], r["x.y"], r.n_prompt_turns) == ("one", "two", "three", 1)
+
+
+def test_long_conversations_take_linear_time(spark):
+    from time import perf_counter
+
+    def seconds(n):
+        begin = perf_counter()
+        turns = spark.range(n).selectExpr("0 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+        r = C.format_preferences(C.branch_pairs(turns)).selectExpr("n_prompt_turns AS n", "size(chosen_mask) AS m", "size(rejected_mask) AS k").first()
+        assert (r.n, r.m, r.k) == (1, n // 2, n // 2)
+        return perf_counter() - begin
+
+    seconds(100)
+    assert seconds(20000) < 10 + 4 * seconds(10000)
