@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .changes import op11_changes
 from .chat import OP1_SQL, op1_preferences
 from .decontamination import OP5_SQL, op5_decontamination
+from .htmltext import op12_main_text
 from .licenses import op6_licenses
 from .packing import op3_packing
 from .pii import op2_pii
@@ -16,6 +18,7 @@ from .rollups import op7_rollups
 from .sharding import op8_sharding
 from .simhash import op9_simhash
 from .substrings import OP10_SQL, op10_substrings
+from .tries import OP13_SQL, op13_prefixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +35,11 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_simhash": op9_simhash,
         "op10_substrings": op10_substrings,
+        "op11_changes": op11_changes,
+        "op12_main_text": op12_main_text,
+        "op13_prefixes": op13_prefixes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preferences": OP1_SQL, "op5_decontamination": OP5_SQL, "op10_substrings": OP10_SQL}
+    return {"op1_preferences": OP1_SQL, "op5_decontamination": OP5_SQL, "op10_substrings": OP10_SQL, "op13_prefixes": OP13_SQL}
