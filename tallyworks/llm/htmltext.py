@@ -39,6 +39,7 @@ BOILER_NAMES = frozenset(
 )
 COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus replies reply respond responses review reviews reader readers feedback usercontent guestbook".split())
 CONTENT_NAMES = frozenset("article articlebody body bodytext content contents copy entry entrycontent main maincontent post postbody postcontent story storybody text".split())
+BESIDE, WRAPS = frozenset(("has", "with", "no")), frozenset(("wrap", "wrapper", "container", "layout"))
 #: Headings after which other people's words or other pages follow.
 CLOSING = re.compile(
     r"^\W*(\d+\s+)?(reader\s+)?(comments?|discussion|responses?|replies|leave a (comment|reply)|related( \w+)?|read (more|next|also)|more (from|stories|news|on)\b.*|you (may|might) also like.*|share( this)?.*|popular( \w+)?|trending|"
@@ -79,18 +80,25 @@ class Block(NamedTuple):
 
 
 FEATURES = (
-    "words", "density", "words_before", "density_before", "words_after", "density_after", "longest_near", "content", "boiler", "comment", "form", "heading", "item", "closing", "notice", "seen_content",
+    "words", "density", "words_before", "density_before", "words_after", "density_after", "longest_near", "content", "boiler", "comment", "form", "heading", "item", "closing", "notice", "seen_content", "outside",
 )
 
 
-def _names(attributes: dict[str, str]) -> frozenset[str]:
-    found = set()
+def _named(attributes: dict[str, str]) -> tuple[bool, bool, bool]:
+    """(content, boiler, comment) by an element's class, id and role names.
+
+    A name like "content-sidebar-wrap" or "has-footer" is about what is in or beside the element, and an article's header holds its title.
+    """
+    content = boiler = comment = False
     for a in ("class", "id", "role"):
         for name in attributes.get(a, "").replace("_", "-").split():
             parts = [p.lower() for p in _NAME_PARTS.findall(name)]
-            found.update(parts)
-            found.add("".join(parts))
-    return frozenset(found)
+            known = {*parts, "".join(parts)}
+            own = bool(known & CONTENT_NAMES)
+            content |= own
+            comment |= bool(known & COMMENT_NAMES) and not known & BESIDE
+            boiler |= bool((known - {"header"} if own else known) & BOILER_NAMES) and not (known & BESIDE or (own and known & WRAPS))
+    return content, boiler, comment
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -234,12 +242,12 @@ def blocks(source: str | None) -> list[Block]:
             if "hidden" in attributes or attributes.get("aria-hidden") == "true" or _HIDDEN.search(attributes.get("style", "")):
                 at = _skip(source, at, tag)
                 continue
-            names = _names(attributes)
-            inside = tag in ("article", "main") or "main" in names and attributes.get("role") == "main"
+            own, outside, said = _named(attributes)
+            inside = tag in ("article", "main") or attributes.get("role") == "main"
             header = tag == "header" and not depth.get("article") and not depth.get("main")
-            comment = int(bool(top.comment or names & COMMENT_NAMES))
-            boiler = int(bool(top.boiler or tag in BOILER or header or ((names & BOILER_NAMES) and tag not in ("body", "html", "article", "main"))))
-            stack.append(_Open(tag, min(2, top.content + inside + bool(names & CONTENT_NAMES and tag != "body")), boiler, comment, int(top.form or tag in FORM), int(top.item or tag in ("li", "td", "th", "dd"))))
+            comment = int(bool(top.comment or said))
+            boiler = int(bool(top.boiler or tag in BOILER or header or (outside and tag not in ("body", "html", "article", "main"))))
+            stack.append(_Open(tag, min(2, top.content + inside + (own and tag != "body")), boiler, comment, int(top.form or tag in FORM), int(top.item or tag in ("li", "td", "th", "dd"))))
         depth[tag] = depth.get(tag, 0) + 1
         links += tag == "a"
         heading += tag in HEADINGS
@@ -269,7 +277,7 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
     return [
         (
             float(b.words), density[k + 2], float(words[k + 1]), density[k + 1], float(words[k + 3]), density[k + 3], float(max(words[k : k + 5])),
-            float(b.content), float(b.boiler), float(b.comment), float(b.form), float(b.heading), float(b.item), float(b.closing), float(b.notice), float(seen),
+            float(b.content), float(b.boiler), float(b.comment), float(b.form), float(b.heading), float(b.item), float(b.closing), float(b.notice), float(seen), float(b.boiler + b.comment + b.form + b.closing),
         )
         for k, b in enumerate(found)
     ]
@@ -325,7 +333,13 @@ def _labelled_page(rng: random.Random, k: int) -> tuple[str, list[str]]:
             inner.append(f'<p>{a} <a href="/x">{b}</a></p>')
         elif kind < 0.42:
             inner.append(advert)
-            continue
+        elif kind < 0.5 and layout != "bare":  # articles speak of these things, too
+            about = rng.choice(("All rights reserved.", "Read the privacy policy.", "Our newsletter", "© 2019", "This site uses cookies."))
+            inner.append(keep("p", f"{prose(1, 30)} {about} {prose(1, 30)}"))
+        elif kind < 0.58 and layout != "bare":
+            text = prose(2, 12)
+            kept.append(text)
+            inner.append(f'<p><a href="/y">{text}</a></p>')
         else:
             inner.append(keep("p", prose(1, 8) if brief else prose(rng.choice((1, 3, 10, 30)), rng.choice((30, 60, 140)))))
     inner.append(keep("p", prose(1, 8 if brief else 90)))

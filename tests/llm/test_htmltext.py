@@ -42,8 +42,8 @@ def test_held_out_layouts(tree):
 
 
 PAGE = """<body><div id="cookieConsent">We use cookies. Accept all of them now please.</div><header class=site><a href=/>Home page</a></header>
-<div class="post-content"><h2>A title</h2><p>One   paragraph with <a href="x">a link</a>, &eacute;t&#233; &amp; more,<br>that goes on over several lines and words.<p>Unclosed &lt;b&gt; second paragraph <b>of some words</p>
-<script>if (a < b) document.write("<p>no</p>")</script><style>p { }</style><!-- <p>no</p> --><ul><li>First item of the list in here<li>Second item of the list in here</ul></div>
+<div class="content-sidebar-wrap has-footer"><div class="post-content"><div class="entry-header"><h2>A title</h2></div><p>One   paragraph with <a href="x">a link</a>, &eacute;t&#233; &amp; more,<br>that goes on over several lines and words.<p>Unclosed &lt;b&gt; second paragraph <b>of some words</p>
+<script>if (a < b) document.write("<p>no</p>")</script><style>p { }</style><!-- <p>no</p> --><ul><li>First item of the list in here<li>Second item of the list in here</ul></div></div>
 <section id="comments"><h3>2 comments</h3><article><p>I think that this is quite a long comment by a reader, of many words, about everything.</p></article></section>
 <form action=/><p>Type your mail here to get all of our news</p><button>Send</button></form><div style="display: none">hidden words of this page</div><footer>&copy; 2024 Somebody</footer>"""
 
