@@ -69,7 +69,11 @@ def summary(rows: DataFrame) -> DataFrame:
     """One row: sums, counts, rates and the distribution of target scales, from per-example figures in one aggregation."""
     total = F.count(F.lit(1))
     scales = F.col("scales")
-    small = rows.select(*SUMS, "max_actions_per_step", *FLAGS, F.filter(F.transform("steps", lambda s: s["target_scale"]), lambda x: x.isNotNull()).alias("scales"))
+    small = rows.select(
+        *SUMS, "max_actions_per_step", *FLAGS, F.filter(F.transform("steps", lambda s: s["target_scale"]), lambda x: x.isNotNull()).alias("scales"),
+        F.forall("steps", lambda s: s["target"].isNull() | s["target_scale"].isNotNull()).alias("finite"),
+        F.array_max(F.transform(_nested(F.col("steps"), "nodes"), lambda x: F.size(x["candidates"]))).alias("candidates"),
+    )
     sums = small.agg(
         total.alias("examples"), *(F.sum(c).alias(c) for c in SUMS), F.max("max_actions_per_step").alias("max_actions_per_step"),
         *(F.count_if(c).alias(f"examples_{c}") for c in FLAGS), *((F.count_if(c) / total).alias(f"{c}_rate") for c in FLAGS),
@@ -78,6 +82,7 @@ def summary(rows: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.sum("valid_math_steps"), F.sum("math_steps")), F.lit(0.0)).alias("valid_math_step_rate"),
         F.coalesce(1 - F.try_divide(F.sum("masked_operands"), F.sum("postfix_operands")), F.lit(0.0)).alias("operand_supervision_rate"),
         F.sum(F.size(scales)).alias("target_scales"), F.min(F.array_min(scales)).alias("target_scale_min"), F.max(F.array_max(scales)).alias("target_scale_max"),
+        F.coalesce(F.bool_and("finite"), F.lit(True)).alias("target_scales_all_finite"), F.coalesce(F.max("candidates"), F.lit(0)).cast("long").alias("max_candidates_per_operand"),
     )
     return sums
 

@@ -25,11 +25,51 @@ def offsets_valid(offsets: Column, tokens: Column) -> Column:
     return (F.size(offsets) == F.size(tokens)) & ordered
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once: in a lambda, or after Spark has merged projections, it would be worked out for each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _end_before(spans: Column, i: Column) -> Column:
+    return F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+
+
+def _steady(spans: Column) -> Column:
+    """Whether spans come in order with ends that never fall, and empty ones add nothing."""
+    return F.forall(F.transform(spans, lambda s, i: (s["start"] >= F.coalesce(F.get(spans, i - 1)["start"], F.lit(0))) & (s["end"] >= _end_before(spans, i)) & ((s["end"] > s["start"]) | (s["end"] == _end_before(spans, i)))), lambda x: x)
+
+
+def _mask(spans: Column) -> Column:
+    """A byte for each character up to the last end: "1" under any of some steady spans, else "0"."""
+
+    def piece(s: Column, i: Column) -> Column:
+        begin = F.greatest(s["start"], _end_before(spans, i))
+        return F.concat(F.repeat(F.lit("0"), begin - _end_before(spans, i)), F.repeat(F.lit("1"), s["end"] - begin))
+
+    return F.encode(F.array_join(F.transform(spans, piece), ""), "UTF-8")
+
+
+def _has(mask: Column, span: Column, what: str) -> Column:
+    """Whether a byte of the mask inside a span is ``what``."""
+    return F.contains(F.substr(mask, span["start"] + 1, F.greatest(span["end"] - span["start"], F.lit(0))), F.encode(F.lit(what), "UTF-8"))
+
+
+def _first_past(offsets: Column) -> Column:
+    """For each character up to the last end, the number of the first token that reaches past it; offsets are steady."""
+    return F.flatten(F.transform(offsets, lambda o, i: F.array_repeat(i, F.when(o["end"] > o["start"], o["end"] - _end_before(offsets, i)).otherwise(0))))
+
+
 def token_weights(offsets: Column, labels: Column, spans: Column, weight: float) -> Column:
-    """0 for ignored labels, ``weight`` for tokens over any span, else 1."""
+    """0 for ignored labels, ``weight`` for tokens over any span, else 1.
+
+    Steady spans become a mask of the text, so time grows with the text and not with tokens times spans; others are compared one by one.
+    """
     if isinstance(weight, bool) or not 0 < weight < float("inf"):
         raise ValueError("the weight must be finite and positive")
-    return F.transform(offsets, lambda o, i: F.when(F.get(labels, i) == IGNORED, 0.0).when(F.exists(spans, lambda s: overlaps(o, s)), float(weight)).otherwise(1.0))
+    weigh = lambda tokens, hit: F.transform(tokens, lambda o, i: F.when(F.get(labels, i) == IGNORED, 0.0).when(hit(o), float(weight)).otherwise(1.0))
+    by_mask = lambda t, s: let(_mask(s), lambda m: weigh(t, lambda o: (o["end"] > o["start"]) & _has(m, o, "1")))
+    one_by_one = lambda t, s: weigh(t, lambda o: F.exists(s, lambda x: overlaps(o, x)))
+    return let(offsets, lambda t: let(spans, lambda s: F.when(_steady(s), by_mask(t, s)).otherwise(one_by_one(t, s))))
 
 
 def visible(offsets: Column, span: Column) -> Column:
@@ -47,14 +87,15 @@ def causal_position(offsets: Column, at: Column) -> Column:
 def context_starts(text: Column, spans: Column) -> Column:
     """Where each annotation's context begins: after its line's start and the annotation before it, past blanks."""
 
-    def one(s: Column, i: Column) -> Column:
-        before = F.substr(text, F.lit(1), s["start"])
-        line = F.when(F.instr(before, "\n") > 0, F.length(before) - F.instr(F.reverse(before), "\n") + 1).otherwise(0)
-        begin = F.greatest(line, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)))
-        between = F.substr(text, begin + 1, s["start"] - begin)
-        return (begin + F.length(between) - F.length(F.regexp_replace(between, r"^(?U)[\s\x1c-\x1f]+", ""))).cast("int")
+    def all_of(ss: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            between = F.substr(text, _end_before(ss, i) + 1, s["start"] - _end_before(ss, i))
+            line = F.substring_index(between, "\n", -1)
+            return (s["start"] - F.length(F.regexp_replace(line, r"^(?U)[\s\x1c-\x1f]+", ""))).cast("int")
+
+        return F.transform(ss, one)
 
-    return F.transform(spans, one)
+    return let(spans, all_of)
 
 
 def step_features(df: DataFrame, answer: str = "answer", offsets: str = "offsets", steps: str = "steps", answer_start: str | None = None) -> DataFrame:
@@ -65,15 +106,27 @@ def step_features(df: DataFrame, answer: str = "answer", offsets: str = "offsets
     shift = F.col(answer_start) if answer_start else F.lit(0)
     spans = F.transform(steps, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     df = df.withColumn("__spans", spans).withColumn("__contexts", context_starts(F.col(answer), F.col("__spans")))
-    df = df.withColumn("__places", F.transform("__contexts", lambda c: causal_position(F.col(offsets), c + shift)))
-    seen = lambda i: visible(F.col(offsets), F.struct((F.get("__spans", i)["start"] + shift).alias("start"), (F.get("__spans", i)["end"] + shift).alias("end")))
+    shifted = lambda x: F.struct((x["start"] + shift).alias("start"), (x["end"] + shift).alias("end"))
+    # Where steps stand among the tokens, and which are covered by them: by tables over the text's characters if the tokens are in order, else
+    # by going through all tokens for each step.
+
+    def places(tokens: Column) -> Column:
+        quick = let(_first_past(tokens), lambda past: F.transform("__contexts", lambda c: F.when(F.get(past, c + shift) > 0, F.get(past, c + shift) - 1)))
+        return F.when(_steady(tokens), quick).otherwise(F.transform("__contexts", lambda c: causal_position(tokens, c + shift)))
+
+    def seen(tokens: Column) -> Column:
+        quick = let(_mask(tokens), lambda m: F.transform("__spans", lambda x: (F.octet_length(m) >= x["end"] + shift) & ~_has(m, shifted(x), "0")))
+        return F.when(_steady(tokens), quick).otherwise(F.transform("__spans", lambda x: visible(tokens, shifted(x))))
+
+    df = df.withColumns({"__places": let(F.col(offsets), places), "__seen": let(F.col(offsets), seen)})
+    paired = F.arrays_zip(F.col(steps).alias("step"), F.col("__places").alias("place"), F.col("__seen").alias("seen"))
     return df.withColumns({
         "step_positions": F.transform("__places", lambda p: F.coalesce(p, F.lit(0))),
         "step_targets": F.transform(steps, lambda s: F.coalesce(s["target_value"], F.lit(0.0))),
         "step_target_scales": F.transform(steps, lambda s: F.coalesce(s["target_scale"], F.lit(1.0))),
-        "step_mask": F.transform(steps, lambda s, i: s["valid"] & s["target_value"].isNotNull() & F.get("__places", i).isNotNull() & seen(i)),
+        "step_mask": F.transform(paired, lambda x: x["step"]["valid"] & x["step"]["target_value"].isNotNull() & x["place"].isNotNull() & x["seen"]),
         "postfix_program": F.to_json(F.struct(F.transform(steps, lambda s: F.struct(s["index"].alias("index"), s["valid"].alias("valid"), s["actions"].alias("actions"))).alias("steps"))),
-    }).drop("__spans", "__contexts", "__places")
+    }).drop("__spans", "__contexts", "__places", "__seen")
 
 
 def build(df: DataFrame, requested: list[str], weight: float = 2.0, answer_start: str | None = None) -> DataFrame:

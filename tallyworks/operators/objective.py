@@ -13,9 +13,9 @@ def _sum(values: Column) -> Column:
 
 
 def language_tokens(labels: Column, weights: Column | None = None) -> Column:
-    """Targets that count: labels from the second on that aren't ignored, or the sum of their weights."""
+    """Targets that count: labels from the second on that aren't ignored, or the sum of their weights, which must be finite and positive."""
     rest = F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0)))
-    counted = F.transform(rest, lambda x, i: F.when(x != IGNORED, F.lit(1.0) if weights is None else F.get(weights, i + 1).cast("double")).otherwise(0.0))
+    counted = F.transform(rest, lambda x, i: F.when(x != IGNORED, F.lit(1.0) if weights is None else positive(F.get(weights, i + 1).cast("double"), "a token's weight")).otherwise(0.0))
     return _sum(counted)
 
 
@@ -56,6 +56,23 @@ def mean_losses(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg((F.sum("numerator") / positive(F.sum("denominator"), "the normalizer")).alias("loss"))
 
 
+def logged_means(steps: DataFrame, logs: DataFrame, *by: str) -> DataFrame:
+    """(``by``, step, loss): the mean at each log, over what has come since the log before; means start anew at each log.
+
+    ``steps`` has by, step (a number), numerator and denominator, ``logs`` by and step; a log closes its own step. Steps after the
+    last log are in no mean, a log without steps since the one before is an error, as a zero denominator is. The number of logs before a step says
+    which segment it belongs to; it comes from counted ranges, so a run of any length is spread over tasks.
+    """
+    from .splits import sum_before
+
+    rows = steps.select(*by, F.col("step").cast("long").alias("step"), "numerator", "denominator", F.lit(0).cast("long").alias("log"))
+    marks = logs.select(*by, F.col("step").cast("long").alias("step")).distinct()
+    rows = rows.unionByName(marks.withColumns({"numerator": F.lit(0.0), "denominator": F.lit(0.0), "log": F.lit(1).cast("long")}))
+    segments = sum_before(rows, "step", "log", *by)
+    sums = segments.groupBy(*by, "__before").agg(F.max(F.when(F.col("log") == 1, F.col("step"))).alias("step"), F.sum("numerator").alias("n"), F.sum("denominator").alias("d"))
+    return sums.where("step IS NOT NULL").select(*by, "step", (F.col("n") / positive(F.col("d"), "the normalizer of a log")).alias("loss"))
+
+
 def objective(losses: DataFrame, weights: DataFrame, *by: str) -> DataFrame:
     """Weighted sum of the active losses (loss, value) by the losses table (loss, weight)."""
     return losses.join(weights.select("loss", "weight"), "loss").groupBy(*by).agg(F.sum(F.col("weight") * F.col("value")).alias("objective"))

@@ -77,18 +77,45 @@ def part_hash(df: DataFrame, order: str, *by: str, parts: int = 4096, columns: t
     return inner.groupBy(*by).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.sha2(outer, 256).alias("digest"))
 
 
+def _range_of(key: Column, cuts: list[Column], low: int = 0) -> Column:
+    """How many of the ascending ``cuts`` are at most ``key``, by halving: a row is compared with log2 of them."""
+    if not cuts:
+        return F.lit(low)
+    half = len(cuts) // 2
+    return F.when(key >= cuts[half], _range_of(key, cuts[half + 1 :], low + half + 1)).otherwise(_range_of(key, cuts[:half], low))
+
+
+def _cuts(df: DataFrame, order: str, parts: int) -> list[Column]:
+    """Ascending cuts of ``order`` into about ``parts`` ranges, from a bounded sample: the 16 * ``parts`` rows of the smallest digests of their keys."""
+    picked = df.select(F.col(order).alias("o")).where("o IS NOT NULL").orderBy(F.xxhash64("o"), "o").limit(16 * parts)
+    values = sorted({r.o for r in picked.collect()})  # 16 * parts keys at most
+    cuts = sorted({values[len(values) * k // parts] for k in range(1, parts)}) if values else []
+    return [F.lit(c).cast(df.schema[order].dataType) for c in cuts]
+
+
+def sum_before(df: DataFrame, order: str, value: str, *by: str, parts: int = 256) -> DataFrame:
+    """Adds __before: the sum of ``value`` over the rows of the same group whose ``order`` is less (0 if there are none).
+
+    Ranges of ``order`` are summed up first, and only what lies in a row's own range is summed by a window, so no task has a whole group.
+    """
+    rows = df.withColumn("__range", _range_of(F.col(order), _cuts(df, order, parts)))
+    sums = rows.groupBy(*by, "__range").agg(F.sum(value).alias("__sum"))
+    lower = Window.partitionBy(*by, F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows a group
+    sums = sums.select(*(F.col(b).alias(f"__by{k}") for k, b in enumerate(by)), F.col("__range").alias("__to"), F.coalesce(F.sum("__sum").over(lower), F.lit(0)).alias("__lower"))
+    same = F.col("__range") == F.col("__to")
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by{k}"))
+    inside = Window.partitionBy(*by, "__range").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, same).withColumn("__before", F.col("__lower") + F.col("__in")).select(*df.columns, "__before")
+
+
 def ranked(df: DataFrame, order: str, *by: str, parts: int = 256) -> DataFrame:
     """Adds __rank, from 0, by ``order`` within each group (ties in any order); no task sorts a whole group.
 
     Cuts of a bounded sample (the 16 * ``parts`` rows of the smallest digests of their keys) deal rows into ranges; ranges
     are counted, and ranks are taken within a range of a group. Null keys come first.
     """
-    picked = df.select(F.col(order).alias("o")).where("o IS NOT NULL").orderBy(F.xxhash64("o"), "o").limit(16 * parts)
-    values = sorted({r.o for r in picked.collect()})  # 16 * parts keys at most
-    cuts = sorted({values[len(values) * k // parts] for k in range(1, parts)}) if values else []
-    kind = df.schema[order].dataType
-    at = F.size(F.filter(F.array(*(F.lit(c).cast(kind) for c in cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    rows = df.withColumn("__range", at)
+    rows = df.withColumn("__range", _range_of(F.col(order), _cuts(df, order, parts)))
     counts = rows.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by, F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows a group
     counts = counts.select(*(F.col(b).alias(f"__by{k}") for k, b in enumerate(by)), F.col("__range").alias("__to"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scan
-from .operators import audit, evaluation, examples, features, objective, splits, tokenization
-from .plans import recipes
+from .operators import audit, evaluation, examples, features, hashtree, lineage, objective, splits, tokenization
+from .plans import worded
 from .plans.qa import QA_SQL, derive
+from .plans.worded import WORDED_SQL
+from .sources import shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -421,15 +423,6 @@ def weighted_loss(spark, sf_dir):
     return objective.mean_losses(objective.language_loss(rows, weighted=True), "label").select("label", F.round("loss", 6).alias("loss"))
 
 
-@query(
-    "SELECT recipe, string_agg(loss, ',' ORDER BY loss) AS losses, count(*) AS n FROM (VALUES "
-    + ", ".join(f"('{r}', '{x}')" for r, xs in recipes.RECIPES.items() for x in xs)
-    + ") AS v(recipe, loss) GROUP BY recipe"
-)
-def recipe_plans(spark, sf_dir):
-    return recipes.plans(spark).select("recipe", F.array_join("losses", ",").alias("losses"), F.size("losses").cast("long").alias("n"))
-
-
 _TRAINED = """CASE k WHEN 0 THEN replace(replace(answer, '>>' || p || ' items', '>> items'), '>>' || t || '.', '>>.') WHEN 4 THEN replace(replace(answer, '<<' || a || '=' || a || '>>', ''), '>>' || (a + c) || '.', '>>.') ELSE answer END"""
 
 
@@ -507,24 +500,141 @@ def tokenized_rows(spark, sf_dir):
     return tokens.select("example_id", F.size("input_ids").cast("long").alias("tokens"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("learned"))
 
 
-#: Questions with number words, and the values that are in them.
-WORDED = (
-    ("seventeen ducks and ninety-nine geese", "17 99"), ("two hundred and five of three million forty", "205 3000040"), ("the twenty-first of 30", "30"), ("one hundredth of five point two", ""),
-    ("a quarter of it", "1/4"), ("three quarters of 8", "3/4 8"), ("four quarters in a purse", "4"), ("two and a half dozen", "5/2 12"), ("half a dozen", "6"), ("twice a day, once per week", "2 1"),
-    ("a couple of owls and a triple jump", "2 3"), ("time-and-a-half for 1,250", "3/2 1250"), ("2 and one-third cups of 7/8", "7/3 7/8"), ("the third day", ""), ("five sixths", "5/6"), ("-4 and .5", "-4 1/2"),
-)
+@query(
+    """WITH s AS (SELECT o_custkey % 5 AS run, o_orderkey AS step, o_totalprice AS n, 1.0 + o_orderkey % 3 AS d FROM orders), l AS (SELECT run, step FROM s WHERE step % 41 = 7),
+m AS (SELECT s.*, (SELECT min(l.step) FROM l WHERE l.run = s.run AND l.step >= s.step) AS closed FROM s)
+SELECT run, closed AS step, round(sum(n) / sum(d), 4) AS loss FROM m WHERE closed IS NOT NULL GROUP BY run, closed"""
+)
+def logged_losses(spark, sf_dir):
+    """Means that start anew at each log of a run."""
+    steps = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("run"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").cast("double").alias("numerator"), (1.0 + F.col("o_orderkey") % 3).alias("denominator"))
+    return objective.logged_means(steps, steps.where("step % 41 = 7").select("run", "step"), "run").select("run", "step", F.round("loss", 4).alias("loss"))
 
 
-@query("SELECT CAST(example_id AS BIGINT) AS example_id, number FROM (VALUES " + ", ".join(f"({k}, '{values}')" for k, (_, values) in enumerate(WORDED)) + ") AS v(example_id, number)")
+# Questions in words: every row of ``part``, by closed forms again.
+
+
+@query(WORDED_SQL + "SELECT example_id, question, answer FROM worded")
+def worded_rows(spark, sf_dir):
+    return worded.derive(spark, sf_dir).select("example_id", "question", "answer")
+
+
+@query(WORDED_SQL + "SELECT example_id, idx, value FROM nums")
 def number_words(spark, sf_dir):
-    """All forms of number words, against values written by hand."""
-    rows = spark.createDataFrame([(k, q) for k, (q, _) in enumerate(WORDED)], "example_id long, question string").withColumn("answer", F.lit(""))
-    return examples.analyze(rows).select("example_id", F.array_join(F.transform("numbers", lambda x: x["value"]), " ").alias("number"))
+    """Numbers of all questions: words, digits, fractions, mixed fractions, phrases, and ordinals that are none."""
+    rows = examples.analyze(worded.derive(spark, sf_dir).select("example_id", "question", F.lit("").alias("answer")))
+    return rows.select("example_id", F.posexplode("numbers").alias("idx", "x")).select("example_id", "idx", "x.value")
+
+
+def _worded(spark, sf_dir):
+    return examples.analyze(worded.derive(spark, sf_dir).select("example_id", "k", "question", "answer"))
+
+
+@query(WORDED_SQL + "SELECT k, step, kind, count(*) AS n FROM leaves GROUP BY k, step, kind UNION ALL SELECT k, step, 'operation', sum(CASE WHEN ops = 'copy' THEN 0 ELSE 1 + length(ops) - length(replace(ops, ',', '')) END)::BIGINT FROM steps WHERE ops <> 'copy' GROUP BY k, step")
+def fraction_provenance(spark, sf_dir):
+    """Node kinds of every step where fractions of the question meet divisions, and signs meet numbers."""
+    steps = _worded(spark, sf_dir).select("k", F.explode("steps").alias("s"))
+    return n(steps.select("k", F.col("s.index").alias("step"), F.explode("s.nodes").alias("x")).select("k", "step", "x.kind"), "k", "step", "kind")
+
+
+@query(WORDED_SQL + "SELECT s.example_id, s.step, s.ops, s.target AS result, CAST(count(*) AS BIGINT) AS operands, CAST(sum(CASE WHEN l.kind = 'unresolved' THEN 1 ELSE 0 END) AS BIGINT) AS masked FROM steps s JOIN leaves l ON l.example_id = s.example_id AND l.step = s.step GROUP BY ALL")
+def worded_programs(spark, sf_dir):
+    """Every step's actions (a lone fraction is copied), leaf operands, masks and result, which graph and program have to share."""
+    steps = _worded(spark, sf_dir).select("example_id", F.explode("steps").alias("s")).where("s.graph_result <=> s.program_result AND s.program_result <=> s.target")
+    operands = F.flatten(F.transform("s.actions", lambda a: a["operands"]))
+    ops = F.array_join(F.transform("s.actions", lambda a: a["operator"]), ",")
+    return steps.select(
+        "example_id", F.col("s.index").alias("step"), ops.alias("ops"), F.col("s.program_result").alias("result"),
+        F.size(F.filter(operands, lambda o: o["kind"] != "local_result")).cast("long").alias("operands"), F.size(F.filter(operands, lambda o: o["kind"] == "unresolved")).cast("long").alias("masked"),
+    )
+
+
+@query(WORDED_SQL + "SELECT example_id, canonical FROM worded")
+def told_expressions(spark, sf_dir):
+    """Answers that tell an expression in words or signs before they annotate it, without what they tell twice."""
+    return examples.with_canonical(worded.derive(spark, sf_dir).select("example_id", "answer")).select("example_id", "canonical")
+
+
+_PLACES = {"copy": ((0, 0, "leaf"),), "one": ((0, 0, "op"), (1, 1, "leaf"), (2, 1, "leaf")), "nested": ((0, 0, "op"), (1, 1, "op"), (2, 2, "op"), (3, 3, "leaf"), (4, 3, "leaf"), (5, 2, "op"), (6, 3, "leaf"), (7, 3, "leaf"), (8, 1, "leaf"))}
+_NESTED = {0: "sub", 1: "mul", 2: "add", 5: "sub"}
+
+
+@query(
+    WORDED_SQL
+    + ", shapes AS (SELECT *, CASE WHEN ops = 'copy' THEN 'copy' WHEN k = 13 THEN 'nested' ELSE 'one' END AS shape FROM steps), places AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{shape}', {place}, {depth}, '{what}', {repr(_NESTED.get(place, '')) if shape == 'nested' else repr('')})" for shape, ps in _PLACES.items() for place, depth, what in ps)
+    + ") AS v(shape, place, depth, what, op)) SELECT example_id, step, CAST(place AS INT) AS place, CAST(depth AS INT) AS depth, CASE WHEN what = 'leaf' THEN 'leaf' WHEN shape = 'nested' THEN op ELSE ops END AS node FROM shapes JOIN places USING (shape)"
+)
+def preorder_walk(spark, sf_dir):
+    """All nodes of all calculation trees, parents before children."""
+    nodes = lineage.pre_order(_worded(spark, sf_dir), "example_id")
+    return nodes.select("example_id", "step", "place", "depth", F.coalesce("op", F.lit("leaf")).alias("node"))
+
+
+@query(WORDED_SQL + "SELECT example_id, step, kind, count(*) AS n FROM leaves GROUP BY ALL UNION ALL SELECT example_id, step, 'operation', (1 + length(ops) - length(replace(ops, ',', '')))::BIGINT FROM steps WHERE ops <> 'copy'")
+def provenance_by_joins(spark, sf_dir):
+    """Where every operand comes from, by joins on values and ranges of steps instead of a pass over each row."""
+    trees = lineage.with_trees(worded.derive(spark, sf_dir).select("example_id", "question", "answer"))
+    return n(lineage.provenance(shared.checkpoint(trees.select("example_id", "trees", "written"))), "example_id", "step", "kind")
+
+
+@query(
+    WORDED_SQL.replace("WITH base", "WITH RECURSIVE base", 1)
+    + """, ways AS (SELECT example_id, step, dependency AS rests_on, 1 AS length FROM edges UNION ALL SELECT w.example_id, w.step, e.dependency, w.length + 1 FROM ways w JOIN edges e ON e.example_id = w.example_id AND e.step = w.rests_on),
+paths AS (SELECT example_id, step, rests_on, max(length) AS length FROM ways GROUP BY ALL), lasts AS (SELECT example_id, max(step) AS step FROM steps GROUP BY example_id)
+SELECT s.example_id, s.step, CAST(coalesce(max(p.length), 0) AS BIGINT) AS depth, count(p.rests_on) AS rests_on, s.step = l.step OR EXISTS (SELECT 1 FROM paths u WHERE u.example_id = s.example_id AND u.step = l.step AND u.rests_on = s.step) AS used
+FROM steps s JOIN lasts l ON l.example_id = s.example_id LEFT JOIN paths p ON p.example_id = s.example_id AND p.step = s.step GROUP BY s.example_id, s.step, l.step"""
+)
+def step_lineage(spark, sf_dir):
+    """What every step rests on by way of others, and the steps that nothing rests on."""
+    rows = _worded(spark, sf_dir).select("example_id", "steps")
+    return lineage.lineage(shared.checkpoint(rows))
+
+
+@query(WORDED_SQL + "SELECT example_id FROM base WHERE example_id % 97 = 5")
+def determinism_by_trees(spark, sf_dir):
+    """Keys whose analysis differs between two runs, in one of which a few answers have another end; only parts that differ are opened."""
+    import uuid
+
+    folder = f"{shared.shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+    rows = worded.derive(spark, sf_dir).select("example_id", "question", "answer")
+    planted = rows.withColumn("answer", F.when(F.col("example_id") % 97 == 5, F.concat("answer", F.lit("\n<<1+1=2>>"))).otherwise(F.col("answer")))
+    try:
+        for name, run, parts in (("a", rows, 3), ("b", planted, 8)):
+            hashtree.write_tree(audit.result_hashes(examples.analyze(run.repartition(parts, "example_id"))), f"{folder}/{name}")
+        return shared.checkpoint(hashtree.tree_differences(spark, f"{folder}/a", f"{folder}/b").select("example_id"))
+    finally:
+        shared.remove(spark, folder)
 
 
-@query(QA_SQL + "SELECT example_id, CAST(0 AS INT) AS step, 'future_reference' AS code FROM base WHERE k IN (0, 4, 11) UNION ALL SELECT example_id, CAST(1 AS INT), 'mask_width' FROM base WHERE k IN (0, 4, 11)")
+_PLANTED = {1: "span_order", 7: "problem_number_bounds", 8: "future_action", 13: "candidate_count", 5: "invalid_step_with_actions"}
+
+
+@query(
+    QA_SQL
+    + "SELECT example_id, CAST(0 AS INT) AS step, 'future_reference' AS code FROM base WHERE k IN (0, 4, 11) UNION ALL SELECT example_id, CAST(1 AS INT), 'mask_width' FROM base WHERE k IN (0, 4, 11)"
+    + "".join(f" UNION ALL SELECT example_id, CAST(0 AS INT), '{code}' FROM base WHERE k = {k}" for k, code in _PLANTED.items())
+)
 def invariants(spark, sf_dir):
-    """What sound records with planted faults break: a first step that depends on the second, masks that lose a place in the second."""
-    rows = examples.analyze(derive(spark, sf_dir).select("example_id", "k", "question", "answer")).where("k IN (0, 4, 11)")
-    late = F.transform("steps", lambda s, i: F.when(i == 0, s.withField("dependencies", F.array(F.lit(1)))).otherwise(s.withField("actions", F.transform(s["actions"], lambda a: a.withField("mask", F.slice(a["mask"], 2, 9))))))
+    """What all records break, seven kinds of fault planted in eight variants; the others must break nothing.
+
+    Faults: a first step that depends on the second, masks that lose a place, an end before its start, a number and an action that aren't there,
+    an unresolved node without candidates, a wrong step with actions.
+    """
+    rows = examples.analyze(derive(spark, sf_dir).select("example_id", "k", "question", "answer"))
+    k = F.col("k")
+    node = lambda s, change: s.withField("nodes", F.transform(s["nodes"], lambda x, i: F.when(i == 0, change(x.withField("candidates", F.slice(x["candidates"], 1, 0)))).otherwise(x)))
+    first = lambda s, change: s.withField("actions", F.transform(s["actions"], change))
+    one = F.expr(f"from_json('[{{\"operator\":\"copy\",\"supervised\":\"copy\",\"mask\":[],\"operands\":[]}}]', '{examples.ACTIONS}')")
+    late = F.transform(
+        "steps",
+        lambda s, i: F.when(k.isin(0, 4, 11) & (i == 0), s.withField("dependencies", F.array(F.lit(1))))
+        .when(k.isin(0, 4, 11), first(s, lambda a: a.withField("mask", F.slice(a["mask"], 2, 9))))
+        .when(k == 1, s.withField("end", s["start"]))
+        .when(k == 7, node(s, lambda x: x.withField("kind", F.lit("problem_number")).withField("ref", F.lit(99))))
+        .when(k == 8, first(s, lambda a: a.withField("operands", F.transform(a["operands"], lambda o: o.withField("kind", F.lit("local_result")).withField("ref", F.lit(5))))))
+        .when(k == 13, node(s, lambda x: x.withField("kind", F.lit("unresolved"))))
+        .when(k == 5, s.withField("actions", one))
+        .otherwise(s),
+    )
     return audit.invariant_violations(rows.withColumn("steps", late))

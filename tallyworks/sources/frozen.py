@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import splits
+from . import shared
+from .pinned import read_pinned
 
 
-def load_source(spark: SparkSession, path: str, size: int | None = None, seed: int = 42, key: str = "example_id") -> DataFrame:
-    """A pinned source table with question and answer, or a seeded sample of it."""
-    return splits.sample(splits.check_columns(spark.read.parquet(path)), size, seed, key)
+def load_source(spark: SparkSession, path: str, size: int | None = None, seed: int = 42, key: str = "example_id", manifest: str | None = None, revision: str | None = None) -> DataFrame:
+    """A source table with question and answer, or a seeded sample of it. With a manifest and a revision (see ``pinned``) its files must be those of the revision."""
+    rows = read_pinned(spark, path, manifest, revision) if manifest and revision else spark.read.parquet(path)
+    return splits.sample(splits.check_columns(rows), size, seed, key)
 
 
 def freeze(df: DataFrame, test: DataFrame, path: str, fraction: float = 0.15, seed: int = 42, key: str = "example_id", source: str | None = None, revision: str | None = None, digest_parts: int | None = None) -> DataFrame:
@@ -47,17 +49,17 @@ def load_split(spark: SparkSession, path: str, split: str, size: int | None = No
     return splits.sample(splits.check_columns(part), size, seed, key)
 
 
-def prompt(path: str) -> tuple[str, str]:
-    """(text, SHA-256) of a system prompt; missing and empty files are errors."""
-    text = Path(path).read_text(encoding="utf-8").strip()
+def prompt(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(text, SHA-256) of a system prompt on any file system that Spark knows; missing and empty files are errors."""
+    text = shared.read_text(spark, path).strip()
     if not text:
         raise ValueError(f"{path} is empty")
     return text, hashlib.sha256(text.encode()).hexdigest()
 
 
-def write_report(report: dict, path: str) -> None:
-    """One JSON document, indented, with non-ASCII characters as they are."""
-    Path(path).write_text(json.dumps(report, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """One JSON document, indented, with non-ASCII characters as they are; it replaces an older one as a whole."""
+    shared.write_text(spark, json.dumps(report, ensure_ascii=False, indent=2) + "\n", path)
 
 
 def log_line(event: str, **fields) -> str:

@@ -140,7 +140,7 @@ def test_training_rows_and_prompt(spark, tmp_path):
     with pytest.raises(Exception, match="must not be empty"):
         examples.training_examples(df.withColumn("answer", F.lit(" ")), "sys").collect()
     (tmp_path / "p").write_text("hi\n")
-    assert frozen.prompt(str(tmp_path / "p"))[0] == "hi" and frozen.positive("3") == 3
+    assert frozen.prompt(spark, str(tmp_path / "p"))[0] == "hi" and frozen.positive("3") == 3
     with pytest.raises(ValueError):
         frozen.positive("inf", float)
 
