@@ -10,7 +10,9 @@ hits of all passes are put together. Nothing but hits is shuffled in either case
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,6 +26,8 @@ from .common import checkpoint, fresh, numbered
 WINDOW = 10
 #: Item windows that are broadcast at once, at most.
 WINDOWS = 4 << 20
+#: Bytes of the words that are broadcast at once.
+BLOCK_BYTES = 256 << 20
 #: Windows of a segment of an item.
 SEGMENT = 4096
 #: Lower-cases A-Z and blanks what isn't a word character [^\x00-\x2F\x3A-\x60\x7B-\x7F].
@@ -176,14 +180,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
     place = base.columns.index(text)
     schema = base.limit(0).withColumns({n: F.lit(None).cast(t) for n, t in pairs}).schema
     parts = segments(benchmark, width)
-    total, most = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    blocks = 1 if total <= limit else min(most, -(-2 * total // max(limit, 1)))
+    total, size, most = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)), F.count(F.lit(1))).first()
+    load = max(total / max(limit, 1), size / BLOCK_BYTES)  # of the number of windows and of the bytes of their words, what is nearer to its bound
+    blocks = 1 if load <= 1 else min(most, math.ceil(2 * load))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
 
     def block(k: int):
         """Segments of a block, broadcast; ``limit`` windows, about."""
         rows = parts.where(F.pmod(F.xxhash64("item_id", "segment"), F.lit(blocks)) == k).collect()
-        return docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.words)) for r in rows])
+        # A name of its own: an address may be that of an older block in a worker that is used again.
+        return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.item_id, bytes(r.words)) for r in rows]))
 
     def written(batch: pa.RecordBatch, columns: list, rows: list[tuple]) -> pa.RecordBatch:
         made = list(zip(*rows, strict=True)) or [()] * len(kinds)
@@ -219,7 +225,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())))], names=["key", "spans", "items"])
 
         # Equal texts have equal hits: one row of each key and block.
-        return checkpoint(texts.mapInArrow(run, "key string, spans array<bigint>, items array<string>").dropDuplicates(["key"]))
+        found = checkpoint(texts.mapInArrow(run, "key string, spans array<bigint>, items array<string>").dropDuplicates(["key"]))
+        sent.unpersist()
+        return found
 
     hits = reduce(DataFrame.unionByName, (pass_over(block(k)) for k in range(blocks)))
     hits = hits.groupBy(F.col("key").alias(f"{p}key")).agg(F.flatten(F.collect_list("spans")).alias(f"{p}spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias(f"{p}items"))
@@ -236,24 +244,26 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
     return numbered(joined).mapInArrow(finish, schema)
 
 
-_BUILT: dict[tuple[int, int], WindowSet] = {}
+_BUILT: dict[tuple[str, int], WindowSet] = {}
 
 
 def _window_set(sent, width: int) -> WindowSet:
     """The set of a broadcast block, built once in each worker; only the last one is kept."""
-    key = (sent._jid if hasattr(sent, "_jid") else id(sent.value), width)
+    name, rows = sent.value
+    key = (name, width)
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = WindowSet([(item, words.split()) for item, words in sent.value], width)
+        _BUILT[key] = WindowSet([(item, words.split()) for item, words in rows], width)
     return _BUILT[key]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", spans: bool = False) -> DataFrame:
-    """``docs`` without contaminated rows, or with ``spans`` without the hit spans of their texts."""
-    found = scan(docs, benchmark, text, prefix="__hit_")
+    """``docs`` without contaminated rows, or with ``spans`` without the hit spans of their texts. Columns may have any names; see ``scan``."""
+    own = fresh(docs) + "hit_"
+    found = scan(docs, benchmark, text, prefix=own)
     if spans:
-        return found.withColumn(text, F.col("__hit_cleaned")).select(*(F.col(f"`{n}`") for n in docs.columns))
-    return found.where(~F.col("__hit_contaminated")).select(*(F.col(f"`{n}`") for n in docs.columns))
+        return found.withColumn(text, F.col(f"{own}cleaned")).select(*(F.col(f"`{n}`") for n in docs.columns))
+    return found.where(~F.col(f"{own}contaminated")).select(*(F.col(f"`{n}`") for n in docs.columns))
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Proportional stratified interleaving of rows into shards, in DataFrame operations only.
 
-Rows of a source are put in a seeded shuffle order and get a fractional rank (r - 1/2) / n within it. All
-rows sorted by fractional rank are a sequence in which every stretch has the sources' mixture, and that
+Rows of a source are put in a seeded shuffle order and get a fractional rank (r - 1 + u) / n within it, where u is a
+digest of the source's name as a number below one: the rows of a source are evenly apart, and sources of one row
+each, however many, are spread over the whole sequence. All rows sorted by fractional rank are a sequence in which every stretch has the sources' mixture, and that
 sequence is cut into equal runs of rows. Neither ranking is one big window: rows are counted in buckets
 of the sort key, the counts are summed up over the buckets (a bounded table), and ranks are taken within
 buckets, which hold a bounded share of even the largest source.
@@ -27,10 +28,15 @@ def _ranked(rows: DataFrame, group: list[str], bucket: Column, order: list[Colum
     return ranked.withColumn(name, F.col("__before") + F.row_number().over(inside) - 1).drop("__bucket", "__before")
 
 
+def start(stratum: Column) -> Column:
+    """Where between its neighbours a source's rows stand: a double from 0 to 1 that only its name decides."""
+    return (F.conv(F.substring(F.md5(stratum.cast("binary")), 1, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 32))
+
+
 def interleave(docs: DataFrame, shards: int = 8, seed: int = 42, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """(doc_id, source, size, text_crc32, shard, slot) of every row.
 
-    A null source is a stratum of its own, a null text has no bytes (size 1), rows with the same id or
+    Texts may be of any length: only their sizes and checksums are shuffled. An empty table gives an empty result. A null source is a stratum of its own, a null text has no bytes (size 1), rows with the same id or
     the same text are separate rows, and ties beyond id, size and checksum are between equal results.
     Shards differ by one row at most; fewer rows than shards leave the last ones empty.
     """
@@ -43,7 +49,7 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 42, text: str = "te
     first = F.conv(F.substring("__key", 1, 8), 16, 10).cast("long")
     ties = [F.col("__key"), F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     rows = _ranked(rows, ["__stratum"], F.shiftright(first * F.lit(BUCKETS), 32), ties, "__rank")
-    rows = rows.withColumn("__share", (F.col("__rank") + F.lit(0.5)) / F.col("__of")).drop("__of", "__rank")
+    rows = rows.withColumn("__share", (F.col("__rank") + start(F.col("__stratum"))) / F.col("__of")).drop("__of", "__rank")
     bucket = F.floor(F.col("__share") * BUCKETS)
     rows = _ranked(rows.withColumn("__all", F.lit(0)), ["__all"], bucket, [F.col("__share"), F.col("__stratum"), *ties], "__at")
     shard = F.expr(f"CAST((__at * {shards}) DIV __of AS INT)")

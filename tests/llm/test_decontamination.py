@@ -113,3 +113,29 @@ def test_memory_of_a_full_block():
     now = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert sum(len(x[1]) for x in found.by_length) > 0.9 * n and now * 16 < 300 << 20
+
+
+def test_columns_with_the_operators_own_names_are_kept(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "some words of a clean text")], "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("__hit_cleaned", "__hit_contaminated", "__hit_n_hit", "n_words")})
+    bench = spark.createDataFrame([(7, "one two three")], "item_id long, text string")
+    (left,) = D.decontaminate(docs, bench).collect()
+    assert left.doc_id == 2 and left["__hit_cleaned"] == left["__hit_contaminated"] == left.n_words == "mine"
+    cut = {r.doc_id: r for r in D.decontaminate(docs, bench, spans=True).collect()}
+    assert cut[1].text.strip() == "" and cut[2].text == "some words of a clean text" and cut[1]["__hit_cleaned"] == "mine"
+
+
+def test_sets_are_told_apart_by_name_and_not_by_address():
+    class Sent:
+        value = ("a", [("1", b"x y")])
+
+    D._window_set(Sent, 10)
+    Sent.value = ("b", [("2", b"z")])
+    assert D._window_set(Sent, 10).hits([b"z"])[1] == {"2"}
+
+
+def test_bytes_bound_a_block_too(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, f"{'w' * 200}{k} of item {k}") for k in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"see {'w' * 200}{k} of item {k} here") for k in range(0, 60)], "doc_id long, text string")
+    want = sorted((r.doc_id, r.n_hit, r.contaminated) for r in D.scan(docs, bench).collect())
+    monkeypatch.setattr(D, "BLOCK_BYTES", 2000)
+    assert sorted((r.doc_id, r.n_hit, r.contaminated) for r in D.scan(docs, bench).collect()) == want and sum(x[2] for x in want) == 40
