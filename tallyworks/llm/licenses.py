@@ -2,7 +2,9 @@
 
 A notice with up to k errors keeps at least one of any k + 1 pieces intact. The pieces of all notices are in
 one Aho-Corasick automaton; where a piece is found, the regex library matches the whole notice around that
-place with at most k insertions, deletions and substitutions, and reports span and errors.
+place with at most k insertions, deletions and substitutions, and reports span and errors. Short names, such as
+"mit" or "gpl", are told by few letters: they have parts with bounds of their own (none for the name itself), and
+count after a lead such as "licensed under the".
 """
 
 from __future__ import annotations
@@ -33,12 +35,17 @@ class Notice:
     label: str
     words: str
     errors: int
+    #: Errors in each word, for names whose words have bounds of their own; and whether a lead must come before.
+    each: tuple[int, ...] = ()
+    led: bool = False
 
 
+#: What leads up to a license's name, as alternatives of regular expressions, and the errors allowed in it.
+LEAD, LEAD_ERRORS, LEAD_LENGTH = "(?:licensed|released|distributed|available|published|provided) under(?: the terms of)?(?: the| a| an)?", 2, 36
+
 #: Short notices as they begin or name their license, in normalised words, with the errors allowed.
 NOTICES = (
-    Notice("mit", "released under the mit license", 2),
-    Notice("mit", "licensed under the mit license", 2),
+    Notice("mit", "mit license copyright", 0),
     Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy", 5),
     Notice("apache-2", "licensed under the apache license version 2 0", 3),
     Notice("cc-by-nc", "creative commons attribution noncommercial", 3),
@@ -55,28 +62,67 @@ NOTICES = (
     Notice("agpl", "under the terms of the gnu affero general public license", 4),
     Notice("agpl", "under the gnu affero general public license", 4),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
-    Notice("bsd", "licensed under the bsd license", 2),
     Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 5),
-    Notice("isc", "licensed under the isc license", 2),
     Notice("mpl-2", "subject to the terms of the mozilla public license", 4),
     Notice("mpl-2", "licensed under the mozilla public license", 4),
     Notice("epl-2", "under the terms of the eclipse public license", 4),
     Notice("epl-2", "licensed under the eclipse public license", 4),
     Notice("unlicense", "this is free and unencumbered software released into the public domain", 5),
     Notice("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 6),
-    Notice("zlib", "licensed under the zlib license", 2),
+    Notice("apache-2", "apache license version 2 0", 2),
+    Notice("apache-2", "apache license 2 0", 1),
+    Notice("mpl-2", "mozilla public license 2 0", 2),
+    Notice("mpl-2", "mozilla public license version 2 0", 2),
+    Notice("gpl", "gnu general public license version", 3),
+    Notice("gpl", "gnu general public license v", 3),
+    Notice("gpl", "distributed under the gnu general public license", 4),
+    Notice("cc-by", "creative commons attribution 4 0 international", 3),
     Notice("proprietary", "all rights reserved", 1),
 )
+#: Names after a lead: label, words, and the errors allowed in each word.
+NAMED = tuple(
+    Notice(label, words, 0, each, True)
+    for label, words, each in (
+        ("mit", "mit license", (0, 1)), ("bsd", "bsd license", (0, 1)), ("bsd", "bsd 2 clause", (0, 0, 1)), ("bsd", "bsd 3 clause", (0, 0, 1)), ("bsd", "new bsd license", (0, 0, 1)), ("isc", "isc license", (0, 1)),
+        ("zlib", "zlib license", (0, 1)), ("gpl", "gpl", (0,)), ("gpl", "gnu gpl", (0, 0)), ("gpl", "gplv2", (0,)), ("gpl", "gplv3", (0,)), ("lgpl", "lgpl", (0,)), ("lgpl", "gnu lgpl", (0, 0)), ("agpl", "agpl", (0,)), ("agpl", "gnu agpl", (0, 0)),
+        ("apache-2", "apache 2 0", (1, 0, 0)), ("apache-2", "apache license", (1, 1)), ("mpl-2", "mpl 2 0", (0, 0, 0)), ("epl-2", "epl 2 0", (0, 0, 0)), ("unlicense", "unlicense", (1,)), ("cc0", "cc0", (0,)),
+        ("cc-by-sa", "cc by sa", (0, 0, 0)), ("cc-by-nc", "cc by nc", (0, 0, 0)), ("cc-by-nd", "cc by nd", (0, 0, 0)), ("cc-by", "cc by", (0, 0)),
+    )
+)
 #: Identifiers that may follow "SPDX-License-Identifier:", in normalised words, and their labels; no errors allowed.
 IDENTIFIERS = (
     ("mit", "mit"), ("apache 2 0", "apache-2"), ("gpl 2 0", "gpl"), ("gpl 3 0", "gpl"), ("lgpl 2 1", "lgpl"), ("lgpl 3 0", "lgpl"), ("agpl 3 0", "agpl"),
     ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd"), ("isc", "isc"), ("mpl 2 0", "mpl-2"), ("epl 2 0", "epl-2"), ("unlicense", "unlicense"), ("zlib", "zlib"), ("cc0 1 0", "cc0"),
     ("cc by 4 0", "cc-by"), ("cc by sa 4 0", "cc-by-sa"), ("cc by nc 4 0", "cc-by-nc"), ("cc by nd 4 0", "cc-by-nd"),
 )
-TAGS = tuple(Notice(label, f"spdx license identifier {words}", 0) for words, label in IDENTIFIERS)
+TAGS = tuple(Notice(label, f"{before} {words}", 0) for words, label in IDENTIFIERS for before in ("spdx license identifier", "license"))
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices string"
 
 
+def pattern_of(notice: Notice) -> str:
+    """A notice as a regular expression of the regex library, between blanks."""
+    import regex
+
+    if not notice.each:
+        name = rf"(?:{regex.escape(notice.words)}){{e<={notice.errors}}}"
+    else:
+        name = " ".join(f"(?:{w}){{e<={e}}}" if e else w for w, e in zip(notice.words.split(), notice.each, strict=True))
+    lead = rf"(?:{LEAD}){{e<={LEAD_ERRORS}}} " if notice.led else ""
+    return rf"(?b)(?<![^ ]){lead}{name}(?![^ ])"
+
+
+def seeds_of(notice: Notice) -> list[tuple[int, str]]:
+    """Pieces of a notice of which an occurrence has at least one: by its errors, or the longest word that must be as it is or its pieces."""
+    if not notice.each:
+        return pieces(notice.words, notice.errors)
+    at, best = 0, None
+    for word, errors in zip(notice.words.split(), notice.each, strict=True):
+        if best is None or len(word) // (errors + 1) > len(best[1]) // (best[2] + 1):
+            best = (at, word, errors)
+        at += len(word) + 1
+    return [(best[0] + k, piece) for k, piece in pieces(best[1], best[2])]
+
+
 def pieces(text: str, errors: int) -> list[tuple[int, str]]:
     """(offset, piece): ``text`` cut into errors + 1 pieces of nearly equal length."""
     cuts = [len(text) * k // (errors + 1) for k in range(errors + 2)]
@@ -87,7 +133,7 @@ Found = tuple[str, int, int, int, float]
 
 
 class Scanner:
-    def __init__(self, notices: tuple[Notice, ...] = NOTICES + TAGS, phrases: tuple[tuple[str, str], ...] = PHRASES) -> None:
+    def __init__(self, notices: tuple[Notice, ...] = NOTICES + NAMED + TAGS, phrases: tuple[tuple[str, str], ...] = PHRASES) -> None:
         import ahocorasick
         import regex
 
@@ -95,13 +141,13 @@ class Scanner:
         self.seeds = ahocorasick.Automaton()
         by_seed: dict[str, list[tuple[int, int]]] = {}
         for n, notice in enumerate(notices):
-            for at, piece in pieces(notice.words, notice.errors):
+            for at, piece in seeds_of(notice):
                 by_seed.setdefault(piece, []).append((n, at))
         for piece, of in by_seed.items():
             self.seeds.add_word(piece, (len(piece), of))
         if notices:
             self.seeds.make_automaton()
-        self.patterns = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n.words)}){{e<={n.errors}}}(?![^ ])") for n in notices]
+        self.patterns = [regex.compile(pattern_of(n)) for n in notices]
 
     def fuzzy(self, text: str) -> Iterator[Found]:
         """(label, start, end, errors, score) of each notice found in normalised text; spans are code points of it."""
@@ -116,12 +162,13 @@ class Scanner:
             for begin in sorted(begins):
                 if begin + len(notice.words) <= done:  # inside the span that was matched last
                     continue
-                low, high = max(0, begin - 2 * notice.errors), begin + len(notice.words) + 2 * notice.errors
+                slack = 2 * (notice.errors + sum(notice.each)) + (LEAD_LENGTH + 2 * LEAD_ERRORS) * notice.led
+                low, high = max(0, begin - slack), begin + len(notice.words) + 2 * (notice.errors + sum(notice.each))
                 m = self.patterns[n].search(text, max(low, done), high + 1) if high > done else None
                 if m and m.end() > done:
                     done = m.end()
                     wrong = sum(m.fuzzy_counts)
-                    yield notice.label, m.start(), m.end(), wrong, 1 - wrong / len(notice.words)
+                    yield notice.label, m.start(), m.end(), wrong, 1 - wrong / (m.end() - m.start() if notice.led else len(notice.words))
 
     def exact(self, text: str, starts: list[int]) -> list[tuple[int, str]]:
         """(word number, label) of every place where a phrase's words stand consecutively."""
@@ -144,11 +191,22 @@ class Scanner:
         places = sorted(p for p, _ in base)
         # A span's words: from the one that it begins in, to the one that it ends before.
         number = lambda at: bisect_right(starts, at) - 1
-        spans = ",".join(f"{label}:{number(a)}:{number(b - 1)}:{wrong}" for label, a, b, wrong, _ in sorted(fuzzy, key=lambda f: (f[1], f[0])))
+        spans = ",".join(f"{label}:{number(a)}:{number(b - 1)}:{wrong}" for label, a, b, wrong, _ in sorted(widest(fuzzy), key=lambda f: (f[1], f[0])))
         score = 1.0 if base else max((f[4] for f in fuzzy), default=0.0)
         return len(ws), len(base), places[0] if places else None, places[-1] if places else None, ",".join(own), ",".join(every), score, spans
 
 
+def widest(found: list[Found]) -> list[Found]:
+    """Finds that no other find of their label contains: a license may be named by a part of what names it."""
+    out: list[Found] = []
+    reach: dict[str, int] = {}
+    for f in sorted(found, key=lambda f: (f[1], -f[2])):
+        if f[2] > reach.get(f[0], -1):
+            reach[f[0]] = f[2]
+            out.append(f)
+    return out
+
+
 def told_apart(found: list[Found]) -> list[Found]:
     """Finds without those that a better or narrower one overlaps: fewer errors, or as many and a label that goes on ("cc-by-nc" over "cc-by")."""
     found = sorted(found, key=lambda f: (f[1], f[2]))
@@ -167,7 +225,7 @@ def _scanner(notices: tuple[Notice, ...], phrases: tuple[tuple[str, str], ...])
     return Scanner(notices, phrases)
 
 
-def scan(docs: DataFrame, text: str = "text", notices: tuple[Notice, ...] = NOTICES + TAGS, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", notices: tuple[Notice, ...] = NOTICES + NAMED + TAGS, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
     """``docs`` with the result columns; ``notices`` lists fuzzy finds as label:first word:last word:errors.
 
     One pass, no shuffle. A null or blank text counts as empty (no words, no labels, score 0); a long one is scanned
