@@ -65,26 +65,42 @@ SUMS = (
 )
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """One row: sums, counts, rates and the distribution of target scales, from per-example figures in one aggregation."""
-    total = F.count(F.lit(1))
+def sums(rows: DataFrame) -> DataFrame:
+    """One row of figures that add up, from per-example figures in one aggregation: sums, counts, and the extremes of target scales and candidates."""
     scales = F.col("scales")
     small = rows.select(
         *SUMS, "max_actions_per_step", *FLAGS, F.filter(F.transform("steps", lambda s: s["target_scale"]), lambda x: x.isNotNull()).alias("scales"),
         F.forall("steps", lambda s: s["target"].isNull() | s["target_scale"].isNotNull()).alias("finite"),
         F.array_max(F.transform(_nested(F.col("steps"), "nodes"), lambda x: F.size(x["candidates"]))).alias("candidates"),
     )
-    sums = small.agg(
-        total.alias("examples"), *(F.sum(c).alias(c) for c in SUMS), F.max("max_actions_per_step").alias("max_actions_per_step"),
-        *(F.count_if(c).alias(f"examples_{c}") for c in FLAGS), *((F.count_if(c) / total).alias(f"{c}_rate") for c in FLAGS),
+    return small.agg(
+        F.count(F.lit(1)).alias("examples"), *(F.sum(c).alias(c) for c in SUMS), F.max("max_actions_per_step").alias("max_actions_per_step"), *(F.count_if(c).alias(f"examples_{c}") for c in FLAGS),
         F.count_if(F.col("math_steps") == 0).alias("examples_without_math_steps"),
         F.count_if((F.col("math_steps") > 0) & ~F.col("final_step_identified")).alias("examples_with_steps_without_final"),
-        F.coalesce(F.try_divide(F.sum("valid_math_steps"), F.sum("math_steps")), F.lit(0.0)).alias("valid_math_step_rate"),
-        F.coalesce(1 - F.try_divide(F.sum("masked_operands"), F.sum("postfix_operands")), F.lit(0.0)).alias("operand_supervision_rate"),
-        F.sum(F.size(scales)).alias("target_scales"), F.min(F.array_min(scales)).alias("target_scale_min"), F.max(F.array_max(scales)).alias("target_scale_max"),
+        F.coalesce(F.sum(F.size(scales)), F.lit(0)).alias("target_scales"), F.min(F.array_min(scales)).alias("target_scale_min"), F.max(F.array_max(scales)).alias("target_scale_max"),
         F.coalesce(F.bool_and("finite"), F.lit(True)).alias("target_scales_all_finite"), F.coalesce(F.max("candidates"), F.lit(0)).cast("long").alias("max_candidates_per_operand"),
     )
-    return sums
+
+
+def merge(parts: DataFrame) -> DataFrame:
+    """The ``sums`` of all rows from the ``sums`` of parts of them; in any order, and again over its own results."""
+    how = {"target_scale_min": F.min, "target_scale_max": F.max, "max_actions_per_step": F.max, "max_candidates_per_operand": F.max, "target_scales_all_finite": F.bool_and}
+    return parts.agg(*(how.get(c, F.sum)(c).alias(c) for c in parts.columns))
+
+
+def rates(sums: DataFrame) -> DataFrame:
+    """``sums`` and the rates that follow from them; those of no examples are null."""
+    over = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return sums.withColumns({
+        **{f"{c}_rate": F.try_divide(F.col(f"examples_{c}"), F.col("examples")) for c in FLAGS},
+        "valid_math_step_rate": over("valid_math_steps", "math_steps"),
+        "operand_supervision_rate": F.coalesce(1 - F.try_divide(F.col("masked_operands"), F.col("postfix_operands")), F.lit(0.0)),
+    })
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row: sums, counts, rates and the distribution of target scales."""
+    return rates(sums(rows))
 
 
 def scale_percentiles(rows: DataFrame, percents: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:

@@ -64,21 +64,34 @@ def score(df: DataFrame, generated: str = "generated_text", reference: str = "re
     return rows.withColumn("correct_and_consistent", F.col("correct") & F.col("internally_consistent"))
 
 
-def summarize(scored: DataFrame, *by: str) -> DataFrame:
-    """Rates and counts of scored responses, one row, or one for each group; partial sums, divided last."""
-    total = F.count(F.lit(1))
-    rate = lambda c: F.count_if(c) / total
-    sums = scored.groupBy(*by).agg(
-        rate("strict_correct").alias(HEADLINES[0]), rate("correct").alias(HEADLINES[1]),
-        (F.sum("final_answer_error") / total).alias(HEADLINES[2]), (F.sum("mean_step_arithmetic_accuracy") / total).alias(HEADLINES[3]),
-        rate("internally_consistent").alias(HEADLINES[4]), rate("correct_and_consistent").alias(HEADLINES[5]),
-        (F.count("marked_prediction") / total).alias("final_answer_format_compliance_rate"),
-        F.coalesce(F.try_divide(F.sum("parsed_formula_count"), F.sum("formula_count")), F.lit(0.0)).alias("formula_parse_rate"),
+def sums(scored: DataFrame, *by: str) -> DataFrame:
+    """What adds up of scored responses: one row, or one for each group."""
+    return scored.groupBy(*by).agg(
         F.count_if("strict_correct").alias("strict_correct_final_answers"), F.count_if("correct").alias("correct_final_answers"),
         F.count_if("internally_consistent").alias("internally_consistent_answers"), F.count_if("correct_and_consistent").alias("correct_and_internally_consistent"),
-        F.sum("parsed_formula_count").alias("parsed_formulas"), F.sum("formula_count").alias("formulas"), total.alias("total"),
+        F.sum("final_answer_error").alias("error_sum"), F.sum("mean_step_arithmetic_accuracy").alias("accuracy_sum"), F.count("marked_prediction").alias("marked_answers"),
+        F.sum("parsed_formula_count").alias("parsed_formulas"), F.sum("formula_count").alias("formulas"), F.count(F.lit(1)).alias("total"),
     )
-    return sums
+
+
+def merge(parts: DataFrame, *by: str) -> DataFrame:
+    """The ``sums`` of all responses from the ``sums`` of parts of them."""
+    return parts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in parts.columns if c not in by))
+
+
+def rates(sums: DataFrame, *by: str) -> DataFrame:
+    """Rates and counts that follow from ``sums``; those of no responses are null."""
+    over = lambda c: F.try_divide(F.col(c), F.col("total"))
+    return sums.select(
+        *by, *(over(c).alias(n) for c, n in zip(("strict_correct_final_answers", "correct_final_answers", "error_sum", "accuracy_sum", "internally_consistent_answers", "correct_and_internally_consistent"), HEADLINES, strict=True)),
+        over("marked_answers").alias("final_answer_format_compliance_rate"), F.coalesce(F.try_divide(F.col("parsed_formulas"), F.col("formulas")), F.lit(0.0)).alias("formula_parse_rate"),
+        "strict_correct_final_answers", "correct_final_answers", "internally_consistent_answers", "correct_and_internally_consistent", "parsed_formulas", "formulas", "total",
+    )
+
+
+def summarize(scored: DataFrame, *by: str) -> DataFrame:
+    """Rates and counts of scored responses, one row, or one for each group; partial sums, divided last."""
+    return rates(sums(scored, *by), *by)
 
 
 def evaluate(df: DataFrame, system_prompt: str, **generation) -> tuple[dict, DataFrame, DataFrame]:
@@ -133,6 +146,6 @@ def json_safe(df: DataFrame) -> DataFrame:
 
 
 def evaluation_history(records: DataFrame, every: int) -> DataFrame:
-    """Records of epochs 0, every, 2 * every ..., the first of each (epoch, split) by global_step."""
+    """Records of epochs 0, every, 2 * every ..., the first of each (epoch, split) by global_step. Histories of parts have the history of all."""
     first = records.where(F.col("epoch") % every == 0).groupBy("epoch", "split").agg(F.min_by(F.struct(*records.columns), "global_step").alias("r"))
     return first.select("r.*")

@@ -10,12 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scan
+from .functions import scan, tables
 from .operators import audit, evaluation, examples, features, hashtree, lineage, objective, splits, tokenization
 from .plans import worded
 from .plans.qa import QA_SQL, derive
 from .plans.worded import WORDED_SQL
 from .sources import shared
+from .streaming import totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,8 +164,10 @@ def response_flags(spark, sf_dir):
 )
 def evaluation_summary(spark, sf_dir):
     rows = evaluation.summarize(_scored(spark, sf_dir))
-    rates = [*evaluation.HEADLINES, "final_answer_format_compliance_rate", "formula_parse_rate"]
-    return rows.select(*(F.round(c, 6 if c == "final_answer_error" else 9).alias(c) for c in rates), "total")
+    return rows.select(*(F.round(c, 6 if c == "final_answer_error" else 9).alias(c) for c in _RATES), "total")
+
+
+_RATES = (*evaluation.HEADLINES, "final_answer_format_compliance_rate", "formula_parse_rate")
 
 
 @query(_PREDICTED + "SELECT k, count(*) AS total, round(avg(err), 6) AS final_answer_error, round(avg(CASE WHEN k IN (0, 7, 8, 10, 11, 12, 13, 15) THEN 1.0 WHEN k = 4 THEN 0.5 ELSE 0.0 END), 9) AS macro, round(CASE WHEN k IN (9, 14) THEN 0.0 WHEN k IN (2, 3, 5) THEN 0.0 WHEN k = 4 THEN 0.5 ELSE 1.0 END, 9) AS micro_parse_rate FROM errors GROUP BY k")
@@ -302,7 +305,14 @@ FROM e LEFT JOIN u ON e.example_id = u.example_id, d"""
 )
 def audit_summary(spark, sf_dir):
     s = audit.summary(_audited(spark, sf_dir))
-    return s.select("examples", "math_steps", "valid_math_steps", "examples_without_math_steps", "examples_program_executable", "examples_provenance_complete", "unresolved_operands", "examples_final_step_identified", "postfix_actions", "postfix_operands", "reference_edges", "program_structure_issues", F.round("valid_math_step_rate", 9).alias("valid_math_step_rate"))
+    return s.select(*_AUDITED, F.round("valid_math_step_rate", 9).alias("valid_math_step_rate"))
+
+
+#: What the SQL of an audit works out.
+_AUDITED = (
+    "examples", "math_steps", "valid_math_steps", "examples_without_math_steps", "examples_program_executable", "examples_provenance_complete", "unresolved_operands", "examples_final_step_identified",
+    "postfix_actions", "postfix_operands", "reference_edges", "program_structure_issues",
+)
 
 
 @query(
@@ -638,3 +648,77 @@ def invariants(spark, sf_dir):
         .otherwise(s),
     )
     return audit.invariant_violations(rows.withColumn("steps", late))
+
+
+@query(SQL["formula_verdicts"])
+def verdicts_by_sql(spark, sf_dir):
+    """Counts of verdicts by a table function, called from SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT k, coalesce(f.error, 'ok') AS error, count(*) AS n FROM {qa}, LATERAL annotations(answer) AS f GROUP BY ALL", qa=derive(spark, sf_dir).select("k", "answer"))
+
+
+@query(WORDED_SQL + "SELECT example_id, idx, value FROM nums")
+def numbers_by_sql(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT example_id, n.idx, n.value FROM {worded}, LATERAL question_numbers(question) AS n", worded=worded.derive(spark, sf_dir).select("example_id", "question"))
+
+
+@query(WORDED_SQL + "SELECT DISTINCT example_id, step, dependency FROM edges")
+def edges_by_sql(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT example_id, s.step, d.dependency FROM {worded}, LATERAL math_steps(question, answer) AS s, LATERAL explode(s.rests_on) AS d(dependency)", worded=worded.derive(spark, sf_dir).select("example_id", "question", "answer"))
+
+
+@query(SQL["answer_texts"])
+def answer_texts_by_sql(spark, sf_dir):
+    """Answers as they stand, by functions that stay in the JVM, called from SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT example_id, marked_text(answer) AS marked, standalone_text(answer) AS standalone FROM {qa}", qa=derive(spark, sf_dir).select("example_id", "answer"))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, summarize, merge) -> DataFrame:
+    """Merged figures of rows that a stream reads in four micro-batches, twice: the second time its checkpoint is lost and nothing may count again."""
+    import uuid
+
+    folder = f"{shared.shared_dir(spark)}/totals-{uuid.uuid4().hex}"
+    try:
+        rows.repartition(8).write.parquet(f"{folder}/feed")
+        kept = totals.Totals(f"{folder}/figures", summarize, merge, fold_every=3)
+        for attempt in ("first", "again"):
+            totals.run(spark, f"{folder}/feed", rows.schema, kept, f"{folder}/{attempt}", files=2)
+        return shared.checkpoint(kept.read(spark))
+    finally:
+        shared.remove(spark, folder)
+
+
+@query(SQL["audit_summary"])
+def streamed_audit(spark, sf_dir):
+    s = audit.rates(_streamed(spark, derive(spark, sf_dir).select("example_id", "question", "answer"), lambda df: audit.sums(audit.audit(df)), audit.merge))
+    return s.select(*_AUDITED, F.round("valid_math_step_rate", 9).alias("valid_math_step_rate"))
+
+
+@query(SQL["evaluation_summary"])
+def streamed_evaluation(spark, sf_dir):
+    rows = derive(spark, sf_dir).select("example_id", F.col("answer").alias("generated_text"), "reference")
+    s = evaluation.rates(_streamed(spark, rows, lambda df: evaluation.sums(evaluation.score(df)), evaluation.merge))
+    return s.select(*(F.round(c, 6 if c == "final_answer_error" else 9).alias(c) for c in _RATES), "total")
+
+
+_RECORDS = "SELECT CAST(year(o_orderdate) - 1992 AS INT) AS epoch, o_orderpriority AS split, o_orderkey AS global_step, o_totalprice AS loss FROM orders"
+
+
+@query(f"SELECT * FROM ({_RECORDS}) WHERE epoch % 2 = 0 QUALIFY row_number() OVER (PARTITION BY epoch, split ORDER BY global_step) = 1")
+def first_records(spark, sf_dir):
+    """The first record of every second epoch and split."""
+    return evaluation.evaluation_history(_records(spark, sf_dir), 2)
+
+
+@query(f"SELECT * FROM ({_RECORDS}) WHERE epoch % 2 = 0 QUALIFY row_number() OVER (PARTITION BY epoch, split ORDER BY global_step) = 1")
+def streamed_first_records(spark, sf_dir):
+    history = lambda df: evaluation.evaluation_history(df, 2)
+    return _streamed(spark, _records(spark, sf_dir), history, history)
+
+
+def _records(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.select((F.year("o_orderdate") - 1992).alias("epoch"), F.col("o_orderpriority").alias("split"), F.col("o_orderkey").alias("global_step"), F.col("o_totalprice").alias("loss"))

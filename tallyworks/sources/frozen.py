@@ -69,6 +69,20 @@ def log_line(event: str, **fields) -> str:
     return line
 
 
+def write_lines(rows: DataFrame, event: str, path: str) -> None:
+    """Every row as a log line: one JSON object with sorted keys, nulls and doubles that JSON can't hold as null. Never overwrites.
+
+    Lines are written by all executors and committed together by Spark: what failed or repeated tasks wrote isn't seen, and a job that fails leaves no lines.
+    """
+    from ..operators.evaluation import json_safe
+
+    if "event" in rows.columns:
+        raise ValueError("event is the name of the line's own field")
+    named = json_safe(rows).withColumn("event", F.lit(event))
+    fields = F.struct(*(F.col(f"`{c}`") for c in sorted(named.columns)))
+    named.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
+
+
 def positive(value: str, kind: type = int):
     """A command-line number that must be finite and positive."""
     import math

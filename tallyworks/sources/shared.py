@@ -34,6 +34,44 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _at(spark, path)
+    return system.exists(where)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    system, where = _at(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Moves a folder to a place that nobody has taken; False if somebody has."""
+    system, where = _at(spark, to)
+    if system.exists(where):
+        return False
+    system.mkdirs(where.getParent())
+    return system.rename(_at(spark, path)[1], where)
+
+
+def write_once(spark: SparkSession, text: str, path: str) -> bool:
+    """Creates a small UTF-8 document; False if it is there already. Of many writers one succeeds, where the file system creates files exclusively."""
+    from py4j.protocol import Py4JJavaError
+
+    system, where = _at(spark, path)
+    try:
+        out = system.create(where, False)
+    except Py4JJavaError:
+        if system.exists(where):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small UTF-8 document of any file system that Spark knows; a missing one is an error."""
     rows = spark.read.text(path, wholetext=True).collect()  # one document
