@@ -682,10 +682,12 @@ def _streamed(spark: SparkSession, rows: DataFrame, summarize, merge) -> DataFra
 
     folder = f"{shared.shared_dir(spark)}/totals-{uuid.uuid4().hex}"
     try:
-        rows.repartition(8).write.parquet(f"{folder}/feed")
+        parted = rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(4)))  # each task writes four files, nothing is shuffled
+        parted.write.partitionBy("part").parquet(f"{folder}/feed")
+        files = sum(name.endswith(".parquet") for part in shared.names(spark, f"{folder}/feed") for name in (shared.names(spark, f"{folder}/feed/{part}") if part.startswith("part=") else ()))
         kept = totals.Totals(f"{folder}/figures", summarize, merge, fold_every=3)
         for attempt in ("first", "again"):
-            totals.run(spark, f"{folder}/feed", rows.schema, kept, f"{folder}/{attempt}", files=2)
+            totals.run(spark, f"{folder}/feed/*", rows.schema, kept, f"{folder}/{attempt}", files=-(-files // 4) or None)
         return shared.checkpoint(kept.read(spark))
     finally:
         shared.remove(spark, folder)
