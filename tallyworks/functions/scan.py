@@ -98,5 +98,6 @@ def delete_spans(text: Column, spans: Column) -> Column:
 
 def mend_blanks(text: Column) -> Column:
     """Blanks around annotations after deletions."""
+    # Fixed patterns.
     text = F.regexp_replace(text, r">>(?=[A-Za-z0-9$€£])", ">> ")
     return F.regexp_replace(F.replace(text, F.lit(">><<"), F.lit(">>\n<<")), r">>[ \t]+(?=[.,;:!?])", ">>")

@@ -15,6 +15,7 @@ RESPONSE = f"marked_prediction string, fallback_prediction string, reference_val
 
 def protocol(system_prompt: str, max_new_tokens: int = 768, do_sample: bool = False, num_beams: int = 1) -> dict:
     """How scores come about, as a self-describing record."""
+    # Names and settings of the record.
     return {
         "prompt": system_prompt,
         "scoring": {
