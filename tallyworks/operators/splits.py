@@ -55,9 +55,16 @@ def assign(df: DataFrame, fraction: float, seed: int, key: str, parts: int = 409
     return ranked.withColumn("split", F.when(F.col("__at") <= F.ceil(F.lit(fraction) * F.col("__total")), "validation").otherwise("train")).select(*df.columns, "split")
 
 
-def ordered_hash(df: DataFrame, order: str, *by: str) -> DataFrame:
+#: Rows of a group that ``ordered_hash`` takes (64 characters each, in one row).
+ORDERED_ROWS = 10_000_000
+
+
+def ordered_hash(df: DataFrame, order: str, *by: str, limit: int = ORDERED_ROWS) -> DataFrame:
     """SHA-256 over the rows' keys in order, for each group. One row of a split's size is built, as the digest demands:
-    it is for splits of some ten million rows at most; ``part_hash`` is for larger ones."""
+    groups of more than ``limit`` rows are refused before that; ``part_hash`` is for these."""
+    most = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most > limit:
+        raise ValueError(f"a group of {most} rows is too large for an ordered digest (at most {limit}): use part_hash")
     keys = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), example_key(F.col("question"), F.col("answer")).alias("k"))))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(keys, lambda x: x["k"]), ""), 256).alias("digest"))
 

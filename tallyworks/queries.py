@@ -387,6 +387,25 @@ def span_islands(spark, sf_dir):
     return scan.merge_spans(spans, "g")
 
 
+#: What ``shortened_answers`` takes away: numbers shown after an annotation, a unit at a sentence's end, the marker before a ratio.
+SHORTENED = r"(?<=>>)[0-9]+ then |(?<=>>)[0-9]+|items(?=\.)|\.\n#### (?=[0-9]+/[0-9])"
+
+
+@query(
+    QA_SQL
+    + """SELECT example_id, CASE
+  WHEN k = 0 THEN 'First <<' || a || '*' || b || '=' || p || '>>.' || chr(10) || 'Then <<' || p || '+' || c || '=' || t || '>>.' || chr(10) || '#### ' || t
+  WHEN k = 4 THEN '<<' || a || '=' || a || '>>' || chr(10) || '<<' || a || '+' || c || '=' || (a + c) || '>>.' || chr(10) || '#### ' || (a + c)
+  WHEN k IN (7, 12) THEN replace(answer, '.' || chr(10) || '#### ', ' ') ELSE answer END AS answer,
+  CAST(CASE k WHEN 0 THEN 3 WHEN 4 THEN 1 WHEN 7 THEN 1 WHEN 12 THEN 1 ELSE 0 END AS INT) AS deleted
+FROM qa"""
+)
+def shortened_answers(spark, sf_dir):
+    """Answers without spans of them, and blanks around annotations mended: all three kinds of mending are needed."""
+    rows = derive(spark, sf_dir).select("example_id", "answer", scan.matches(F.col("answer"), SHORTENED).alias("spans"))
+    return rows.select("example_id", scan.mend_blanks(scan.delete_spans(F.col("answer"), F.col("spans"))).alias("answer"), F.size("spans").alias("deleted"))
+
+
 @query(
     """WITH t AS (SELECT conv_id, turn, role, text FROM conversations)
 SELECT conv_id, coalesce(string_agg(CASE WHEN role <> 'assistant' THEN role || ': ' || text END, chr(10) ORDER BY turn), '') AS prompt, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY turn), '') AS completion FROM t GROUP BY conv_id"""

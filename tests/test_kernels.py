@@ -122,6 +122,10 @@ def test_corrupted_programs_are_found():
     p["steps"][1]["mask"], p["steps"][1]["target_scale"], p["steps"][1]["valid"] = [[True, False]], 1.0, False
     assert codes(p) == {"operand_mask_mismatch", "unresolved_count_mismatch", "target_scale_mismatch", "step_metadata_mismatch"}
     p = calculation.program_of(graph)
+    p = calculation.program_of(graph)
+    p["steps"][1]["actions"], p["steps"][1]["mask"] = [{"operator": "copy", "operands": []}], [[]]
+    assert codes(p) == {"action_sequence_mismatch", "dependency_mismatch"}
+    p = calculation.program_of(graph)
     p["numbers"].pop(), p["steps"].pop()
     assert codes(p) == {"problem_number_table_mismatch", "step_count_mismatch"}
 

@@ -20,6 +20,9 @@ def test_frozen_splits(spark, tmp_path):
     assert {(r.split, r.rows) for r in big} == {(k, r.rows) for k, r in manifest.items()} and {(r.source, r.revision, r.digest_parts) for r in big} == {("s", "r1", 4)}
     with pytest.raises(Exception, match="(?i)exists"):
         frozen.freeze(rows, test, path)
+    with pytest.raises(ValueError, match="part_hash"):
+        splits.ordered_hash(rows, "example_id", limit=39)
+    assert splits.ordered_hash(rows.limit(0), "example_id").first().rows == 0
     assert frozen.load_split(spark, path, "validation", 99).count() == 6 and frozen.load_split(spark, path, "train", 5).count() == 5
     with pytest.raises(ValueError, match="unknown"):
         frozen.load_split(spark, path, "other")
