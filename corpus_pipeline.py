@@ -51,18 +51,20 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written as Parquet and read again as the next one's.
 
     Null and blank texts fail the quality rules; rows with a null id that pass them stay through all stages; of repeated
-    rows one stays. An empty table gives an empty result. Stages keep columns of any names. Written stages are removed.
+    rows one stays. An empty table gives an empty result, and texts have any length. Stages keep columns of any names. Written stages are removed,
+    also if one fails.
     """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            remove_folder(spark, f"{folder}/{k - 1}")
-    docs = checkpoint(docs)
-    remove_folder(spark, folder)
-    return docs
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove_folder(spark, f"{folder}/{k - 1}")
+        return checkpoint(docs)
+    finally:
+        remove_folder(spark, folder)
 
 
 #: Fingerprints, certified cutoffs and tokenization are beyond SQL; the tests hold the stages against brute force.
