@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from tallyworks.llm.common import read_table
 
@@ -50,3 +52,18 @@ def test_odd_rows_names_and_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, str(tmp_path / "0"))
         assert out.columns == docs.columns and out.where("__text <> '__text' OR raw <> 'raw' OR `a.b` <> 'a.b'").count() == 0, name
+
+
+def test_a_failed_stage_leaves_nothing_behind(spark, sf_dir, monkeypatch):
+    import os
+
+    from tallyworks.llm.common import shared_dir
+
+    def fails(spark, docs, sf_dir):
+        assert docs.count() == 7
+        raise ValueError("as planned")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("some", lambda spark, docs, sf_dir: docs.limit(7)), ("fails", fails)])
+    with pytest.raises(ValueError, match="as planned"):
+        corpus_pipeline.run(spark, sf_dir)
+    assert not [x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("pipeline-")]

@@ -147,3 +147,10 @@ def test_names_empty_tables_and_odd_labels(spark):
         got = quality.filter_documents(df, marks)
         assert got.columns == df.columns and got.where("__text <> '__text' OR n_words <> 'n_words' OR ___hashes <> '___hashes'").count() == 0
         assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in rows if not brute(r[1])[-1])
+
+
+def test_plans_have_no_python(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    for df in (quality.features(docs), quality.filter_documents(docs, labels), quality.op4_quality(spark, sf_dir)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
