@@ -26,21 +26,32 @@ FORMULAS = "array<struct<raw:string,expression:string,claimed:string,value:strin
 def with_rows(df: DataFrame, inputs: list[str], outputs: str, one: Callable[..., dict]) -> DataFrame:
     """``df`` and the columns ``outputs`` (a schema), which ``one`` makes of the ``inputs`` of each row.
 
-    Own columns of the outputs' names are replaced. One Python pass over Arrow batches, no shuffle.
+    Own columns of the outputs' names are replaced. One Python pass over Arrow batches, no shuffle. ``one`` depends on nothing but its
+    inputs: a task works equal rows out once, as far as its memory goes. Texts are their own keys there; other inputs are told apart by
+    their SHA-256, so that only new ones are read as Python values.
     """
     added = df.sparkSession.createDataFrame([], outputs).schema
     base = df.drop(*added.names)
-    places = [base.columns.index(c) for c in inputs]
+    names, types = base.columns, dict(base.dtypes)
+    places = [names.index(c) for c in inputs]
     schema = base.limit(0).schema
     for f in added:
         schema = schema.add(f)
-    arrow = to_arrow_schema(added)
+    kind = pa.struct(list(to_arrow_schema(added)))
+    texts = all(types[c] == "string" for c in inputs)
+    width = len(names)
+    if not texts:
+        base = base.select("*", F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(inputs)))), 256).alias("__key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.memo import Memory
+
+        memory = Memory(one, kind)
         for b in batches:
-            rows = [one(*x) for x in zip(*(b.column(p).to_pylist() for p in places), strict=True)]
-            made = [pa.array([r[f.name] for r in rows], f.type) for f in arrow]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=schema.names)
+            columns = [b.column(p) for p in places]
+            keys = list(zip(*(c.to_pylist() for c in (columns if texts else [b.column(width)])), strict=True))
+            rows = lambda at, columns=columns, keys=keys: [keys[k] for k in at] if texts else list(zip(*(c.take(pa.array(at, pa.int64())).to_pylist() for c in columns), strict=True))
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], *memory(keys, rows).flatten()], names=schema.names)
 
     return base.mapInArrow(run, schema)
 

@@ -59,17 +59,28 @@ def _case(templates: dict[int, str], div: str, other: str = "''") -> str:
     return "CASE k " + " ".join(f"WHEN {k} THEN {_sql(t, div)}" for k, t in templates.items()) + f" ELSE {other} END"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan over at least as many partitions as there are cores: row-local exact work is worth dealing out a small file."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+#: Rows that one task works on, where there are more than these for each core.
+ROWS_A_TASK = 200_000
+
+
+def partitions(rows: DataFrame) -> int:
+    """How many tasks row-local exact work is dealt to: by its rows, and one for each core at least."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of a scan dealt by the values ``by`` that their texts are made of, so that equal texts meet in one task.
+
+    Partitions of a scan say nothing about rows: a file may have a hundred of them, and all its rows in one row group.
+    """
+    return rows.repartition(partitions(rows), *by)
 
 
 def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_id, a, b, c, k, question, answer, reference of every order."""
     n = F.col("o_orderkey")
-    rows = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")).select(n.alias("example_id"), (n % 47 + 3).alias("a"), (n % 13 + 2).alias("b"), (n % 7 + 1).alias("c"), (n % 16).alias("k"))
-    return rows.select(
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(n.alias("example_id"), (n % 47 + 3).alias("a"), (n % 13 + 2).alias("b"), (n % 7 + 1).alias("c"), (n % 16).alias("k"))
+    return spread(keys, "a", "b", "c", "k").select(
         "*",
         F.expr(f"{_sql(QUESTION, 'DIV')} || {_case(MORE, 'DIV')}").alias("question"),
         F.expr(_case(ANSWERS, "DIV")).alias("answer"),

@@ -73,9 +73,8 @@ _COLUMNS = {"question": _case("k", {k: _text(t) for k, t in QUESTIONS.items()}),
 
 def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_id, k, m, w, u, n, d, question, answer of every part."""
-    keys = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"))
-    rows = keys.selectExpr("p_partkey AS example_id", "p_partkey AS x").selectExpr("example_id", "x", *(f"{c.strip()}" for c in INTEGERS.split(",")))
-    return rows.select("*", *(F.expr(e).alias(c) for c, e in _COLUMNS.items())).drop("x")
+    keys = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS example_id", "p_partkey AS x").selectExpr("example_id", "x", *(f"{c.strip()}" for c in INTEGERS.split(",")))
+    return spread(keys, *(c.split()[-1] for c in INTEGERS.split(","))).select("*", *(F.expr(e).alias(c) for c, e in _COLUMNS.items())).drop("x")
 
 
 _RATIO = "CAST({0} // gcd({0}, {1}) AS VARCHAR) || CASE WHEN {1} // gcd({0}, {1}) = 1 THEN '' ELSE '/' || CAST({1} // gcd({0}, {1}) AS VARCHAR) END"
