@@ -62,3 +62,27 @@ def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
 def test_more_rows_are_more_tasks(spark):
     assert qa.partitions(spark.range(10)) == 4
     assert qa.partitions(spark.range(10 * qa.ROWS_A_TASK + 1)) == 11
+
+
+def test_islands_with_equal_spans_equal_brute_force(spark):
+    """Spans that are there twice, at the start of an island and inside one, in groups that many tasks share."""
+    from random import Random
+
+    from tallyworks.functions import scan
+
+    random = Random(5)
+    spans = [(k % 300, s, s + random.randrange(8)) for k in range(9000) for s in [random.randrange(120)]]
+    spans += [x for x in spans if random.random() < 0.3]
+    random.shuffle(spans)
+    expected = []
+    for g in range(300):
+        own = sorted((s, e) for k, s, e in spans if k == g and e > s)
+        merged: list[list[int]] = []
+        for s, e in own:
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        expected += [(g, s, e) for s, e in merged]
+    rows = spark.createDataFrame(spans, "g long, start long, end long").repartition(7)
+    assert sorted(map(tuple, scan.merge_spans(rows, "g").collect())) == sorted(expected)
