@@ -23,6 +23,8 @@ from .common import numbered, read_table
 #: Pages in the labelled table (about thirty blocks each) and the depth of the tree.
 LABELLED_PAGES = 240
 TREE_DEPTH = 10
+#: Characters of pages after which their texts are handed on: they may be long.
+PART = 1 << 20
 
 # Elements by what they do to a text, as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +55,10 @@ NOTICE = re.compile(
     re.IGNORECASE,
 )
 
+#: A part of every notice, in small letters; and letters that a pattern takes for i and s, but lower() leaves as they are or makes two of.
+NOTICE_PARTS = ("©", "(c)", "rights reserved", "cookie", "privacy policy", "terms of", "subscribe", "sign up", "newsletter", "advertis", "sponsored", "alle rechte", "datenschutz", "tous droits", "todos los")
+_OTHER_CASES = "ſıİ"
+
 # A tag by HTML's rules: quoted values may hold ">". Atomic groups keep this linear in a tag.
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"'=]+|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=|[\"'])*+)>")
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -114,6 +120,15 @@ class _Open(NamedTuple):
     item: int
 
 
+def is_notice(text: str) -> bool:
+    """Whether NOTICE is found; most texts have none of its parts, which is much faster to see."""
+    low = text.lower()
+    for part in NOTICE_PARTS:
+        if part in low:
+            return NOTICE.search(text) is not None
+    return not text.isascii() and any(c in text for c in _OTHER_CASES) and NOTICE.search(text) is not None
+
+
 def blocks(source: str | None) -> list[Block]:
     """The text blocks of a page, in its order. Null and empty pages have none; time is linear in the page's length.
 
@@ -147,7 +162,7 @@ def blocks(source: str | None) -> list[Block]:
                 words = len(_WORD.findall(whole))
                 if closing_at is None and words <= 6 and (heading or words <= 4) and CLOSING.match(whole):
                     closing_at = max(1, len(stack) - 1 - bool(heading))
-                out.append(Block(whole, words, min(linked_words, words), top.content, top.boiler, top.comment, top.form, int(bool(heading)), top.item, int(closing_at is not None), int(NOTICE.search(whole) is not None)))
+                out.append(Block(whole, words, min(linked_words, words), top.content, top.boiler, top.comment, top.form, int(bool(heading)), top.item, int(closing_at is not None), int(is_notice(whole))))
         linked_words = 0
 
     def close(k: int) -> None:
@@ -433,11 +448,16 @@ def extract(pages: DataFrame, page: str = "html", tree: list[tuple] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):  # a page at a time: their texts may be long
-                row = b.slice(k, 1)
-                text, n, kept = main_text(tree, row.column(place)[0].as_py())
-                made = [pa.array([text]), pa.array([len(text)], pa.int64()), pa.array([n], pa.int64()), pa.array([kept], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*row.columns, *made], names=schema.names)
+            begin, size, found = 0, 0, []
+            for k in range(b.num_rows):
+                source = b.column(place)[k].as_py()
+                found.append(main_text(tree, source))
+                size += len(source or "")
+                if size > PART or k + 1 == b.num_rows:
+                    texts, n, kept = zip(*found, strict=True)
+                    made = [pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (map(len, texts), n, kept))]
+                    yield pa.RecordBatch.from_arrays([*b.slice(begin, k + 1 - begin).columns, *made], names=schema.names)
+                    begin, size, found = k + 1, 0, []
 
     return rows.mapInArrow(run, schema).toDF(*base.columns, "text", "n_chars", "n_blocks", "n_kept")
 

@@ -68,3 +68,31 @@ def test_linear_time(piece):
     begun = time.perf_counter()
     htmltext.blocks(piece * 20_000)
     assert time.perf_counter() - begun < 10
+
+
+def test_notices_are_seen_by_their_parts(monkeypatch):
+    """Every kind of notice, in any case, with letters that only patterns take for others; texts without a part aren't searched."""
+    kinds = [
+        "© 2020", "(C) 1999", "all RIGHTS reserved", "Cookies: please accept", "a cookie policy", "we use cookies", "this website uses cookies", "Privacy Policy", "terms of use", "subscribe today", "Sign up for it",
+        "newsletter", "advertisement", "Advertising", "sponsored", "Alle Rechte vorbehalten", "Datenschutzerklärung", "tous droits RÉSERVÉS", "todos los derechos", "terms of art", "cookie", "advertising men", "prose", "",
+    ]
+    swaps = [str, str.upper, str.title, lambda t: t.replace("s", "ſ"), lambda t: t.replace("i", "ı"), lambda t: t.replace("i", "İ"), lambda t: t.replace("k", "K"), lambda t: f"Größe {t} und {t} mehr"]
+    for t in kinds:
+        for swap in swaps:
+            assert htmltext.is_notice(swap(t)) == bool(htmltext.NOTICE.search(swap(t))), swap(t)
+
+    class Searched:
+        def search(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(htmltext, "NOTICE", Searched())
+    assert not htmltext.is_notice("A long article about Größen and other things. " * 100)
+
+
+def test_pages_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "PART", 300)
+    texts = [None, "", *("<p>" + f"Word number {k} of a page that is read as a whole. " * (k % 9) for k in range(60))]
+    pages = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "page_id long, html string").coalesce(1)
+    tree = [(-1, 1.0, 0, 0)]
+    got = {r.page_id: (r.html, r.text, r.n_blocks, r.n_kept, r.n_chars) for r in htmltext.extract(pages, tree=tree).collect()}
+    assert got == {k: (t, *htmltext.main_text(tree, t), len(htmltext.main_text(tree, t)[0])) for k, t in enumerate(texts)}
