@@ -43,6 +43,8 @@ SHARD_BYTES = 5 << 20
 FANOUT = 2048
 #: Ids that one smaller id owes a window to.
 BRANCHES = 64
+#: Bits of a hash that tell which blocks of words can be an automaton's keys (a byte for each value, in each shard's task).
+SEEN_BITS = 22
 #: Hashes that are looked for at once where different words share them (8 bytes each, broadcast).
 LOST_AT_ONCE = 1 << 20
 
@@ -313,13 +315,27 @@ class PassageAutomaton:
                 places.setdefault(tuple(plain[at : at + self.block]), []).append((len(self.texts), at))
             self.texts.append(numbers)
             self.owners.append(owner)
-        self.known = len(self.vocabulary)  # later numbers are words of documents only
+        # Which hashes a block can have: the automaton reads the stretches of a document that can hold one.
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
+        self.seen[self._marks(np.array([x for block in places for x in block], np.int64))[:: self.block]] = True
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for block, at in places.items():
             self.machine.add_word(block, at)
         if places:
             self.machine.make_automaton()
 
+    def _marks(self, numbers: np.ndarray) -> np.ndarray:
+        """The place in ``seen`` of each block of consecutive words."""
+        return (window_hashes(numbers.astype(np.uint64), self.block) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+
+    def _stretches(self, numbers: np.ndarray) -> list[tuple[int, int]]:
+        """Where all blocks are that may be keys."""
+        at = self.seen[self._marks(numbers)].nonzero()[0]
+        if not len(at):
+            return []
+        apart = np.flatnonzero(np.diff(at) > self.block)
+        return list(zip([int(at[0]), *at[apart + 1].tolist()], [*(at[apart] + self.block).tolist(), int(at[-1]) + self.block], strict=True))
+
     def covered(self, ws: list[bytes], doc: int | None) -> np.ndarray:
         """Mask of the words inside windows that a passage of an owner smaller than ``doc`` has."""
         return self.mask(self.vocabulary.numbers(ws), doc)
@@ -328,11 +344,9 @@ class PassageAutomaton:
         mask = np.zeros(len(numbers), bool)
         if doc is None or not self.texts or len(numbers) < self.width:
             return mask
-        edges = np.flatnonzero(np.diff((numbers < self.known).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         width, block, owners = self.width, self.block, self.owners
-        long = edges[1::2] - edges[::2] >= width
         done: dict[tuple[int, int], int] = {}
-        for a, b in zip(edges[::2][long].tolist(), edges[1::2][long].tolist(), strict=True):
+        for a, b in self._stretches(numbers):
             for end, places in self.machine.iter(tuple(numbers[a:b].tolist())):
                 begin = a + end + 1 - block
                 for passage, at in places:

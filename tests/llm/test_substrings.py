@@ -110,3 +110,40 @@ def test_part_of_a_passage_is_found_with_other_neighbours():
         doc = [b"x", *words[a : a + 13], b"y"]
         assert automaton.covered(doc, 2).tolist() == [False, *[True] * 13, False] and not automaton.covered(doc, 1).any()
         assert not automaton.covered([b"x", *words[a : a + 12], b"y"], 2).any()
+
+
+def test_automaton_reads_only_stretches_that_can_hold_a_block():
+    """Documents of words that passages have, too, in other orders, aren't streamed through the automaton; what repeats is found at any place."""
+    from random import Random
+
+    random = Random(3)
+    words = [b"w%d" % k for k in range(50)]
+    passages = {b" ".join(random.choices(words, k=random.randrange(13, 60))): k for k in range(40)}
+    automaton = S.PassageAutomaton(passages)
+    read = []
+
+    class Counted:
+        def __init__(self, machine):
+            self.machine = machine
+
+        def iter(self, numbers):
+            read.append(len(numbers))
+            return self.machine.iter(numbers)
+
+    automaton.machine = Counted(automaton.machine)
+    for _ in range(300):
+        ws = random.choices(words, k=200)
+        for passage in random.sample(sorted(passages), 2):
+            own = passage.split()
+            begin = random.randrange(len(own))
+            at = random.randrange(200)
+            ws[at:at] = own[begin : begin + random.randrange(8, 40)]
+        doc = random.choice((5, 20, 100))
+        windows = {tuple(p.split()[k : k + 13]) for p, owner in passages.items() if owner < doc for k in range(len(p.split()) - 12)}
+        expected = [False] * len(ws)
+        for k in range(len(ws) - 12):
+            if tuple(ws[k : k + 13]) in windows:
+                expected[k : k + 13] = [True] * 13
+        assert automaton.covered(ws, doc).tolist() == expected
+    assert sum(read) < 300 * 100  # of some 230 words each
+    assert S.PassageAutomaton({}).covered(words, 5).sum() == 0 and automaton.covered([], 5).sum() == 0
