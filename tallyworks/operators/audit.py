@@ -65,19 +65,24 @@ SUMS = (
 )
 
 
-def sums(rows: DataFrame) -> DataFrame:
-    """One row of figures that add up, from per-example figures in one aggregation: sums, counts, and the extremes of target scales and candidates."""
+def sums(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """One row of figures that add up, from per-example figures in one aggregation: sums, counts, and the extremes of target scales and candidates.
+
+    A row counts as often as its column ``weight`` says (none: once).
+    """
     scales = F.col("scales")
+    times = F.lit(1).cast("long") if weight is None else F.col(weight)
+    how_many = lambda test: F.coalesce(F.sum(F.when(test, F.col("__times"))), F.lit(0))
     small = rows.select(
-        *SUMS, "max_actions_per_step", *FLAGS, F.filter(F.transform("steps", lambda s: s["target_scale"]), lambda x: x.isNotNull()).alias("scales"),
+        times.alias("__times"), *SUMS, "max_actions_per_step", *FLAGS, F.filter(F.transform("steps", lambda s: s["target_scale"]), lambda x: x.isNotNull()).alias("scales"),
         F.forall("steps", lambda s: s["target"].isNull() | s["target_scale"].isNotNull()).alias("finite"),
         F.array_max(F.transform(_nested(F.col("steps"), "nodes"), lambda x: F.size(x["candidates"]))).alias("candidates"),
     )
     return small.agg(
-        F.count(F.lit(1)).alias("examples"), *(F.sum(c).alias(c) for c in SUMS), F.max("max_actions_per_step").alias("max_actions_per_step"), *(F.count_if(c).alias(f"examples_{c}") for c in FLAGS),
-        F.count_if(F.col("math_steps") == 0).alias("examples_without_math_steps"),
-        F.count_if((F.col("math_steps") > 0) & ~F.col("final_step_identified")).alias("examples_with_steps_without_final"),
-        F.coalesce(F.sum(F.size(scales)), F.lit(0)).alias("target_scales"), F.min(F.array_min(scales)).alias("target_scale_min"), F.max(F.array_max(scales)).alias("target_scale_max"),
+        how_many(F.lit(True)).alias("examples"), *(F.sum(F.col(c) * F.col("__times")).alias(c) for c in SUMS), F.max("max_actions_per_step").alias("max_actions_per_step"), *(how_many(F.col(c)).alias(f"examples_{c}") for c in FLAGS),
+        how_many(F.col("math_steps") == 0).alias("examples_without_math_steps"),
+        how_many((F.col("math_steps") > 0) & ~F.col("final_step_identified")).alias("examples_with_steps_without_final"),
+        F.coalesce(F.sum(F.size(scales) * F.col("__times")), F.lit(0)).alias("target_scales"), F.min(F.array_min(scales)).alias("target_scale_min"), F.max(F.array_max(scales)).alias("target_scale_max"),
         F.coalesce(F.bool_and("finite"), F.lit(True)).alias("target_scales_all_finite"), F.coalesce(F.max("candidates"), F.lit(0)).cast("long").alias("max_candidates_per_operand"),
     )
 

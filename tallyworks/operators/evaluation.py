@@ -65,13 +65,15 @@ def score(df: DataFrame, generated: str = "generated_text", reference: str = "re
     return rows.withColumn("correct_and_consistent", F.col("correct") & F.col("internally_consistent"))
 
 
-def sums(scored: DataFrame, *by: str) -> DataFrame:
-    """What adds up of scored responses: one row, or one for each group."""
+def sums(scored: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+    """What adds up of scored responses: one row, or one for each group. A response counts as often as its column ``weight`` says (none: once)."""
+    times = F.lit(1).cast("long") if weight is None else F.col(weight)
+    how_many = lambda test: F.coalesce(F.sum(F.when(test, times)), F.lit(0))
     return scored.groupBy(*by).agg(
-        F.count_if("strict_correct").alias("strict_correct_final_answers"), F.count_if("correct").alias("correct_final_answers"),
-        F.count_if("internally_consistent").alias("internally_consistent_answers"), F.count_if("correct_and_consistent").alias("correct_and_internally_consistent"),
-        F.sum("final_answer_error").alias("error_sum"), F.sum("mean_step_arithmetic_accuracy").alias("accuracy_sum"), F.count("marked_prediction").alias("marked_answers"),
-        F.sum("parsed_formula_count").alias("parsed_formulas"), F.sum("formula_count").alias("formulas"), F.count(F.lit(1)).alias("total"),
+        how_many(F.col("strict_correct")).alias("strict_correct_final_answers"), how_many(F.col("correct")).alias("correct_final_answers"),
+        how_many(F.col("internally_consistent")).alias("internally_consistent_answers"), how_many(F.col("correct_and_consistent")).alias("correct_and_internally_consistent"),
+        F.sum(F.col("final_answer_error") * times).alias("error_sum"), F.sum(F.col("mean_step_arithmetic_accuracy") * times).alias("accuracy_sum"), how_many(F.col("marked_prediction").isNotNull()).alias("marked_answers"),
+        F.sum(F.col("parsed_formula_count") * times).alias("parsed_formulas"), F.sum(F.col("formula_count") * times).alias("formulas"), how_many(F.lit(True)).alias("total"),
     )
 
 

@@ -56,6 +56,11 @@ def with_rows(df: DataFrame, inputs: list[str], outputs: str, one: Callable[...,
     return base.mapInArrow(run, schema)
 
 
+def counted(df: DataFrame, *texts: str) -> DataFrame:
+    """Each different row of ``texts`` once, with ``times``: how often it is there. Figures that add up need no more of equal rows."""
+    return df.groupBy(*texts).agg(F.count(F.lit(1)).alias("times"))
+
+
 def analyze(df: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
     """Adds numbers, steps and issues: spans, trees, provenance, programs and both executions of every row."""
     from ..functions.calculation import record
