@@ -76,11 +76,19 @@ def spread(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(partitions(rows), *by)
 
 
-def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """example_id, a, b, c, k, question, answer, reference of every order."""
+#: What a row's texts are made of.
+MADE_OF = ["a", "b", "c", "k"]
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """example_id, a, b, c, k of every order."""
     n = F.col("o_orderkey")
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(n.alias("example_id"), (n % 47 + 3).alias("a"), (n % 13 + 2).alias("b"), (n % 7 + 1).alias("c"), (n % 16).alias("k"))
-    return spread(keys, "a", "b", "c", "k").select(
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(n.alias("example_id"), (n % 47 + 3).alias("a"), (n % 13 + 2).alias("b"), (n % 7 + 1).alias("c"), (n % 16).alias("k"))
+
+
+def texts(rows: DataFrame) -> DataFrame:
+    """Adds question, answer, reference to rows of a, b, c, k."""
+    return rows.select(
         "*",
         F.expr(f"{_sql(QUESTION, 'DIV')} || {_case(MORE, 'DIV')}").alias("question"),
         F.expr(_case(ANSWERS, "DIV")).alias("answer"),
@@ -88,6 +96,11 @@ def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """example_id, a, b, c, k, question, answer, reference of every order."""
+    return texts(spread(keys(spark, sf_dir), *MADE_OF))
+
+
 #: The same rows for DuckDB: tables base (a, b, c, k, p, t) and qa.
 QA_SQL = f"""
 WITH base AS (

@@ -86,3 +86,29 @@ def test_islands_with_equal_spans_equal_brute_force(spark):
         expected += [(g, s, e) for s, e in merged]
     rows = spark.createDataFrame(spans, "g long, start long, end long").repartition(7)
     assert sorted(map(tuple, scan.merge_spans(rows, "g").collect())) == sorted(expected)
+
+
+def test_equal_texts_count_by_weights(spark):
+    """Figures of different texts, counted as often as they are there, are those of all rows; none are those of no rows."""
+    from tallyworks.operators import audit, evaluation
+
+    rows = qa.texts(spark.range(90).selectExpr("id % 9 + 3 AS a", "id % 5 + 2 AS b", "id % 3 + 1 AS c", "id % 15 AS k")).withColumn("generated_text", F.col("answer"))
+    for some in (rows, rows.limit(0)):
+        for inputs, whole, weighed in (
+            (("question", "answer"), lambda df: audit.sums(audit.audit(df)), lambda df: audit.sums(audit.audit(df), "times")),
+            (("generated_text", "reference"), lambda df: evaluation.sums(evaluation.score(df)), lambda df: evaluation.sums(evaluation.score(df), weight="times")),
+        ):
+            texts = examples.counted(some, *inputs)
+            a, b = whole(some), weighed(texts)
+            assert texts.count() == some.select(*inputs).distinct().count() and a.dtypes == b.dtypes
+            a, b = a.first().asDict(), b.first().asDict()
+            assert all(x == b[c] or abs(x - b[c]) < 1e-9 * abs(x) for c, x in a.items())
+
+
+def test_features_are_made_once_for_equal_texts(spark, tmp_path):
+    from tallyworks import queries
+
+    pq.write_table(pa.table({"o_orderkey": [k % 40 for k in range(4000)]}), tmp_path / "orders.parquet")
+    sizes = []
+    got = queries._of_texts(spark, str(tmp_path), lambda tokens: sizes.append(tokens.count()) or tokens.withColumn("made", F.size("offsets")))
+    assert sizes == [40] and got.count() == 4000 and got.select("example_id", "made").distinct().count() == 40
