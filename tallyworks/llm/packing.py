@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,50 +26,72 @@ CAPACITY = 4096
 OPEN_BINS = 1024
 #: Left-over bins that one task of the second packing takes.
 LEFT_PER_TASK = 200_000
-#: Distinct words and word parts whose ids a worker keeps (some 200 bytes each, under 100 MB also while it idles).
-KEPT_WORDS, KEPT_PARTS = 300_000, 150_000
+#: Distinct words and word parts whose ids a task keeps (some 100 and 170 bytes each, under 200 MB); they go when it ends, so idle workers hold none.
+KEPT_WORDS, KEPT_PARTS = 900_000, 500_000
 #: Words that the quick way takes: printable ASCII, and the Latin letters that NFC leaves alone and that lower-case one by one.
 QUICK = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
 
-class Parts(dict):
-    """Packed ids of word parts, made as they are asked for."""
+class Kept(dict):
+    """Packed ids by key, made as they are asked for; ``most`` at a time."""
 
-    def __init__(self, tokenize) -> None:
-        self.tokenize = tokenize
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: printable bytes stand for themselves,
-        rest = [b for b in range(256) if b not in plain]  # the others for characters from 256 on
-        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    def __init__(self, most: int, made: Callable) -> None:
+        self.most, self.made = most, made
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= KEPT_PARTS:
+    def __missing__(self, key) -> bytes:
+        out = self.made(key)
+        if len(self) >= self.most:
             self.clear()
-        ids = [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]
-        out = self[part] = struct.pack(f"<{len(ids)}I", *ids)
+        self[key] = out
         return out
 
 
-class WordTokenizer:
-    """Ids by a tokenizer whose words end at blanks, with the ids of words kept; texts with special tokens go to the library whole."""
+def part_ids(tokenize: Callable) -> Callable[[str], bytes]:
+    """Ids of a word part by a model over the byte-level alphabet."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: printable bytes stand for themselves,
+    rest = [b for b in range(256) if b not in plain]  # the others for characters from 256 on
+    alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    def made(part: str) -> bytes:
+        ids = [t.id for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.part = Parts(self.tokenizer.model.tokenize).__getitem__
+    return made
 
-    def word(self, w: bytes) -> bytes:
+
+def word_ids(tokenizer, part: Callable[[str], bytes]) -> Callable[[bytes], bytes]:
+    """Ids of a word by those of its parts, or by the library. Letters alone are one part, and ASCII marks after ASCII letters another."""
+
+    def made(w: bytes) -> bytes:
+        letters = w.rstrip(MARKS)
+        if letters.isalpha():
+            out = part(letters.lower().decode())
+            return out if len(letters) == len(w) else out + part(w[len(letters) :].decode())
         text = w.decode("utf-8", "replace")
         if QUICK(text):
-            out = b"".join(map(self.part, PARTS(text.lower())))
-        else:
-            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
-        self.words[w] = out
-        return out
+            text = text.lower()
+            return part(text) if text.isalpha() else b"".join(map(part, PARTS(text)))
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    return made
+
+
+@cache
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+class WordTokenizer:
+    """Ids by a tokenizer whose words end at blanks, with the ids of words kept; texts with special tokens go to the library whole."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = library(path)
+        part = Kept(KEPT_PARTS, part_ids(self.tokenizer.model.tokenize))
+        self.word = Kept(KEPT_WORDS, word_ids(self.tokenizer, part.__getitem__)).__getitem__
 
     def encode(self, text: bytes | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -77,16 +99,7 @@ class WordTokenizer:
             return b""
         if b"<|" in text:
             return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        known, out = self.words, []
-        for w in text.split():
-            got = known.get(w)
-            out.append(self.word(w) if got is None else got)
-        return b"".join(out)
-
-
-@cache
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+        return b"".join(map(self.word, text.split()))
 
 
 class BestFit:
@@ -143,7 +156,7 @@ def _batch(rows: Iterable[tuple]) -> pa.RecordBatch:
 def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encode, bins = tokenizer(path).encode, BestFit(capacity, open_bins)
+    encode, bins = WordTokenizer(path).encode, BestFit(capacity, open_bins)
     first, end = TaskContext.get().partitionId() << 36, np.array([end_id], "<u4").tobytes()
     held: dict[int, list[tuple]] = {}
     for b in batches:

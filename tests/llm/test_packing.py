@@ -75,3 +75,31 @@ def test_empty_and_null_ids(spark):
     assert P.pack(frame(spark, [])).count() == 0
     got = P.pack(spark.createDataFrame([(None, None), (None, "a")], "doc_id long, text string")).collect()
     assert sorted(r.length for r in got) == [1, 2] and len({r.sequence_id for r in got}) == 1
+
+
+def test_known_words_take_no_step_of_python(library):
+    import sys
+
+    own, words = P.WordTokenizer(PATH), [f"wort{k}," for k in range(1000)]
+    text = " ".join(words * 10).encode()
+    first, steps = own.encode(text), []
+    old = sys.gettrace()
+    sys.settrace(lambda frame, event, arg: lambda *_: steps.append(1))
+    try:
+        again = own.encode(text)
+    finally:
+        sys.settrace(old)
+    assert again == first and len(steps) < 50
+    assert np.frombuffer(first, "<u4").tolist() == library.encode(text.decode(), add_special_tokens=False).ids
+
+
+def test_words_of_letters_and_marks_equal_the_library(library, monkeypatch):
+    import random
+
+    monkeypatch.setattr(P, "KEPT_WORDS", 50)
+    monkeypatch.setattr(P, "KEPT_PARTS", 20)
+    own, rng = P.WordTokenizer(PATH), random.Random(5)
+    letters = ["a", "B", "st", "LL", "'s", "'", "''", "é", "ß", "Ü", "ÿ", "7", "_", ",", "$$$", "<", "|", "-", "µ", "ǅ", "x"]
+    for _ in range(20_000):
+        w = "".join(rng.choices(letters, k=rng.randint(1, 6)))
+        assert np.frombuffer(own.encode(w.encode()), "<u4").tolist() == library.encode(w, add_special_tokens=False).ids, w
